@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,9 +65,11 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFKC", (text or "").lower())
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    if texts.null_count == len(texts):
+        return texts
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
 def nfkc(col: Column | str) -> Column:
@@ -94,25 +96,57 @@ def _spans_of(text: str):
             yield run[i : i + 2], base + i
 
 
-@F.pandas_udf(SPAN)
-def token_spans(texts: pd.Series) -> pd.Series:
-    """Every token of a text with its start in the normalised text."""
-    return texts.map(lambda t: [{"token": k, "start": s} for k, s in _spans_of(fold(t))])
+def _nested(rows: list[list], build) -> pa.Array:
+    """A list array from per-row lists, with the values laid out flat."""
+    offsets = [0]
+    for row in rows:
+        offsets.append(offsets[-1] + len(row))
+    flat = [item for row in rows for item in row]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), build(flat))
 
 
-@F.pandas_udf(POSTING)
-def token_postings(texts: pd.Series) -> pd.Series:
-    """Distinct tokens of a text, each with its first 32 starts in ascending order."""
+def _span_array(flat: list[tuple[str, int]]) -> pa.Array:
+    return pa.StructArray.from_arrays(
+        [pa.array([t for t, _ in flat], pa.string()), pa.array([s for _, s in flat], pa.int32())], ["token", "start"]
+    )
+
 
-    def grouped(text):
-        by_token: dict[str, list[int]] = {}
-        for token, start in _spans_of(fold(text)):
+def _posting_array(flat: list[tuple[str, list[int]]]) -> pa.Array:
+    places = _nested([p for _, p in flat], lambda v: pa.array(v, pa.int32()))
+    return pa.StructArray.from_arrays([pa.array([t for t, _ in flat], pa.string()), places], ["token", "positions"])
+
+
+def _grouped(text: str, wanted: frozenset[str] | None = None) -> list[tuple[str, list[int]]]:
+    by_token: dict[str, list[int]] = {}
+    for token, start in _spans_of(text):
+        if wanted is None or token in wanted:
             kept = by_token.setdefault(token, [])
             if len(kept) < POSITION_CAP:
                 kept.append(start)
-        return [{"token": k, "positions": v} for k, v in by_token.items()]
+    return list(by_token.items())
+
+
+@F.arrow_udf(SPAN)
+def token_spans(texts: pa.Array) -> pa.Array:
+    """Every token of a text with its start in the normalised text."""
+    return _nested([list(_spans_of(fold(t))) for t in texts.to_pylist()], _span_array)
+
+
+@F.arrow_udf(POSTING)
+def token_postings(texts: pa.Array) -> pa.Array:
+    """Distinct tokens of a text, each with its first 32 starts in ascending order."""
+    return _nested([_grouped(fold(t)) for t in texts.to_pylist()], _posting_array)
+
+
+def wanted_postings(tokens: list[str]):
+    """Like :func:`token_postings`, for a given set of tokens only."""
+    wanted = frozenset(tokens)
+
+    @F.arrow_udf(POSTING)
+    def postings_of(texts: pa.Array) -> pa.Array:
+        return _nested([_grouped(fold(t), wanted) for t in texts.to_pylist()], _posting_array)
 
-    return texts.map(grouped)
+    return postings_of
 
 
 def distinct_tokens(normalised: Column | str) -> Column:

@@ -8,6 +8,9 @@ token found everywhere is written by many tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,15 +25,20 @@ def bucket_of(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
 
-def _postings(texts: DataFrame) -> DataFrame:
+def _postings(texts: DataFrame, tokens: list[str] | None = None) -> DataFrame:
     """``texts``: conversation_id, source, role, text."""
-    held = texts.select("conversation_id", "source", "role", tx.token_postings("text").alias("p"))
+    udf = tx.token_postings
+    if tokens is not None:
+        udf = tx.wanted_postings(tokens)
+        low = tx.normalise("text")
+        texts = texts.where(reduce(or_, [F.contains(low, F.lit(t)) for t in tokens], F.lit(False)))
+    held = texts.select("conversation_id", "source", "role", udf("text").alias("p"))
     return held.select("conversation_id", "source", "role", F.inline("p")).select(
         "token", "conversation_id", "source", "role", "positions"
     )
 
 
-def message_postings(messages: DataFrame) -> DataFrame:
+def message_postings(messages: DataFrame, tokens: list[str] | None = None) -> DataFrame:
     """Postings of turn bodies, taken from their visible text."""
     return _postings(
         messages.select(
@@ -38,23 +46,26 @@ def message_postings(messages: DataFrame) -> DataFrame:
             F.col("id").alias("source"),
             F.when(F.col("role") == "user", "user").otherwise("assistant").alias("role"),
             markup.visible_text("body").alias("text"),
-        )
+        ),
+        tokens,
     )
 
 
-def title_postings(headers: DataFrame) -> DataFrame:
+def title_postings(headers: DataFrame, tokens: list[str] | None = None) -> DataFrame:
     return _postings(
         headers.select(
             F.col("id").alias("conversation_id"),
             F.lit("title").alias("source"),
             F.lit("title").alias("role"),
             F.col("title").alias("text"),
-        )
+        ),
+        tokens,
     )
 
 
-def build_postings(headers: DataFrame, messages: DataFrame) -> DataFrame:
-    return message_postings(messages).unionByName(title_postings(headers))
+def build_postings(headers: DataFrame, messages: DataFrame, tokens: list[str] | None = None) -> DataFrame:
+    """All postings, or without a stored index only those of the tokens a query asks for."""
+    return message_postings(messages, tokens).unionByName(title_postings(headers, tokens))
 
 
 def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -293,37 +293,99 @@ def title_covers(norm: Column, raw: str) -> Column:
     return covered | every
 
 
-def search_plain(headers: DataFrame, postings: DataFrame, clauses: list[Clause]) -> DataFrame:
-    """Plain queries: AND over the index or the whole query in the title, with relevance."""
-    spark = headers.sparkSession
-    every = sorted({t for c in clauses for t in c.tokens})
-    found = index.lookup(postings, every)
-    tokens = token_frame(spark, clauses)
-    keys = ["query_id", "conversation_id"]
+def plain_frame(spark: SparkSession, clauses: list[Clause]) -> DataFrame:
+    """One row per query token: its bit in the word ``word`` and its starts in the query."""
+    rows = []
+    for c in clauses:
+        spans = tx.literal_spans(c.value)
+        for i, token in enumerate(c.tokens):
+            starts = [s for t, s in spans if t == token]
+            rows.append((c.query_id, token, i // 62, 1 << (i % 62), starts, len(c.tokens), len(spans)))
+    return spark.createDataFrame(
+        rows, "query_id INT, token STRING, word INT, bit BIGINT, starts ARRAY<INT>, n_tokens INT, n_spans INT"
+    )
 
-    norm = tx.normalise("title")
-    titled = _literal_matches(
-        headers.select(F.col("id").alias("conversation_id"), norm.alias("norm")),
-        ["conversation_id", "norm"],
-        [(c, title_covers(F.col("norm"), c.value)) for c in clauses],
-    ).select(*keys, F.lit(True).alias("covers"))
-    whole = whole_title_matches(headers, clauses).select(*keys, F.lit(True).alias("whole"))
-    matched = and_matches(found, tokens).select(*keys).unionByName(whole.select(*keys)).distinct()
 
-    hits = top_sources(source_hits(found, tokens), F.col("weight") * F.col("found"), keys)
-    bodies = hits.groupBy(*keys).agg((F.sum("value") / F.max("n_tokens")).alias("body"))
-    phrases = aligned_phrases(found, span_frame(spark, clauses)).select(*keys, F.lit(True).alias("aligned")).distinct()
+def search_plain(headers: DataFrame, postings: DataFrame, clauses: list[Clause]) -> DataFrame:
+    """Plain queries: AND over the index or the whole query in the title, with relevance.
 
-    flag = lambda name: F.coalesce(F.col(name), F.lit(False))
-    score = (
-        F.when(flag("covers"), TITLE).otherwise(0)
-        + F.when(flag("whole") | flag("aligned"), PHRASE).otherwise(0)
-        + F.coalesce("body", F.lit(0.0))
+    Hits are folded per turn, then per (conversation, value), then per conversation, each
+    step pre-aggregated before it moves rows, so one conversation holding most of the hits
+    never becomes one task. Title verdicts come from one pass over the headers and enter
+    the last step as extra rows instead of through joins.
+    """
+    spark = headers.sparkSession
+    words = max(1, max(-(-len(c.tokens) // 62) for c in clauses))
+    found = index.lookup(postings, sorted({t for c in clauses for t in c.tokens}))
+    hits = found.join(plain_frame(spark, clauses), "token")
+    keys = ["query_id", "conversation_id"]
+    masks = [F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(0)).alias(f"m{w}") for w in range(words)]
+    joined = [F.bit_or(f"m{w}").alias(f"m{w}") for w in range(words)]
+    shifted = F.transform("starts", lambda s: F.transform("positions", lambda p: p - s))
+    per_turn = hits.groupBy(*keys, "source").agg(
+        *masks,
+        F.max("n_tokens").alias("n_tokens"),
+        F.max("n_spans").alias("n_spans"),
+        F.count("*").alias("found"),
+        F.when(F.bool_or(F.col("role") == "user"), USER).otherwise(ASSISTANT).alias("weight"),
+        F.flatten(F.collect_list(shifted)).alias("placed"),
+    )
+    in_body = F.col("source") != "title"
+    common = F.aggregate(
+        F.slice("placed", 2, F.greatest(F.size("placed"), F.lit(1))), F.col("placed")[0], lambda a, b: F.array_intersect(a, b)
+    )
+    per_turn = per_turn.select(
+        *keys, *[f"m{w}" for w in range(words)], "n_tokens",
+        (in_body & (F.size("placed") == F.col("n_spans")) & (F.size(common) > 0)).alias("phrase"),
+        F.when(in_body, F.col("weight") * F.col("found")).alias("value"),
+    )
+    per_value = per_turn.groupBy(*keys, "value").agg(
+        *joined, F.max("n_tokens").alias("n_tokens"), F.bool_or("phrase").alias("phrase"), F.count("*").alias("n"),
+    )
+    norm = F.col("norm")
+    rows = headers.select(F.col("id").alias("conversation_id"), tx.normalise("title").alias("norm"))
+    verdicts = rows.select(
+        "conversation_id",
+        F.inline(F.array(*[
+            F.struct(
+                F.lit(c.query_id).alias("query_id"),
+                title_covers(norm, c.value).alias("covers"),
+                tx.contains_whole(norm, F.lit(c.folded)).alias("whole"),
+            )
+            for c in clauses
+        ])),
+    ).where("covers OR whole")
+    no = F.lit(False)
+    body_rows = per_value.withColumn("covers", no).withColumn("whole", no)
+    title_rows = verdicts.select(
+        *keys, F.lit(None).cast("bigint").alias("value"), *[F.lit(0).cast("bigint").alias(f"m{w}") for w in range(words)],
+        F.lit(0).alias("n_tokens"), F.col("whole").alias("phrase"), F.lit(0).cast("bigint").alias("n"), "covers", "whole",
+    )
+    folded = body_rows.unionByName(title_rows).groupBy(*keys).agg(
+        *joined,
+        F.max("n_tokens").alias("n_tokens"),
+        F.bool_or("phrase").alias("phrase"),
+        F.bool_or("covers").alias("covers"),
+        F.bool_or("whole").alias("whole"),
+        F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", "n"))).alias("values"),
     )
-    scored = (
-        matched.join(titled, keys, "left").join(whole, keys, "left").join(phrases, keys, "left").join(bodies, keys, "left")
+    held = sum((F.bit_count(f"m{w}") for w in range(words)), F.lit(0))
+    matched = (held == F.col("n_tokens")) & (F.col("n_tokens") > 0)
+    best = F.aggregate(
+        F.sort_array("values", asc=False),
+        F.struct(F.lit(HIT_CAP).cast("bigint").alias("room"), F.lit(0).cast("bigint").alias("total")),
+        lambda a, v: F.struct(
+            (a["room"] - F.least(a["room"], v["n"])).alias("room"),
+            (a["total"] + v["value"] * F.least(a["room"], v["n"])).alias("total"),
+        ),
+        lambda a: a["total"],
+    )
+    score = (
+        F.when(F.col("covers"), TITLE).otherwise(0)
+        + F.when(F.col("phrase"), PHRASE).otherwise(0)
+        + best / F.greatest(F.col("n_tokens"), F.lit(1))
     )
-    return scored.select(*keys, rounded(score).alias("relevance"))
+    return folded.where(matched | F.col("whole")).select(*keys, rounded(score).alias("relevance"))
 
 
 def clause_matches(headers: DataFrame, messages: DataFrame, postings: DataFrame, clauses: list[Clause], use_index: bool = False) -> tuple[DataFrame, DataFrame]:

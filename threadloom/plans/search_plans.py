@@ -9,10 +9,10 @@ from ..functions import text as tx
 from ..operators import index, search, sorting
 from ..sources import model
 from .registry import query, with_ctes
-from .sqltext import OCC, SRC, STOP, TOK, quote, turn_text, values, visible, whole
+from .sqltext import OCC, SRC, STOP, TOK, occurrences, values, visible, whole
 
 NOW = model.NOW_MS
-SAVED = {1: "tion erth", 2: "the thin ing", 3: "erin onbleea", 4: "of that"}
+SAVED = {1: "tion erth", 2: "the thin ing", 3: "erin onbleea", 4: "of that", 5: "the"}
 CLAUSED = {
     11: '"in thatin"',
     12: "the*ing",
@@ -28,9 +28,13 @@ def _frames(spark, sf_dir, big=True):
     return model.headers(turns), turns
 
 
-def _index(spark, sf_dir, big=True):
+def _index(spark, sf_dir, big=True, tokens=None):
     heads, turns = _frames(spark, sf_dir, big)
-    return heads, turns, index.build_postings(heads, turns)
+    return heads, turns, index.build_postings(heads, turns, tokens)
+
+
+def _wanted(clauses):
+    return sorted({t for c in clauses for t in c.tokens})
 
 
 def _plain():
@@ -204,8 +208,8 @@ _TSRC = "tsrc AS (SELECT id, lower(title) AS t FROM hdr)"
 
 
 @query("p05_query_spans", sql=with_ctes(model.MSG, model.HDR, _QT.strip(), _TSRC,
-    __import__("threadloom.plans.sqltext", fromlist=["x"]).occurrences("o1", "tsrc", "[a-z][a-z0-9]{1,47}", "id"),
-    __import__("threadloom.plans.sqltext", fromlist=["x"]).occurrences("o2", "tsrc", "[0-9]{2,24}", "id"),
+    occurrences("o1", "tsrc", "[a-z][a-z0-9]{1,47}", "id"),
+    occurrences("o2", "tsrc", "[0-9]{2,24}", "id"),
     body="""
   SELECT id, token, start FROM (SELECT * FROM o1 UNION ALL SELECT * FROM o2) JOIN kept USING (id)
   WHERE list_contains(CASE WHEN len(k) > 0 THEN k ELSE every END, token)"""))
@@ -235,9 +239,8 @@ def visible_text(spark, sf_dir):
 
 @query("j01_and_search", sql=with_ctes(*BASE, TOK, QTOK, AND, body="SELECT query_id, conversation_id FROM anded"))
 def and_search(spark, sf_dir):
-    _, _, postings = _index(spark, sf_dir)
     clauses = _plain()
-    found = index.lookup(postings, sorted({t for c in clauses for t in c.tokens}))
+    _, _, found = _index(spark, sf_dir, tokens=_wanted(clauses))
     return search.and_matches(found, search.token_frame(spark, clauses)).select("query_id", "conversation_id")
 
 
@@ -256,7 +259,7 @@ def index_or_title(spark, sf_dir):
 @query("u02_token_intersection", sql=with_ctes(*BASE, TOK, body="""
   SELECT conversation_id FROM tok WHERE token = 'tion' INTERSECT SELECT conversation_id FROM tok WHERE token = 'erth'"""))
 def token_intersection(spark, sf_dir):
-    _, _, postings = _index(spark, sf_dir)
+    _, _, postings = _index(spark, sf_dir, tokens=["tion", "erth"])
     ids = lambda t: index.lookup(postings, [t]).select("conversation_id")
     return ids("tion").intersect(ids("erth"))
 
@@ -361,8 +364,9 @@ def _accepted_sql(*ids):
 
 
 def _clause_search(spark, sf_dir, *ids):
-    heads, turns, postings = _index(spark, sf_dir)
-    return search.search_clauses(heads, turns, postings, _claused(*ids))
+    clauses = _claused(*ids)
+    heads, turns, postings = _index(spark, sf_dir, tokens=_wanted(clauses))
+    return search.search_clauses(heads, turns, postings, clauses)
 
 
 @query("j06_exclude", sql=_accepted_sql(13, 16))
@@ -410,9 +414,8 @@ def clause_relevance(spark, sf_dir):
 
 @query("a03_aligned_phrase", sql=with_ctes(*BASE, OCC, QSPAN, ALIGNED, body="SELECT query_id, conversation_id, source FROM aligned"))
 def aligned_phrase(spark, sf_dir):
-    _, _, postings = _index(spark, sf_dir)
     clauses = _plain()
-    found = index.lookup(postings, sorted({t for c in clauses for t in c.tokens}))
+    _, _, found = _index(spark, sf_dir, tokens=_wanted(clauses))
     return search.aligned_phrases(found, search.span_frame(spark, clauses)).drop("clause_no")
 
 
@@ -426,8 +429,9 @@ def title_coverage(spark, sf_dir):
 
 @query("a02_relevance", sql=with_ctes(*PLAIN, body="SELECT query_id, conversation_id, relevance FROM ranked"))
 def relevance(spark, sf_dir):
-    heads, _, postings = _index(spark, sf_dir)
-    return search.search_plain(heads, postings, _plain())
+    clauses = _plain()
+    heads, _, postings = _index(spark, sf_dir, tokens=_wanted(clauses))
+    return search.search_plain(heads, postings, clauses)
 
 
 @query("o08_top_sources", sql=with_ctes(*BASE, TOK, QTOK, body="""
@@ -436,9 +440,8 @@ def relevance(spark, sf_dir):
       SELECT query_id, conversation_id, source, max(CASE WHEN role = 'user' THEN 100 ELSE 10 END) * count(DISTINCT token) AS v
       FROM tok JOIN qtok USING (token) WHERE source <> 'title' GROUP BY query_id, conversation_id, source)) WHERE r <= 2"""))
 def top_two(spark, sf_dir):
-    _, _, postings = _index(spark, sf_dir)
     clauses = _plain()
-    found = index.lookup(postings, sorted({t for c in clauses for t in c.tokens}))
+    _, _, found = _index(spark, sf_dir, tokens=_wanted(clauses))
     hits = search.source_hits(found, search.token_frame(spark, clauses))
     best = search.top_sources(hits, F.col("weight") * F.col("found"), ["query_id", "conversation_id"], 2)
     return best.select("query_id", "conversation_id", "source", F.col("value").cast("bigint").alias("value"), F.col("rank").cast("bigint").alias("rank"))
@@ -534,15 +537,13 @@ def sorted_headers(spark, sf_dir):
     return _ordered(spark, sf_dir, "captured", "asc", platform="grok", limit=50)
 
 
-_FLAGSHIP = {1: "the thin ing"}
-
-
 @query("o05_relevance_sort", sql=with_ctes(*PLAIN, body="""
   SELECT query_id, conversation_id, title, relevance, row_number() OVER (ORDER BY relevance DESC, updated_ms DESC, conversation_id) AS pos
   FROM ranked JOIN hdr ON hdr.id = conversation_id WHERE query_id = 2 ORDER BY pos LIMIT 80"""))
 def relevance_sort(spark, sf_dir):
-    heads, turns, postings = _index(spark, sf_dir)
-    found = search.search(heads, turns, postings, {2: SAVED[2]})
+    saved = {2: SAVED[2]}
+    heads, turns, postings = _index(spark, sf_dir, tokens=_wanted(search.Queries(saved).plain))
+    found = search.search(heads, turns, postings, saved)
     top = sorting.sorted_list(found, "relevance", "desc", NOW, 80, "conversation_id")
     order = sorting.order_columns("relevance", "desc", NOW, "conversation_id")
     return number_rows(top, order).select("query_id", "conversation_id", "title", "relevance", "pos")

@@ -44,7 +44,17 @@ IMAGE_SCHEMA = (
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One driver table with its declared schema; no inference pass over the files."""
-    return spark.read.schema(SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
+    frame = spark.read.schema(SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
+    return spread(frame) if table in ("documents", "pages", "conversations") else frame
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Text work needs every core: inputs of fewer splits than cores are dealt out once.
+
+    Large inputs have more splits than cores and are left as they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
 def load_tables(spark: SparkSession, base: str, **schemas: str) -> dict[str, DataFrame]:

@@ -49,8 +49,10 @@ def rows_of(names, rows):
 
 
 def compare(spark, con, sf_dir, fn, sql):
+    began = time.time()
     frame = fn(spark, sf_dir)
     got, got_names = rows_of(frame.columns, [tuple(r) for r in frame.collect()])
+    compare.spark_seconds = time.time() - began
     if sql is None:
         return len(got), None
     cursor = con.execute(sql)
@@ -84,7 +86,7 @@ if __name__ == "__main__":
         except Exception as error:
             n, problem = -1, "".join(traceback.format_exception_only(error))[:900]
         mark = "ok  " if problem is None else "FAIL"
-        print(f"{mark} {key} rows={n} {time.time() - began:.1f}s {'' if key in oracles else '(no oracle)'} {problem or ''}", flush=True)
+        print(f"{mark} {key} rows={n} spark {getattr(compare, "spark_seconds", 0):.1f}s of {time.time() - began:.1f}s {'' if key in oracles else '(no oracle)'} {problem or ''}", flush=True)
         if problem:
             bad.append(key)
     print("failed:", bad)

@@ -43,8 +43,8 @@ def visible_text(body: Column | str) -> Column:
     text = raw
     for pattern, replacement in VISIBLE_STEPS:
         text = F.regexp_replace(text, pattern, replacement.replace("\\1", "$1"))
-    text = F.trim(text)
-    return F.when(raw.rlike(MARKS), F.when(text == "", raw).otherwise(text)).otherwise(raw)
+    shown = F.transform(F.array(F.trim(text)), lambda t: F.when(t == "", raw).otherwise(t))[0]
+    return F.when(raw.rlike(MARKS), shown).otherwise(raw)
 
 
 FLAT_STEPS = [

@@ -12,7 +12,7 @@ import re
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,14 +75,18 @@ def _nfkc(texts: pa.Array) -> pa.Array:
 def nfkc(col: Column | str) -> Column:
     """NFKC; only text holding a character that could change crosses into Python."""
     text = F.col(col) if isinstance(col, str) else col
-    risky = text.rlike(NFKC_TEST)
-    return F.when(risky, _nfkc(F.when(risky, text))).otherwise(text)
+    return F.coalesce(_nfkc(F.when(text.rlike(NFKC_TEST), text)), text)
 
 
 def normalise(col: Column | str) -> Column:
     return nfkc(F.lower(col))
 
 
+def with_normalised(df: DataFrame, name: str, text: Column) -> DataFrame:
+    """``df`` with ``name`` = normalised ``text``, computed in one place however often it is read."""
+    return df.withColumn(name, F.lower(text)).withColumn(name, nfkc(name))
+
+
 def _spans_of(text: str):
     for found in _word.finditer(text):
         yield found.group(), found.start()

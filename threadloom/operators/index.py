@@ -8,9 +8,6 @@ token found everywhere is written by many tasks.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +27,21 @@ def _postings(texts: DataFrame, tokens: list[str] | None = None) -> DataFrame:
     udf = tx.token_postings
     if tokens is not None:
         udf = tx.wanted_postings(tokens)
-        low = tx.normalise("text")
-        texts = texts.where(reduce(or_, [F.contains(low, F.lit(t)) for t in tokens], F.lit(False)))
     held = texts.select("conversation_id", "source", "role", udf("text").alias("p"))
     return held.select("conversation_id", "source", "role", F.inline("p")).select(
         "token", "conversation_id", "source", "role", "positions"
     )
 
 
+def _may_hold(text: Column, tokens: list[str]) -> Column:
+    """False only where none of the tokens can occur; text that cleaning or NFKC may change passes."""
+    return F.lower(text).rlike("|".join([*tokens, tx.NFKC_TEST])) | text.rlike(markup.MARKS)
+
+
 def message_postings(messages: DataFrame, tokens: list[str] | None = None) -> DataFrame:
     """Postings of turn bodies, taken from their visible text."""
+    if tokens is not None:
+        messages = messages.where(_may_hold(F.col("body"), tokens))
     return _postings(
         messages.select(
             "conversation_id",

@@ -214,12 +214,8 @@ def body_matches(messages: DataFrame, clauses: list[Clause], postings: DataFrame
     narrowed = candidates(postings, clauses) if postings is not None else None
     if narrowed is not None:
         messages = messages.join(narrowed, "id", "left_semi")
-    rows = messages.select(
-        "conversation_id",
-        F.col("id").alias("source"),
-        "role",
-        tx.normalise(markup.visible_text("body")).alias("norm"),
-    )
+    rows = messages.select("conversation_id", F.col("id").alias("source"), "role", "body")
+    rows = tx.with_normalised(rows, "norm", markup.visible_text("body"))
     tests = [(c, text_test(F.col("norm"), c)) for c in clauses]
     return _literal_matches(rows, ["conversation_id", "source", "role"], tests)
 

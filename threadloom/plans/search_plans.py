@@ -159,8 +159,8 @@ def tokens_function(spark, sf_dir):
 
 @query("p01_normalise", sql=with_ctes(model.DOC_MSG, body="SELECT id, md5(lower(body)) AS h, length(lower(body)) AS n FROM msg"))
 def normalised(spark, sf_dir):
-    norm = tx.normalise("body")
-    return model.document_messages(spark, sf_dir).select("id", F.md5(norm).alias("h"), F.length(norm).cast("bigint").alias("n"))
+    norm = F.col("norm")
+    return tx.with_normalised(model.document_messages(spark, sf_dir), "norm", F.col("body")).select("id", F.md5(norm).alias("h"), F.length(norm).cast("bigint").alias("n"))
 
 
 @query("x02_nfkc", sql=with_ctes(model.MSG, body="SELECT id, md5(nfc_normalize(body)) AS h FROM msg"))
@@ -185,8 +185,8 @@ def spans(spark, sf_dir):
   FROM tok WHERE source <> 'title' GROUP BY source"""))
 def distinct(spark, sf_dir):
     turns = model.document_messages(spark, sf_dir)
-    tokens = tx.distinct_tokens(tx.normalise(markup.visible_text("body")))
-    return turns.select("id", tokens.alias("t")).where(F.size("t") > 0).select(
+    turns = tx.with_normalised(turns, "norm", markup.visible_text("body"))
+    return turns.select("id", tx.distinct_tokens("norm").alias("t")).where(F.size("t") > 0).select(
         "id", F.size("t").cast("bigint").alias("n_tokens"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("h")
     )
 
@@ -222,8 +222,8 @@ def query_spans(spark, sf_dir):
 @query("p06_whole_words", sql=with_ctes(model.DOC_MSG, body=f"""
   SELECT id, {whole('lower(body)', 'the this')} AS phrase, {whole('lower(body)', 'thin')} AS word FROM msg"""))
 def whole_words(spark, sf_dir):
-    norm = tx.normalise("body")
-    turns = model.document_messages(spark, sf_dir)
+    norm = F.col("norm")
+    turns = tx.with_normalised(model.document_messages(spark, sf_dir), "norm", F.col("body"))
     return turns.select("id", tx.contains_whole(norm, F.lit("the this")).alias("phrase"), tx.contains_whole(norm, F.lit("thin")).alias("word"))
 
 

@@ -31,7 +31,8 @@ def merge_clock(ms: Column, source: Column, arrival: Column, now_ms: int) -> Col
     wins, and on equal times the later arrival names the source. The result does not
     depend on the order in which rows are folded.
     """
-    at = F.least(page_ms(ms, now_ms), F.lit(now_ms).cast("bigint"))
+    shown = page_ms(ms, now_ms)
+    at = F.when(shown > now_ms, F.lit(now_ms).cast("bigint")).otherwise(shown)
     usable = at.isNotNull() & (clock_class(source) > 0)
     best = F.max_by(
         F.struct(at.alias("ms"), source.alias("source")), F.when(usable, F.struct(clock_class(source).alias("c"), at.alias("m"), arrival.alias("a")))

@@ -77,8 +77,7 @@ def progress(items: DataFrame) -> DataFrame:
         *[F.count_if(F.col("state") == s).alias(s) for s in ("captured", "skipped", "failed", "waiting")],
     )
     done = F.col("captured") + F.col("failed")
-    held = done % BATCH
-    rests = F.floor((held + F.greatest(F.col("waiting") - 1, F.lit(0))) / BATCH) + F.when((held == 0) & (done > 0) & (F.col("waiting") > 0), 1).otherwise(0)
+    rests = F.floor((done + F.col("waiting") - 1) / BATCH) - F.floor((F.greatest(done, F.lit(1)) - 1) / BATCH)
     left = F.col("waiting") * ((GAP_MIN + GAP_MAX) // 2) + F.when(F.col("waiting") > 0, rests).otherwise(0) * REST
     return counts.withColumn("eta_ms", left.cast("bigint"))
 

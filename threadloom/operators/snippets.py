@@ -1,10 +1,14 @@
-"""Snippets, highlight ranges, previews and hit lists."""
+"""Snippets, previews and hit lists of search results."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import markup, ranges
+from ..functions import text as tx
+from .ordered import chunk_of, ordinals, running
+
 
 def snippet_tokens(tokens: DataFrame, k: int = 3) -> DataFrame:
     """The three longest tokens per query; one-character tokens only when there are no others."""
@@ -13,3 +17,64 @@ def snippet_tokens(tokens: DataFrame, k: int = 3) -> DataFrame:
     pool = tokens.select("query_id", "token").withColumn("longer", longer)
     pool = pool.where((F.length("token") >= 2) | ~F.col("longer"))
     return pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("longer")
+
+
+def with_ranges(messages: DataFrame, query: str) -> DataFrame:
+    """Messages that match a plain query, with their flat text and ranges.
+
+    A cheap test on the body drops the others before any range is computed.
+    """
+    terms = [tx.fold(t) for t in query.split()[:8]]
+    maybe = F.lower("body").rlike("|".join([*(ranges.quoted(t) for t in terms), tx.NFKC_TEST])) | F.col("body").rlike(markup.MARKS)
+    rows = messages.where(maybe).withColumn("flat", markup.idle_text("body"))
+    rows = tx.with_normalised(rows, "norm", F.col("flat"))
+    rows = rows.withColumn("ranges", ranges.term_ranges(F.col("norm"), query)).drop("norm")
+    return rows.where(F.size("ranges") > 0)
+
+
+def best_snippets(messages: DataFrame, query: str) -> DataFrame:
+    """One snippet per conversation: most ranges, then the earliest first range, then id."""
+    hits = with_ranges(messages, query)
+    score = F.size("ranges") * 100000 - F.col("ranges")[0]["start"]
+    cut = ranges.snippet(F.col("flat"), F.col("ranges"), literal=False)
+    rows = hits.select("conversation_id", "id", score.alias("score"), cut.alias("cut"))
+    best = F.max_by(F.struct("id", "cut"), F.struct("score", "id"))
+    return rows.groupBy("conversation_id").agg(best.alias("b")).select("conversation_id", "b.id", "b.cut.text", "b.cut.ranges")
+
+
+def choose_preview(kind_rows: DataFrame) -> DataFrame:
+    """Snippet, else first prompt, else last message, else none or title-only.
+
+    ``kind_rows``: snippet, first_user_preview, last_preview, message_count and any keys.
+    """
+    first, last = tx.preview_text(markup.idle_text("first_user_preview")), tx.preview_text(markup.idle_text("last_preview"))
+    some = lambda c, kind: F.when(c != "", F.struct(F.lit(kind).alias("kind"), c.alias("text")))
+    rest = F.struct(F.when(F.col("message_count") > 0, "none").otherwise("title-only").alias("kind"), F.lit("").alias("text"))
+    picked = F.coalesce(some(F.coalesce("snippet", F.lit("")), "snippet"), some(first, "first-user"), some(last, "last"), rest)
+    keys = [c for c in kind_rows.columns if c not in ("snippet", "first_user_preview", "last_preview", "message_count")]
+    return kind_rows.select(*keys, picked.alias("p")).select(*keys, "p.kind", "p.text")
+
+
+def hit_list(headers: DataFrame, ordered: DataFrame, query: str) -> DataFrame:
+    """Numbered hits: title first, then messages in order, each with its neighbours.
+
+    ``ordered``: conversation_id, id, pos, body.
+    """
+    terms = query
+    titles = tx.with_normalised(headers.select(F.col("id").alias("conversation_id"), "title"), "norm", F.col("title"))
+    in_title = titles.select("conversation_id", F.lit(0).cast("bigint").alias("pos"), F.lit("title").alias("id"), F.inline(ranges.term_ranges(F.col("norm"), terms)))
+    bodies = tx.with_normalised(ordered, "norm", F.col("body"))
+    in_body = bodies.select("conversation_id", F.col("pos").cast("bigint").alias("pos"), "id", F.inline(ranges.term_ranges(F.col("norm"), terms)))
+    hits = in_title.unionByName(in_body)
+    numbered = ordinals(hits, ["conversation_id"], ["pos", "start"], chunk_of("pos", 256), "hit")
+    here = F.col("id")
+    return running(numbered, ["conversation_id"], ["hit"], chunk_of("hit"), prev_id=("near", here, "before"), next_id=("near", here, "after"))
+
+
+def shown_hits(hits: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Hits that are not wholly inside a hidden range of the same message.
+
+    ``hits``: id, start, end. ``hidden``: id, h_start, h_end.
+    """
+    covered = (hits["id"] == hidden["id"]) & (hits["start"] >= hidden["h_start"]) & (hits["end"] <= hidden["h_end"])
+    return hits.join(hidden, covered, "left_anti")

@@ -75,8 +75,8 @@ def _cut(expr, a, b):
 
 _PLAINM = "plainm AS (SELECT * FROM msg WHERE NOT regexp_matches(body, '[*_`#|\\[\\]>~]|[hH][tT][tT][pP]|--'))"
 _FLATM = f"flatm AS (SELECT conversation_id, id, turn, f, lower(f) AS t FROM (SELECT *, {flat('body')} AS f FROM plainm))"
-_FW = occurrences("fw", "flatm", "[a-z0-9]+", "conversation_id, id, turn, f")
-_SNIP = f"""hit AS (SELECT conversation_id, id, f, count(*) AS n, min(start) AS a, arg_min(start + length(token), start) AS b FROM fw WHERE token IN ('thin', 'erth') GROUP BY ALL)"""
+_FW = occurrences("fw", "flatm", "[a-z0-9]+", "id")
+_SNIP = f"""hit AS (SELECT conversation_id, id, f, n, a, b FROM flatm JOIN (SELECT id, count(*) AS n, min(start) AS a, arg_min(start + length(token), start) AS b FROM fw WHERE token IN ('thin', 'erth') GROUP BY id) USING (id))"""
 
 
 def _plain_turns(spark, sf_dir):
@@ -156,20 +156,20 @@ _CUT = f"regexp_replace({_CUT}, '(?s)<!--.*?-->', ' ', 'g')"
 for _tag in pages.DROPPED:
     _CUT = f"regexp_replace({_CUT}, '(?is)<{_tag}\\b.*?</{_tag}\\s*>', ' ', 'g')"
 _BLOCKS = f"""blk AS (
-  SELECT page_id, at, {_plain_sql('part')} AS text, len(regexp_extract_all(part, '(?i)<a\\b[^>]*href="[^"]*/c/')) AS chat_links FROM (
-    SELECT page_id, generate_subscripts(ps, 1) - 1 AS at, unnest(ps) AS part FROM (
+  SELECT page_id, idx, {_plain_sql('part')} AS text, len(regexp_extract_all(part, '(?i)<a\\b[^>]*href="[^"]*/c/')) AS chat_links FROM (
+    SELECT page_id, generate_subscripts(ps, 1) - 1 AS idx, unnest(ps) AS part FROM (
       SELECT page_id, string_split(regexp_replace({_CUT}, {quote(pages.BLOCK_EDGE)}, chr(1), 'g'), chr(1)) AS ps FROM pages)))"""
 
 
-@query("p22_page_blocks", sql=with_ctes(_BLOCKS, body="SELECT page_id, at, text FROM blk WHERE text <> ''"))
+@query("p22_page_blocks", sql=with_ctes(_BLOCKS, body="SELECT page_id, idx, text FROM blk WHERE text <> ''"))
 def page_blocks(spark, sf_dir):
-    return pages.page_blocks(model.load(spark, sf_dir, "pages")).select("page_id", "at", "text")
+    return pages.page_blocks(model.load(spark, sf_dir, "pages")).select("page_id", "idx", "text")
 
 
 @query("f13_prose_blocks", sql=with_ctes(_BLOCKS, body=f"""
-  SELECT page_id, at FROM blk WHERE length(text) >= 24 AND chat_links < 3 AND NOT (length(text) <= 180 AND regexp_matches(text, {quote(pages.HINTS)}))"""))
+  SELECT page_id, idx FROM blk WHERE length(text) >= 24 AND chat_links < 3 AND NOT (length(text) <= 180 AND regexp_matches(text, {quote(pages.HINTS)}))"""))
 def prose_blocks(spark, sf_dir):
-    return pages.prose_blocks(pages.page_blocks(model.load(spark, sf_dir, "pages"))).select("page_id", "at")
+    return pages.prose_blocks(pages.page_blocks(model.load(spark, sf_dir, "pages"))).select("page_id", "idx")
 
 
 _CHAT = "regexp_replace(html, 'href=\"/([A-Za-z])', 'href=\"https://grok.com/c/' || left(md5(url), 18) || '{g}', 'g')"
@@ -177,9 +177,9 @@ _CHAT = "regexp_replace(html, 'href=\"/([A-Za-z])', 'href=\"https://grok.com/c/'
 
 @query("p29_list_rows", sql=f"""
   WITH l AS (SELECT page_id, regexp_extract_all(h, '(?is)<a\\b[^>]*\\bhref="([^"]*)"[^>]*>(.*?)</a>', 1) AS hs, regexp_extract_all(h, '(?is)<a\\b[^>]*\\bhref="([^"]*)"[^>]*>(.*?)</a>', 2) AS ls FROM (SELECT page_id, {_CHAT.replace('{g}', chr(92) + '1')} AS h FROM pages)),
-  x AS (SELECT page_id, generate_subscripts(hs, 1) - 1 AS at, unnest(hs) AS href, unnest(ls) AS label FROM l),
-  y AS (SELECT page_id, at, 'grok:' || lower(regexp_extract(href, '^https://grok.com/c/([A-Za-z0-9_-]{{16,128}})(?:/|$)', 1)) AS id, {_plain_sql('label')} AS title FROM x WHERE regexp_matches(href, '^https://grok.com/c/[A-Za-z0-9_-]{{16,128}}(?:/|$)'))
-  SELECT page_id, id, min(at) AS at, arg_min(title, at) FILTER (title <> '') AS title FROM y GROUP BY page_id, id""")
+  x AS (SELECT page_id, generate_subscripts(hs, 1) - 1 AS idx, unnest(hs) AS href, unnest(ls) AS label FROM l),
+  y AS (SELECT page_id, idx, 'grok:' || lower(regexp_extract(href, '^https://grok.com/c/([A-Za-z0-9_-]{{16,128}})(?:/|$)', 1)) AS id, {_plain_sql('label')} AS title FROM x WHERE regexp_matches(href, '^https://grok.com/c/[A-Za-z0-9_-]{{16,128}}(?:/|$)'))
+  SELECT page_id, id, min(idx) AS idx, arg_min(title, idx) FILTER (title <> '') AS title FROM y GROUP BY page_id, id""")
 def list_rows(spark, sf_dir):
     chat = F.regexp_replace("html", F.lit('href="/([A-Za-z])'), F.concat(F.lit('href="https://grok.com/c/'), F.left(F.md5("url"), F.lit(18)), F.lit("$1")))
     return pages.list_rows(model.load(spark, sf_dir, "pages").withColumn("html", chat))

@@ -31,9 +31,9 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     html = F.regexp_replace("html", r"(?s)<!--.*?-->", " ")
     for tag in DROPPED:
         html = F.regexp_replace(html, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
-    parts = pages.select("page_id", F.posexplode(F.split(html, BLOCK_EDGE)).alias("at", "part"))
+    parts = pages.select("page_id", F.posexplode(F.split(html, BLOCK_EDGE)).alias("idx", "part"))
     chat = F.regexp_count("part", F.lit(r"""(?i)<a\b[^>]*href="[^"]*/c/"""))
-    rows = parts.select("page_id", "at", chat.alias("chat_links"), plain_text(F.col("part")).alias("text"))
+    rows = parts.select("page_id", "idx", chat.alias("chat_links"), plain_text(F.col("part")).alias("text"))
     return rows.where("text <> ''")
 
 
@@ -60,11 +60,11 @@ def list_rows(pages: DataFrame) -> DataFrame:
     pairs = F.arrays_zip(
         F.regexp_extract_all("html", F.lit(LINK), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(LINK), F.lit(2)).alias("label")
     )
-    rows = pages.select("page_id", F.posexplode(pairs).alias("at", "p")).select("page_id", "at", F.col("p.href").alias("href"), plain_text(F.col("p.label")).alias("label"))
+    rows = pages.select("page_id", F.posexplode(pairs).alias("idx", "p")).select("page_id", "idx", F.col("p.href").alias("href"), plain_text(F.col("p.label")).alias("label"))
     seen = rows.withColumn("a", links.address(F.col("href"))).where(F.col("a.platform_id").isNotNull())
     title = let(links.strip_site(F.col("label")), lambda t: F.when(~links.is_generic_title(t), t))
     kept = seen.groupBy("page_id", F.concat_ws(":", "a.platform", "a.platform_id").alias("id")).agg(
-        F.min("at").alias("at"), F.min_by(title, F.when(title.isNotNull(), F.col("at"))).alias("title"))
+        F.min("idx").alias("idx"), F.min_by(title, F.when(title.isNotNull(), F.col("idx"))).alias("title"))
     return kept
 
 

@@ -36,12 +36,13 @@ PREVIEW_CHARS = 360
 # Characters NFKC never changes, alone or next to each other. Text made only of these
 # skips the Arrow function.
 NFKC_STABLE = (
-    r"\x00-\x7f¡§©«®°±¶·»¿"
+    r"¡§©«®°±¶·»¿"
     r"À-ıĴ-ľŁ-ňŊ-žЁА-яё"
     r"–—‘-‟†-•€、-〃々〈-】"
     r"ぁ-ゖァ-ヺー㐀-䶿一-鿿가-힣"
 )
-NFKC_TEST = f"[^{NFKC_STABLE}]"
+# The intersection lets ASCII leave after one comparison.
+NFKC_TEST = rf"[\x{{80}}-\x{{10FFFF}}&&[^{NFKC_STABLE}]]"
 
 _word = re.compile(f"{WORD}")
 _number = re.compile(f"{NUMBER}")
@@ -50,15 +51,6 @@ _cjk = re.compile(f"[{CJK_RUN}]+")
 SPAN = T.ArrayType(
     T.StructType([T.StructField("token", T.StringType()), T.StructField("start", T.IntegerType())])
 )
-POSTING = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("token", T.StringType()),
-            T.StructField("positions", T.ArrayType(T.IntegerType())),
-        ]
-    )
-)
-
 
 def fold(text: str) -> str:
     """Driver-side twin of :func:`normalise` for literals."""
@@ -115,11 +107,6 @@ def _span_array(flat: list[tuple[str, int]]) -> pa.Array:
     )
 
 
-def _posting_array(flat: list[tuple[str, list[int]]]) -> pa.Array:
-    places = _nested([p for _, p in flat], lambda v: pa.array(v, pa.int32()))
-    return pa.StructArray.from_arrays([pa.array([t for t, _ in flat], pa.string()), places], ["token", "positions"])
-
-
 def _grouped(text: str, wanted: frozenset[str] | None = None) -> list[tuple[str, list[int]]]:
     by_token: dict[str, list[int]] = {}
     for token, start in _spans_of(text):
@@ -136,21 +123,29 @@ def token_spans(texts: pa.Array) -> pa.Array:
     return _nested([list(_spans_of(fold(t))) for t in texts.to_pylist()], _span_array)
 
 
-@F.arrow_udf(POSTING)
-def token_postings(texts: pa.Array) -> pa.Array:
-    """Distinct tokens of a text, each with its first 32 starts in ascending order."""
-    return _nested([_grouped(fold(t)) for t in texts.to_pylist()], _posting_array)
+def posting_rows(keys: list[str], tokens: list[str] | None = None):
+    """For ``mapInArrow``: rows of (keys..., text) as rows of (token, keys..., positions).
 
-
-def wanted_postings(tokens: list[str]):
-    """Like :func:`token_postings`, for a given set of tokens only."""
-    wanted = frozenset(tokens)
-
-    @F.arrow_udf(POSTING)
-    def postings_of(texts: pa.Array) -> pa.Array:
-        return _nested([_grouped(fold(t), wanted) for t in texts.to_pylist()], _posting_array)
-
-    return postings_of
+    One posting per distinct token of a text with its first 32 starts. The keys are
+    repeated with Arrow's own ``take``, so Python only ever touches the text.
+    """
+    wanted = None if tokens is None else frozenset(tokens)
+
+    def run(batches):
+        for batch in batches:
+            owners, names, places, offsets = [], [], [], [0]
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                for token, starts in _grouped(fold(text), wanted):
+                    owners.append(row)
+                    names.append(token)
+                    places.extend(starts)
+                    offsets.append(len(places))
+            repeat = pa.array(owners, pa.int32())
+            columns = [pa.array(names, pa.string()), *[batch.column(k).take(repeat) for k in keys]]
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, ["token", *keys, "positions"])
+
+    return run
 
 
 def distinct_tokens(normalised: Column | str) -> Column:

@@ -8,12 +8,16 @@ token found everywhere is written by many tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions import text as tx
 
+SCHEMA = "token STRING, conversation_id STRING, source STRING, role STRING, positions ARRAY<INT>"
 BUCKETS = 64
 SALTS = 16
 
@@ -24,18 +28,16 @@ def bucket_of(token: Column) -> Column:
 
 def _postings(texts: DataFrame, tokens: list[str] | None = None) -> DataFrame:
     """``texts``: conversation_id, source, role, text."""
-    udf = tx.token_postings
-    if tokens is not None:
-        udf = tx.wanted_postings(tokens)
-    held = texts.select("conversation_id", "source", "role", udf("text").alias("p"))
-    return held.select("conversation_id", "source", "role", F.inline("p")).select(
-        "token", "conversation_id", "source", "role", "positions"
-    )
+    keys = ["conversation_id", "source", "role"]
+    rows = texts.select(*keys, "text")
+    return rows.mapInArrow(tx.posting_rows(keys, tokens), SCHEMA)
 
 
 def _may_hold(text: Column, tokens: list[str]) -> Column:
     """False only where none of the tokens can occur; text that cleaning or NFKC may change passes."""
-    return F.lower(text).rlike("|".join([*tokens, tx.NFKC_TEST])) | text.rlike(markup.MARKS)
+    low = F.lower(text)
+    held = reduce(or_, [F.contains(low, F.lit(t)) for t in tokens], F.lit(False))
+    return held | text.rlike(f"{tx.NFKC_TEST}|{markup.MARKS}")
 
 
 def message_postings(messages: DataFrame, tokens: list[str] | None = None) -> DataFrame:

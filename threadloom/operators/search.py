@@ -201,7 +201,7 @@ def candidates(postings: DataFrame, clauses: list[Clause]) -> DataFrame | None:
     any_of = F.lit(False)
     for text, prefix in anchors:
         any_of = any_of | (token.startswith(text) if prefix else token == text)
-    low, high = min(a for a, _ in anchors), max(a for a, _ in anchors) + "￿"
+    low, high = min(a for a, _ in anchors), max(a + "￿" for a, _ in anchors)
     return postings.where((token >= low) & (token < high) & any_of).select(F.col("source").alias("id")).distinct()
 
 

@@ -137,6 +137,7 @@ def test_stamps_that_repeat_often_are_counted_without_pairs(spark, monkeypatch):
     want = {(f"p{i}", f"s{i}") for i in range(7, 40)}
     assert {(r.page_id, r.stored_id) for r in align.rekeyed_turns(s, p).collect()} == want
     monkeypatch.setattr(align, "HOT_PAIRS", 10)
+    monkeypatch.setattr(align, "BLOCK", 8)
     assert {(r.page_id, r.stored_id) for r in align.rekeyed_turns(s, p).collect()} == want
 
 

@@ -16,6 +16,7 @@ from . import identity
 
 MAX_CHAIN = 5000
 HOT_PAIRS = 10000
+BLOCK = 65536
 CHUNK_MESSAGES, CHUNK_CHARS, ROW_CHARS = 20, 350000, 80
 
 
@@ -62,14 +63,20 @@ def proved_transcripts(tree: DataFrame, current: DataFrame, shown: DataFrame) ->
 
 
 def _diagonals(rows: pd.DataFrame) -> pd.DataFrame:
-    """Matching pairs per diagonal for one stamp that repeats often, by correlation."""
+    """Matching pairs per diagonal for one stamp that repeats often, by correlation.
+
+    The rows are one block of stored positions and one block of page positions.
+    """
     stored, page = rows[rows["side"] == "s"], rows[rows["side"] == "p"]
-    base, reach = int(page["idx"].max()), int(max(rows["idx"].max(), 0)) + 1
+    if not len(stored) or not len(page):
+        return pd.DataFrame({"conversation_id": [], "d": [], "pairs": [], "tail": []})
+    low, base = int(stored["idx"].min()), int(page["idx"].max())
+    reach = max(int(stored["idx"].max()) - low, base - int(page["idx"].min())) + 1
 
     def correlate(s: pd.DataFrame, p: pd.DataFrame) -> np.ndarray:
         size = 1 << (2 * reach).bit_length()
         a, b = np.zeros(size), np.zeros(size)
-        a[s["idx"].to_numpy()] = 1
+        a[s["idx"].to_numpy() - low] = 1
         b[base - p["idx"].to_numpy()] = 1
         return np.rint(np.fft.irfft(np.fft.rfft(a) * np.fft.rfft(b), size)).astype(np.int64)
 
@@ -78,7 +85,7 @@ def _diagonals(rows: pd.DataFrame) -> pd.DataFrame:
         both = s.groupby("turn_id")["idx"].apply(np.asarray).to_dict()
         for turn, at in p.groupby("turn_id")["idx"]:
             for place in both.get(turn, ()):
-                np.add.at(out, place - at.to_numpy() + base, 1)
+                np.add.at(out, place - low - at.to_numpy() + base, 1)
         return out
 
     total = correlate(stored, page)
@@ -88,19 +95,14 @@ def _diagonals(rows: pd.DataFrame) -> pd.DataFrame:
     conflicts -= same_turn(s_named, p_named, len(total)) - same_turn(s_loose, p_loose, len(total))
     counts = total - conflicts
     found = np.nonzero(counts > 0)[0]
-    tail = int(stored["last_idx"].iloc[0]) if len(stored) else -1
-    hits = set(stored.loc[stored["idx"] == tail, "idx"])
-    at_tail = []
-    for place in found:
-        d = int(place) - base
-        ends = page[page["idx"] == tail - d] if hits else page.iloc[:0]
-        last = stored[stored["idx"] == tail]
-        ok = len(ends) > 0 and len(last) > 0
-        if ok:
-            a, b = last.iloc[0], ends.iloc[0]
-            ok = not (a["turn_id"] and b["turn_id"] and a["turn_id"] != b["turn_id"] and not (a["synthetic"] and b["synthetic"]))
-        at_tail.append(ok)
-    return pd.DataFrame({"conversation_id": rows["conversation_id"].iloc[0], "d": found - base, "pairs": counts[found], "tail": at_tail})
+    last = stored[stored["idx"] == stored["last_idx"]]
+    ends = pd.Series(dtype="int64")
+    if len(last):
+        row = last.iloc[0]
+        loose = (page["turn_id"] == "") | (page["turn_id"] == row["turn_id"]) | (row["turn_id"] == "") | (page["synthetic"] & row["synthetic"])
+        ends = row["idx"] - page.loc[loose, "idx"]
+    offsets = found + low - base
+    return pd.DataFrame({"conversation_id": rows["conversation_id"].iloc[0], "d": offsets, "pairs": counts[found], "tail": np.isin(offsets, ends.to_numpy())})
 
 
 def rekeyed_turns(stored: DataFrame, page: DataFrame) -> DataFrame:
@@ -132,8 +134,16 @@ def rekeyed_turns(stored: DataFrame, page: DataFrame) -> DataFrame:
     xs, ys = {c: F.col(f"x.{c}") for c in thin}, {c: F.col(f"y.{c}") for c in thin}
     counted = pairs.where(~clash(xs, ys)).groupBy(F.col("x.conversation_id").alias("conversation_id"), (F.col("x.idx") - F.col("y.idx")).alias("d")).agg(
         F.count("*").alias("pairs"), F.bool_or(F.col("x.idx") == F.col("x.last_idx")).alias("tail"))
-    packed = a.withColumn("side", F.lit("s")).unionByName(b.withColumn("side", F.lit("p")).withColumn("last_idx", F.lit(-1).cast("bigint"))).join(hot, ["conversation_id", "stamp"], "left_semi")
-    dense = packed.groupBy("conversation_id", "stamp").applyInPandas(_diagonals, "conversation_id STRING, d BIGINT, pairs BIGINT, tail BOOLEAN")
+    # Positions are cut into blocks and every pair of blocks is one bounded group.
+    block = F.floor(F.col("idx") / BLOCK)
+    hot_a = a.join(hot, ["conversation_id", "stamp"], "left_semi").withColumn("s_block", block)
+    hot_b = b.join(hot, ["conversation_id", "stamp"], "left_semi").withColumn("p_block", block)
+    s_blocks = hot_a.select("conversation_id", "stamp", "s_block").distinct()
+    p_blocks = hot_b.select("conversation_id", "stamp", "p_block").distinct()
+    s_rows = hot_a.join(p_blocks, ["conversation_id", "stamp"]).withColumn("side", F.lit("s"))
+    p_rows = hot_b.join(s_blocks, ["conversation_id", "stamp"]).withColumn("side", F.lit("p")).withColumn("last_idx", F.lit(-1).cast("bigint"))
+    packed = s_rows.unionByName(p_rows)
+    dense = packed.groupBy("conversation_id", "stamp", "s_block", "p_block").applyInPandas(_diagonals, "conversation_id STRING, d BIGINT, pairs BIGINT, tail BOOLEAN")
     scores = counted.unionByName(dense).groupBy("conversation_id", "d").agg(F.sum("pairs").alias("pairs"), F.bool_or("tail").alias("tail"))
     score = F.col("pairs") * 4 + F.when(F.col("tail"), 2).otherwise(0)
     best = scores.groupBy("conversation_id").agg(F.max_by("d", F.struct(score, F.col("d"))).alias("d"))

@@ -119,7 +119,6 @@ def move_images(images: DataFrame, folds: DataFrame) -> DataFrame:
     own = images.join(folds.select(F.col("keep_id").alias("message_id")).distinct(), "message_id", "left_semi")
     taken = own.groupBy("message_id").agg(F.collect_set("idx").alias("taken")).withColumnRenamed("message_id", "keep_id")
     rows = moved.join(taken, "keep_id", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
-    rows = rows.withColumn("place", F.hash("message_id").cast("bigint") * 0 + F.col("idx").cast("bigint"))
     clash = F.array_contains("taken", F.col("idx"))
     first = rows.where(~clash).groupBy("keep_id", "idx").agg(F.min("message_id").alias("first_from"))
     rows = rows.join(first, ["keep_id", "idx"], "left")
@@ -127,7 +126,9 @@ def move_images(images: DataFrame, folds: DataFrame) -> DataFrame:
     settled = first.groupBy("keep_id").agg(F.collect_set("idx").alias("more"))
     rows = rows.join(settled, "keep_id", "left").withColumn("stays", stays)
     held = F.array_union("taken", F.coalesce("more", F.array().cast("array<int>")))
-    displaced = ordinals(rows.where("not stays").withColumn("held", F.array_sort(held)), ["keep_id"], ["message_id", "idx"], F.lit(0).cast("bigint"), "nth")
+    # Hash order lets the moved pictures of one turn be numbered in chunks.
+    loose = rows.where("not stays").withColumn("held", F.array_sort(held)).withColumn("h", F.xxhash64("message_id"))
+    displaced = ordinals(loose, ["keep_id"], ["h", "message_id", "idx"], F.shiftright("h", 52), "nth")
     # n-th number that is not held: start at n - 1 and step over every held number met.
     free = F.aggregate("held", (F.col("nth") - 1).cast("int"), lambda at, taken_at: F.when(taken_at <= at, at + 1).otherwise(at))
     base = ["message_id", "keep_id"]

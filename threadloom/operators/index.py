@@ -2,8 +2,7 @@
 
 A posting is one row per (token, conversation, source). All occurrences of a token in a
 source sit in one text, so postings are formed inside the row of that text and the build
-moves no data. Only storing them does: by token bucket, salted by conversation so that a
-token found everywhere is written by many tasks.
+moves no data. Only storing them does, by token bucket, with tasks sized at run time.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from ..functions import text as tx
 
 SCHEMA = "token STRING, conversation_id STRING, source STRING, role STRING, positions ARRAY<INT>"
 BUCKETS = 64
-SALTS = 16
 
 
 def bucket_of(token: Column) -> Column:
@@ -73,12 +71,14 @@ def build_postings(headers: DataFrame, messages: DataFrame, tokens: list[str] |
 
 
 def write_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store by token bucket; rows of a file are sorted by token for min-max pruning."""
+    """Store by token bucket; rows of a file are sorted by token for min-max pruning.
+
+    The rebalance step sizes the writing tasks at run time: buckets are kept together while
+    they are small, and one swollen by a token found everywhere is split over many tasks.
+    """
     (
         postings.withColumn("token_bucket", bucket_of(F.col("token")))
-        .withColumn("salt", F.pmod(F.xxhash64("conversation_id"), F.lit(SALTS)))
-        .repartition("token_bucket", "salt")
-        .drop("salt")
+        .hint("rebalance", "token_bucket")
         .sortWithinPartitions("token_bucket", "token", "conversation_id")
         .write.mode(mode)
         .partitionBy("token_bucket")

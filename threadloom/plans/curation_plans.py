@@ -129,7 +129,7 @@ def message_count(spark, sf_dir):
 
 
 @query("a07_role_profile", sql=with_ctes(model.DOC_MSG, body=f"""
-  SELECT conversation_id, count_if(role = 'user') AS user_count, count_if(role <> 'user') AS assistant_count, sum(length(b))::BIGINT AS chars
+  SELECT conversation_id, count(*) FILTER (role = 'user') AS user_count, count(*) FILTER (role <> 'user') AS assistant_count, sum(length(b))::BIGINT AS chars
   FROM (SELECT *, {_STATUS} AS b FROM msg) WHERE NOT {_PROGRESS} GROUP BY conversation_id"""))
 def role_profile(spark, sf_dir):
     rows = _turns(spark, sf_dir).select("conversation_id", "role", F.expr(_STATUS).alias("b")).where(~identity.is_progress(F.col("b")))

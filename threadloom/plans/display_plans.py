@@ -278,7 +278,7 @@ def image_bytes(spark, sf_dir):
 
 
 @query("a13_image_usage", sql=with_ctes(IMG, body="""
-  SELECT greatest(sum(bytes), 0)::BIGINT AS bytes, count(*) AS detected, count_if(status = 'cached') AS cached, count_if(status = 'uncached') AS uncached, count_if(status = 'oversized') AS oversized, count_if(status = 'timeout') AS timeout, count_if(status = 'not-loaded') AS not_loaded, count_if(status = 'cleared') AS cleared FROM nimg"""))
+  SELECT greatest(sum(bytes), 0)::BIGINT AS bytes, count(*) AS detected, count(*) FILTER (status = 'cached') AS cached, count(*) FILTER (status = 'uncached') AS uncached, count(*) FILTER (status = 'oversized') AS oversized, count(*) FILTER (status = 'timeout') AS timeout, count(*) FILTER (status = 'not-loaded') AS not_loaded, count(*) FILTER (status = 'cleared') AS cleared FROM nimg"""))
 def image_usage(spark, sf_dir):
     return images.usage(images.normalise_images(_images(spark, sf_dir)))
 

@@ -434,9 +434,9 @@ _STATES = "CASE WHEN conv_no % 9 = 0 THEN 'skipped' WHEN conv_no % 9 < 5 THEN 'c
 
 
 @query("a15_refresh_progress", sql=with_ctes(model.DOC_MSG, model.HDR, f"""
-  c AS (SELECT platform, count(*) AS total, count_if(s = 'captured') AS captured, count_if(s = 'skipped') AS skipped, count_if(s = 'failed') AS failed, count_if(s = 'waiting') AS waiting FROM (SELECT platform, {_STATES} AS s FROM hdr) GROUP BY platform),
+  c AS (SELECT platform, count(*) AS total, count(*) FILTER (s = 'captured') AS captured, count(*) FILTER (s = 'skipped') AS skipped, count(*) FILTER (s = 'failed') AS failed, count(*) FILTER (s = 'waiting') AS waiting FROM (SELECT platform, {_STATES} AS s FROM hdr) GROUP BY platform),
   pace AS (SELECT platform, 30 * 1000 * waiting + 600000 * count_if(done + i > 0 AND (done + i) % 30 = 0) AS eta_ms
-    FROM (SELECT *, captured + failed AS done, unnest(range(greatest(waiting, 1)::BIGINT)) AS i FROM c) GROUP BY platform, waiting)""".strip(), body="SELECT total, captured, skipped, failed, waiting, c.platform, CASE WHEN waiting = 0 THEN 0 ELSE eta_ms END AS eta_ms FROM c JOIN pace USING (platform)"))
+    FROM (SELECT *, captured + failed AS done, unnest(range(greatest(waiting, 1)::BIGINT)) AS i FROM c) GROUP BY platform, waiting)""".strip(), body="SELECT total, captured, skipped, failed, waiting, c.platform, (CASE WHEN waiting = 0 THEN 0 ELSE eta_ms END)::BIGINT AS eta_ms FROM c JOIN pace USING (platform)"))
 def refresh_progress(spark, sf_dir):
     heads = model.headers(model.document_messages(spark, sf_dir))
     return refresh.progress(heads.select("platform", F.expr(_STATES).alias("state")))

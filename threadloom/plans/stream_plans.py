@@ -131,7 +131,7 @@ def failure_streak_stream(spark, sf_dir):
 @query("st12_settled_turns", sql=with_ctes(EV, """
   k AS (SELECT event_id, 'x' || user_id % 80 AS turn_id, at_ms, event_type = 'view' AS progress FROM ev),
   g AS (SELECT *, sum(CASE WHEN progress THEN 0 ELSE 1 END) OVER (PARTITION BY turn_id ORDER BY at_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM k)""".strip(), body="""
-  SELECT max(event_id) FILTER (NOT progress) AS event_id, turn_id, count_if(progress) AS withheld FROM g GROUP BY turn_id, coalesce(run, 0) HAVING count_if(NOT progress) > 0"""))
+  SELECT max(event_id) FILTER (NOT progress) AS event_id, turn_id, count(*) FILTER (progress) AS withheld FROM g GROUP BY turn_id, coalesce(run, 0) HAVING count_if(NOT progress) > 0"""))
 def settled_turns(spark, sf_dir):
     rows = _event_stream(spark, sf_dir).withColumn("body", F.expr("case when event_type = 'view' then concat('Creating image ', event_id % 100, '%') else 'done' end"))
     rows = rows.select("event_id", "at", "at_ms", F.expr("concat('x', user_id % 80)").alias("turn_id"), identity.is_progress(F.col("body")).alias("progress"))

@@ -28,7 +28,8 @@ CJK = r"一-鿿㐀-䶿぀-ヿ가-힯"
 CJK_RUN = CJK + r"々"
 WORD = "[a-z][a-z0-9]{1,47}"
 NUMBER = "[0-9]{2,24}"
-SPACE = r"[\s   -     　﻿]"
+# White space as browsers see it. ASCII letters leave after two comparisons.
+SPACE = r"[\s[\x{80}-\x{FFFF}&&[\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]]"
 POSITION_CAP = 32
 PREVIEW_CHARS = 360
 # ----------------------------------------------------------------------------------

@@ -27,7 +27,7 @@ def visible(col: str) -> str:
 
 
 def flat(expr: str) -> str:
-    return f"trim(regexp_replace(coalesce({expr}, ''), '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]+', ' ', 'g'))"
+    return f"trim(regexp_replace(coalesce({expr}, ''), '[\\s\\v\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{feff}}]+', ' ', 'g'))"
 
 
 def turn_text(expr: str) -> str:

@@ -17,6 +17,8 @@ def build_session(master: str | None = None, app: str = "threadloom", **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Buffers of collected values are small and bounded here, so hashing pays for longer.
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
         **conf,
     }
     for key, value in settings.items():

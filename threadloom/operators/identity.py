@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions import text as tx
+from ..functions.let import let
+from ..session import cut_lineage
 from .ordered import chunk_of, ordinals, running
 
 # --- fixed values -----------------------------------------------------------------
@@ -170,6 +172,7 @@ def progress_folds(rows: DataFrame) -> DataFrame:
     status = (F.col("role") == "assistant") & is_progress(F.col("body"))
     slot = F.when((F.col("capture_index") >= 0) & (F.col("turn_id") != ""), F.struct("capture_index", "turn_id"))
     rows = rows.select("conversation_id", "ord", "id", "role", F.coalesce(status, F.lit(False)).alias("status"), slot.alias("slot"))
+    rows = cut_lineage(rows)  # short rows, read several times below; bodies are read once
     here = F.struct("id", "role", "status", "slot")
     rows = running(rows, ["conversation_id"], ["ord"], chunk_of("ord"), nxt=("near", here, "after"))
     joined = F.coalesce(F.col("slot") == F.col("nxt.slot"), F.lit(False))
@@ -193,6 +196,7 @@ def clone_drops(stored: DataFrame, page: DataFrame) -> DataFrame:
     ``stored``: conversation_id, ord (from 1), id, role, body, turn_id. ``page``:
     conversation_id, idx (from 0), id, role, body of a proved complete page.
     """
+    hashed = lambda c: let(c, lambda v: F.when(v == "", v).otherwise(F.md5(v)))
     sizes = page.groupBy("conversation_id").agg(F.count("*").alias("size")).where("size >= 2")
     totals = stored.groupBy("conversation_id").agg(F.count("*").alias("total"))
     fits = sizes.join(totals, "conversation_id").where("total >= size * 2 and total % size = 0 and total div size <= 8")
@@ -200,11 +204,12 @@ def clone_drops(stored: DataFrame, page: DataFrame) -> DataFrame:
         "conversation_id", "id", "size", "total",
         ((F.col("ord") - 1) % F.col("size")).alias("idx"),
         F.floor((F.col("ord") - 1) / F.col("size")).alias("block"),
-        turn_stamp(F.col("role"), F.col("body")).alias("stamp"),
+        hashed(turn_stamp(F.col("role"), F.col("body"))).alias("stamp"),
         "turn_id",
         (~F.col("id").rlike(SYNTHETIC_ID)).alias("native"),
     )
-    shown = page.select("conversation_id", "idx", F.col("id").alias("page_id"), turn_stamp(F.col("role"), F.col("body")).alias("page_stamp"))
+    rows = cut_lineage(rows)  # short rows, read several times below
+    shown = page.select("conversation_id", "idx", F.col("id").alias("page_id"), hashed(turn_stamp(F.col("role"), F.col("body"))).alias("page_stamp"))
     on_page = page.select("conversation_id", "id").distinct()
     anchored = (
         rows.join(on_page, ["conversation_id", "id"], "left_semi").groupBy("conversation_id").agg(F.min("block").alias("keep_block"))

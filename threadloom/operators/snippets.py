@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, ranges
 from ..functions import text as tx
+from ..session import cut_lineage
 from .ordered import chunk_of, ordinals, running
 
 
@@ -65,7 +66,7 @@ def hit_list(headers: DataFrame, ordered: DataFrame, query: str) -> DataFrame:
     in_title = titles.select("conversation_id", F.lit(0).cast("bigint").alias("pos"), F.lit("title").alias("id"), F.inline(ranges.term_ranges(F.col("norm"), terms)))
     bodies = tx.with_normalised(ordered, "norm", F.col("body"))
     in_body = bodies.select("conversation_id", F.col("pos").cast("bigint").alias("pos"), "id", F.inline(ranges.term_ranges(F.col("norm"), terms)))
-    hits = in_title.unionByName(in_body)
+    hits = cut_lineage(in_title.unionByName(in_body))  # short rows; texts are read once
     numbered = ordinals(hits, ["conversation_id"], ["pos", "start"], chunk_of("pos", 256), "hit")
     here = F.col("id")
     return running(numbered, ["conversation_id"], ["hit"], chunk_of("hit"), prev_id=("near", here, "before"), next_id=("near", here, "after"))

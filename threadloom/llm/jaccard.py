@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import lexer
+from .rows import release, small_side
 
-SKETCH_BITS = 20
+SKETCH_BITS = 18
 #: Lists whose counted bound is above this go through the path that splits hot keys.
 HOT_LIST = 8192
 #: Partners of one head that share a task's group.
@@ -141,12 +142,11 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Exact ``|a & b|`` of each distinct pair (a, b): columns a, b, both."""
-    salted = pairs.withColumn("salt", F.lit(0))
     sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts"))
     salted = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
     spokes = salted.select(F.col("a").alias("id"), F.col("b").alias("hub"), "salt", F.col("a").alias("spoke"))
     hubs = sizes.select(F.col("b").alias("id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("spoke"))
-    routed = spokes.unionByName(hubs).join(sets, "id").select("hub", "salt", "spoke", "keys")
+    routed = sets.join(small_side(spokes.unionByName(hubs)), "id").select("hub", "salt", "spoke", "keys")
     dealt = routed.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("spoke").asc_nulls_first())
     return dealt.mapInArrow(_compare, "a long, b long, both long")
 
@@ -170,6 +170,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     state = None
     while True:
+        # One round each of large and small stars.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -187,7 +188,7 @@ def _component_of(rows: DataFrame, comps: DataFrame, id_col: str, name: str) ->
     return rows.join(comps.select(F.col("node").alias(id_col), F.col("component").alias("__c")), id_col, "left").withColumn(name, F.coalesce("__c", id_col)).drop("__c")
 
 
-def _class_counters(spark, stats: DataFrame) -> bytes:
+def _class_counters(stats: DataFrame) -> bytes:
     """The sketch as one byte per counter: 2**SKETCH_BITS bytes whatever the input."""
     rows = stats.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_add_blocks, "block int, classes binary").collect()
     table = bytearray(1 << SKETCH_BITS)
@@ -196,73 +197,121 @@ def _class_counters(spark, stats: DataFrame) -> bytes:
     return bytes(table)
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles`` (long) and ``component_id`` (long)."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _class_order(texts: DataFrame) -> tuple[DataFrame, object]:
+    """Set digests of all rows, and the broadcast shingle order."""
     stats = cut_lineage(texts.mapInArrow(_digests, "doc_id long, n long, d1 long, d2 long, block int, counts binary"))
-    rows = stats.where("block IS NULL").select("doc_id", "n", "d1", "d2")
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("id")).distinct()
-    order = spark.sparkContext.broadcast(_class_counters(spark, stats))
+    order = texts.sparkSession.sparkContext.broadcast(_class_counters(stats))
+    return stats.where("block IS NULL").select("doc_id", "n", "d1", "d2"), order
+
 
+def _lists(texts: DataFrame, reps: DataFrame, order) -> DataFrame:
+    """Index entries (h, id, n, pos) of shingles that two prefixes share, with the smallest entry of the list as hid, hn, hpos."""
     firsts = texts.where("doc_id IS NOT NULL").mapInArrow(_prefixes(order), "id long, n int, cold int, prefix array<long>")
     firsts = firsts.where("n > 0").join(reps, "id", "left_semi")
     entries = firsts.select("id", "n", "cold", F.posexplode("prefix").alias("pos", "h"))
-    head = F.min(F.struct("id", "n", "pos")).alias("head")
+    head = F.min(F.struct("id", "n", "pos"))
     listed = Window.partitionBy("h")
-    cold = entries.where("pos < cold").select("h", "id", "n", "pos", F.count(F.lit(1)).over(listed).alias("many"), F.min(F.struct("id", "n", "pos")).over(listed).alias("head")).where("many > 1").drop("many")
+    cold = entries.where("pos < cold").select("h", "id", "n", "pos", F.count(F.lit(1)).over(listed).alias("many"), head.over(listed).alias("head"))
     hot = entries.where("pos >= cold").select("h", "id", "n", "pos")
-    hot = hot.join(hot.groupBy("h").agg(F.count(F.lit(1)).alias("many"), head).where("many > 1").drop("many"), "h")
-    lists = cut_lineage(cold.unionByName(hot.select("h", "id", "n", "pos", "head")))
-
-    members = lists.select("id").distinct()
-    sets = cut_lineage(texts.join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "id long, keys binary").groupBy("id").agg(F.min("keys").alias("keys")))
-
-    # One head for each set: the one it shares most prefix shingles with.
-    offered = lists.where("id <> head.id").where(may_link(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
-    offered = offered.groupBy("id", F.col("head.id").alias("head")).agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("head.n").alias("head_n"))
-    chosen = offered.groupBy("id").agg(F.max_by(F.struct("head", "n", "head_n"), F.struct("shared", -F.col("head"))).alias("x")).select(F.col("id").alias("a"), F.col("x.head").alias("b"), F.col("x.n").alias("na"), F.col("x.head_n").alias("nb"))
-    chosen = cut_lineage(chosen)
-    stars = cut_lineage(overlaps(sets, chosen.select("a", "b")).join(chosen, ["a", "b"]).where(linked(F.col("both"), F.col("na"), F.col("nb"))))
-    first = cut_lineage(components(stars.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    linked_pairs = stars.select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    # Pairs across components, from lists that hold several.
+    hot = hot.join(hot.groupBy("h").agg(F.count(F.lit(1)).alias("many"), head.alias("head")).where("many > 1"), "h").select("h", "id", "n", "pos", "many", "head")
+    both = cold.where("many > 1").unionByName(hot)
+    return cut_lineage(both.select("h", "id", "n", "pos", F.col("head.id").alias("hid"), F.col("head.n").alias("hn"), F.col("head.pos").alias("hpos")))
+
+
+def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Whole sets (id, keys) of the given documents."""
+    wanted = small_side(ids.withColumnRenamed("id", "doc_id"))
+    return cut_lineage(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, keys binary"))
+
+
+def _stars(texts: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each set compared with one list head, the one it shares most prefix shingles with: pairs tried, and pairs that link."""
+    offered = lists.where("id <> hid").where(may_link(F.col("n"), F.col("pos"), F.col("hn"), F.col("hpos")))
+    offered = offered.groupBy("id", "hid", "n", "hn").agg(F.count(F.lit(1)).alias("shared"))
+    best = F.max_by(F.struct("hid", "n", "hn"), F.struct("shared", -F.col("hid"))).alias("x")
+    tried = cut_lineage(offered.groupBy("id").agg(best).select(F.col("id").alias("a"), F.col("x.hid").alias("b"), F.col("x.n").alias("na"), F.col("x.hn").alias("nb")))
+    sets = _sets_of(texts, _ends(tried))
+    return tried, cut_lineage(overlaps(sets, tried.select("a", "b")).join(tried, ["a", "b"]).where(linked(F.col("both"), F.col("na"), F.col("nb"))))
+
+
+def _ends(*pairs: DataFrame) -> DataFrame:
+    out = None
+    for pair in pairs:
+        for side in ("a", "b"):
+            part = pair.select(F.col(side).alias("id"))
+            out = part if out is None else out.unionByName(part)
+    return cut_lineage(out.distinct())
+
+
+def _across(lists: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) of different components that a list and its bounds leave open."""
     # Linked sizes differ by a factor of 1.25 at most: by one block of 1.26, rounding included.
     block = F.floor(F.log(1.26, F.col("n"))).cast("int")
-    placed = cut_lineage(_component_of(lists.select("h", "id", "n", "pos"), first, "id", "comp").withColumn("blk", block))
+    placed = _component_of(lists.select("h", "id", "n", "pos"), comps, "id", "comp").withColumn("blk", block)
     shares = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k"))
     mixed = shares.groupBy("h").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("comps > 1").select("h", "main")
     several = cut_lineage(placed.join(mixed, "h"))
     probe = several.where("comp <> main").select("h", F.explode(F.array(F.col("blk") - 1, F.col("blk"), F.col("blk") + 1)).alias("blk"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
     other = several.select("h", "blk", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
-    across = probe.join(other, ["h", "blk"]).where("cx <> cy").where(may_link(F.col("nx"), F.col("px"), F.col("ny"), F.col("py")))
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
-    failed = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = cut_lineage(across.join(failed, ["a", "b"], "left_anti"))
+    found = probe.join(other, ["h", "blk"]).where("cx <> cy").where(may_link(F.col("nx"), F.col("px"), F.col("ny"), F.col("py")))
+    smaller = F.col("x") < F.col("y")
+    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(smaller, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(smaller, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
+    failed = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return cut_lineage(found.join(failed, ["a", "b"], "left_anti"))
+
 
-    # Heads answer for their stars: with them alone first, then the pairs they leave open.
-    star = stars.select(F.col("a").alias("id"), F.col("b").alias("head"), (F.col("na") - F.col("both")).alias("off"))
+def _links_across(texts: DataFrame, across: DataFrame, stars: DataFrame) -> DataFrame:
+    """Links (u, v) among the open pairs that components still need.
+
+    Heads answer for their stars: with them alone first, then the pairs they leave open.
+    """
+    known = stars.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    star = stars.select(F.col("a").alias("id"), F.col("b").alias("head"), F.col("nb").alias("head_n"), (F.col("na") - F.col("both")).alias("off"))
     for side in ("a", "b"):
-        across = across.join(star.select(F.col("id").alias(side), F.col("head").alias(f"h{side}"), F.col("off").alias(f"off{side}")), side, "left").withColumn(f"h{side}", F.coalesce(f"h{side}", side)).withColumn(f"off{side}", F.coalesce(f"off{side}", F.lit(0)))
-    across = cut_lineage(across)
-    tops = across.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).distinct()
-    answers = cut_lineage(overlaps(sets, tops))
-    n_of = lists.select("id", "n").distinct()
-    top_links = answers.join(n_of.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n_of.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").where(linked(F.col("both"), F.col("na"), F.col("nb")))
-    linked_pairs = cut_lineage(linked_pairs.unionByName(top_links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    second = cut_lineage(components(linked_pairs))
-    left = _component_of(_component_of(across, second, "a", "ca"), second, "b", "cb").where("ca <> cb")
-    left = left.where("NOT (a = least(ha, hb) AND b = greatest(ha, hb))")
-    left = left.withColumn("top_a", F.least("ha", "hb")).withColumn("top_b", F.greatest("ha", "hb")).join(answers.withColumnsRenamed({"a": "top_a", "b": "top_b"}), ["top_a", "top_b"])
-    left = cut_lineage(left.where(linked(F.col("both") + F.col("offa") + F.col("offb"), F.col("na"), F.col("nb"))).select("a", "b", "na", "nb"))
+        across = across.join(star.select(*(F.col(c).alias(f"{c}_{side}") for c in star.columns)), F.col(side) == F.col(f"id_{side}"), "left")
+        across = across.withColumns({f"head_{side}": F.coalesce(f"head_{side}", side), f"head_n_{side}": F.coalesce(f"head_n_{side}", f"n{side}"), f"off_{side}": F.coalesce(f"off_{side}", F.lit(0))}).drop(f"id_{side}")
+    turned = F.col("head_a") > F.col("head_b")
+    top = {"ta": F.least("head_a", "head_b"), "tb": F.greatest("head_a", "head_b"), "tna": F.when(turned, F.col("head_n_b")).otherwise(F.col("head_n_a")), "tnb": F.when(turned, F.col("head_n_a")).otherwise(F.col("head_n_b"))}
+    across = cut_lineage(across.withColumns(top))
+    tops = cut_lineage(across.select(F.col("ta").alias("a"), F.col("tb").alias("b"), F.col("tna").alias("na"), F.col("tnb").alias("nb")).distinct())
+    sets = _sets_of(texts, _ends(tops, across))
+    answers = cut_lineage(overlaps(sets, tops.select("a", "b")).join(tops, ["a", "b"]))
+    by_heads = answers.where(linked(F.col("both"), F.col("na"), F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    known = known.unionByName(by_heads)
+    comps = components(known)
+    left = _component_of(_component_of(across, comps, "a", "ca"), comps, "b", "cb").where("ca <> cb AND NOT (a = ta AND b = tb)")
+    left = left.join(answers.select(F.col("a").alias("ta"), F.col("b").alias("tb"), "both"), ["ta", "tb"])
+    left = cut_lineage(left.where(linked(F.col("both") + F.col("off_a") + F.col("off_b"), F.col("na"), F.col("nb"))).select("a", "b", "na", "nb"))
     more = overlaps(sets, left.select("a", "b")).join(left, ["a", "b"]).where(linked(F.col("both"), F.col("na"), F.col("nb")))
-    linked_pairs = linked_pairs.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return by_heads.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    # Equal sets and rows of one id meet their representative here.
-    same = rows.join(classes, ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    final = components(linked_pairs.unionByName(same))
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, ``n_shingles`` (long) and ``component_id`` (long)."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, order = _class_order(texts)
+    single = rows
+    if rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # Rows of one id stand for one document: the one of the smallest text.
+        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+        single, order = _class_order(texts)
+    classes = cut_lineage(single.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
+    lists = _lists(texts, classes.select(F.col("rep").alias("id")), order)
+    release(spark)
+    tried, stars = _stars(texts, lists)
+    release(spark)
+    links = stars.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    across = _across(lists, components(links), tried)
+    del lists, tried
+    release(spark)
+    if across.limit(1).count():
+        links = cut_lineage(links.unionByName(_links_across(texts, across, stars)))
+    # Equal sets meet their representative here.
+    same = single.join(classes, ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    final = components(links.unionByName(same))
+    del links, stars, across
+    release(spark)
     return _component_of(rows, final, "doc_id", "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 

@@ -1,9 +1,9 @@
 """Language-model scoring by prediction by partial matching, with a unigram score beside it.
 
 *Byte model.* Contexts of up to ``ORDER`` bytes form a trie. A context is kept if it makes up at least
-``1 / CONTEXTS`` of all positions, so each order has ``CONTEXTS`` contexts at most whatever the corpus; all its
-symbols are kept. A symbol that a context has not seen costs an escape (symbols seen over symbols seen plus
-positions), and the next shorter context is asked without the symbols already excluded; at the end all other
+``1 / RARE`` of all positions (so each order offers ``RARE`` contexts at most whatever the corpus) and is among the
+``NODES`` most frequent of all orders; all its symbols are kept. A symbol that a context has not seen costs an
+escape (half the number of symbols seen over the positions), and the next shorter context is asked without the symbols already excluded; at the end all other
 bytes are equally likely. Symbols seen after a context are also seen after its suffix, so each context's
 exclusion is known in advance and the trie flattens into one table of log probabilities for (context, byte). Scoring
 is then a walk of numpy gathers. Texts are lower-cased in A-Z; byte 0 stands for start and end of a text.
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import lexer, rows
 
-ORDER = 4
-CONTEXTS = 8192
+ORDER = 5
+#: Contexts in the trie, 2 KB each, and the share of positions below which none is offered.
+NODES = 65_536
+RARE = 131_072
 HEAVY = 65_536
 #: Light tokens that one bucket should receive, about.
 PER_BUCKET = 4_000_000
@@ -161,7 +163,26 @@ class Model:
         self.tokens, self.vocabulary = tokens, vocabulary
         self._flatten(grams)
 
+    @staticmethod
+    def _most_frequent(grams: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Only the ``NODES`` most frequent contexts; shorter ones first among equals, so a kept context's suffix is kept."""
+        sizes, owners = [], []
+        for order in sorted(grams):
+            context = grams[order][0] >> lexer.U64(8)
+            first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
+            own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
+            sizes.append(np.bincount(own, grams[order][1], minlength=len(first)))
+            owners.append(own)
+        if sum(map(len, sizes)) <= NODES:
+            return grams
+        level = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])
+        chosen = np.zeros(len(level), dtype=bool)
+        chosen[np.lexsort((level, -np.concatenate(sizes)))[:NODES]] = True
+        starts = np.cumsum([0, *(len(x) for x in sizes)])
+        return {order: tuple(x[chosen[starts[i] + owners[i]]] for x in grams[order]) for i, order in enumerate(sorted(grams))}
+
     def _flatten(self, grams: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        grams = self._most_frequent(grams)
         root = np.zeros((1, 256))
         if 0 in grams:
             root[0, grams[0][0].astype(np.int64)] = grams[0][1]
@@ -170,7 +191,7 @@ class Model:
         for order in range(1, ORDER + 1):
             keys, n = grams.get(order, (np.zeros(0, lexer.U64), np.zeros(0, np.int64)))
             context = np.unique(keys >> lexer.U64(8))
-            table = np.zeros((len(context), 256))
+            table = np.zeros((len(context), 256), dtype=np.float32)
             table[np.searchsorted(context, keys >> lexer.U64(8)), (keys & lexer.U64(255)).astype(np.int64)] = n
             counts.append(table)
             codes.append(context)
@@ -186,27 +207,29 @@ class Model:
             parent = np.searchsorted(codes[order - 1], suffix)
             parents.append(parent)
             self.child[starts[order - 1] + parent, (codes[order] >> lexer.U64(8 * (order - 1))).astype(np.int64)] = starts[order] + np.arange(len(codes[order]))
-        with np.errstate(divide="ignore"):
-            for order in range(ORDER + 1):
-                self.log10[starts[order] : starts[order] + len(codes[order])] = self._rows(order, counts, parents)
+        for order in range(ORDER + 1):
+            for low in range(0, len(codes[order]), 2048):
+                some = slice(low, min(low + 2048, len(codes[order])))
+                self.log10[starts[order] + some.start : starts[order] + some.stop] = self._rows(order, some, counts, parents)
 
     @staticmethod
-    def _rows(order: int, counts: list[np.ndarray], parents: list[np.ndarray]) -> np.ndarray:
-        table = counts[order]
+    def _rows(order: int, some: slice, counts: list[np.ndarray], parents: list[np.ndarray]) -> np.ndarray:
+        table = counts[order][some]
         out = np.full(table.shape, np.nan)
         lead = np.zeros((len(table), 1))
         excluded = np.zeros(table.shape, dtype=bool)
-        at = np.arange(len(table))
+        at = np.arange(some.start, some.stop)
         for level in range(order, -1, -1):
             here = np.where(excluded, 0, counts[level][at])
             positions, kinds = here.sum(axis=1, keepdims=True), (here > 0).sum(axis=1, keepdims=True)
             seen = (counts[level][at] > 0) | excluded
             # With every byte seen there is nothing to escape to.
-            escape = np.where(seen.all(axis=1, keepdims=True), 0, kinds)
-            every = np.maximum(positions + escape, 1)
+            escape = np.where(seen.all(axis=1, keepdims=True), 0, kinds / 2)
+            every = np.maximum(positions, 1)
             known = here > 0
-            out[known] = (lead + np.log10(here / every))[known]
-            lead = lead + np.where(kinds > 0, np.log10(np.where(kinds > 0, escape, 1) / every), 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[known] = (lead + np.log10((here - (escape > 0) / 2) / every))[known]
+            lead = lead + np.where(kinds > 0, np.log10(np.where(escape > 0, escape, 1) / every), 0)
             excluded = seen
             at = parents[level][at]
         rest = ~excluded
@@ -238,7 +261,7 @@ def train(texts: DataFrame) -> Model:
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = cut_lineage(texts.mapInArrow(_count(buckets), _PACKED))
     totals = dict(packed.groupBy("kind").agg(F.sum("total")).collect())
-    limits = {kind: -(-n // (HEAVY if kind == WORDS else CONTEXTS)) for kind, n in totals.items()}
+    limits = {kind: -(-n // (HEAVY if kind == WORDS else RARE)) for kind, n in totals.items()}
     got = packed.groupBy("kind", "bucket").applyInArrow(_keep(limits), _PACKED)
     grams: dict[int, list] = {}
     vocabulary = 0

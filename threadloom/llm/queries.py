@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hostrules, jaccard, ppm, quality
+from . import hostrules, jaccard, packing, ppm, quality
+
+#: Name of the vocabulary file, looked up where the public tokenizers are installed.
+VOCABULARY = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +43,14 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scored(_table(spark, sf_dir, "documents"))
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op2_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())

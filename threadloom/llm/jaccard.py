@@ -12,8 +12,8 @@ returns one row per document with its set size and the smallest id reachable by
 4. *Answers from a similar set.* Each set is first compared with one list head only. The verified heads
    make stars, and stars make components: no pair inside a component needs to be looked at again.
 5. *What is left.* Lists that hold several components give pairs across them. A list is cut into blocks by
-   set size; a probe visits the blocks that its size admits and skips entries by position. Such pairs are
-   first compared between star heads: if those link, all pairs between their components are answered; if
+   set size; a probe visits the blocks that its size admits. A pair goes on only if it shares as many prefix
+   shingles as the places of the rest leave necessary. Such pairs are first compared between star heads: if those link, all pairs between their components are answered; if
    not, ``|x & y| <= |hx & hy| + |x \\ hx| + |y \\ hy|`` answers most without reading the sets, and the rest
    are compared in full.
 
@@ -161,6 +161,15 @@ def may_link(n1, pos1, n2, pos2):
     return 180 * (1 + F.least(n1 - pos1 - 1, n2 - pos2 - 1)) >= 80 * (n1 + n2)
 
 
+def enough_shared(shared, n1, n2):
+    """Whether two sets can link that share so many of their first shingles.
+
+    What they share beyond lies behind the prefix that ends first, so it is at most ``ceil(0.8 n) - 1`` of that set.
+    """
+    beyond = F.greatest(F.ceil(0.8 * n1), F.ceil(0.8 * n2))
+    return 180 * (shared + beyond - 1) >= 80 * (n1 + n2)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable by ``edges`` (u, v): columns node, component.
 
@@ -227,7 +236,8 @@ def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
 def _stars(texts: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each set compared with one list head, the one it shares most prefix shingles with: pairs tried, and pairs that link."""
     offered = lists.where("id <> hid").where(may_link(F.col("n"), F.col("pos"), F.col("hn"), F.col("hpos")))
-    offered = offered.groupBy("id", "hid", "n", "hn").agg(F.count(F.lit(1)).alias("shared"))
+    # Lists with another head are not counted here; a pair that this drops wrongly is met again across components.
+    offered = offered.groupBy("id", "hid", "n", "hn").agg(F.count(F.lit(1)).alias("shared")).where(enough_shared(F.col("shared"), F.col("n"), F.col("hn")))
     best = F.max_by(F.struct("hid", "n", "hn"), F.struct("shared", -F.col("hid"))).alias("x")
     tried = cut_lineage(offered.groupBy("id").agg(best).select(F.col("id").alias("a"), F.col("x.hid").alias("b"), F.col("x.n").alias("na"), F.col("x.hn").alias("nb")))
     sets = _sets_of(texts, _ends(tried))
@@ -247,15 +257,17 @@ def _across(lists: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
     """Pairs (a, b, na, nb) of different components that a list and its bounds leave open."""
     # Linked sizes differ by a factor of 1.25 at most: by one block of 1.26, rounding included.
     block = F.floor(F.log(1.26, F.col("n"))).cast("int")
-    placed = _component_of(lists.select("h", "id", "n", "pos"), comps, "id", "comp").withColumn("blk", block)
+    placed = _component_of(lists.select("h", "id", "n"), comps, "id", "comp").withColumn("blk", block)
     shares = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k"))
     mixed = shares.groupBy("h").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("comps > 1").select("h", "main")
     several = cut_lineage(placed.join(mixed, "h"))
-    probe = several.where("comp <> main").select("h", F.explode(F.array(F.col("blk") - 1, F.col("blk"), F.col("blk") + 1)).alias("blk"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
-    other = several.select("h", "blk", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
-    found = probe.join(other, ["h", "blk"]).where("cx <> cy").where(may_link(F.col("nx"), F.col("px"), F.col("ny"), F.col("py")))
+    minor = F.col("comp") != F.col("main")
+    probe = several.where(minor).select("h", F.explode(F.array(F.col("blk") - 1, F.col("blk"), F.col("blk") + 1)).alias("blk"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+    other = several.select("h", "blk", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), minor.alias("both_ways"))
+    found = probe.join(other, ["h", "blk"]).where("cx <> cy AND (x < y OR NOT both_ways)").where("5 * nx >= 4 * ny AND 5 * ny >= 4 * nx")
     smaller = F.col("x") < F.col("y")
-    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(smaller, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(smaller, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
+    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(smaller, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(smaller, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+    found = found.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(enough_shared(F.col("shared"), F.col("na"), F.col("nb"))).drop("shared")
     failed = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return cut_lineage(found.join(failed, ["a", "b"], "left_anti"))
 

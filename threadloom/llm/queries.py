@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import hostrules, jaccard, packing, ppm, quality
+from . import hostrules, jaccard, knn, packing, ppm, quality
 
 #: Name of the vocabulary file, looked up where the public tokenizers are installed.
 VOCABULARY = "byte_bpe_50k.json"
@@ -54,3 +55,24 @@ def vocabulary() -> str:
 @query
 def op2_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op9_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+ORACLES["op9_voronoi_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, jaccard, knn, packing, ppm, quality, toxicity
+from . import hostrules, jaccard, knn, licenses, packing, ppm, quality, toxicity
 
 #: Name of the vocabulary file, looked up where the public tokenizers are installed.
 VOCABULARY = "byte_bpe_50k.json"
@@ -81,3 +81,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 @query
 def op1_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_license_diagonals"] = licenses.ORACLE

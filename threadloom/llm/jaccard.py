@@ -9,9 +9,11 @@ returns one row per document with its set size and the smallest id reachable by
    link share a shingle among their first ``n - ceil(0.8 n) + 1``.
 3. *Index lists.* One list per prefix shingle. Lists whose sketched length is bounded by ``HOT_LIST`` are
    built in one window; longer ones by a pre-aggregated head and a join that Spark may split.
-4. *Answers from a similar set.* Each set is first compared with one list head only. The verified heads
-   make stars, and stars make components: no pair inside a component needs to be looked at again.
-5. *What is left.* Lists that hold several components give pairs across them. A list is cut into blocks by
+4. *Answers from a similar set.* Each set is attached to one list head and compared with it. Sets that link with
+   their head make a star: no pair inside it needs to be looked at again. Sets that do not are probed against all
+   sets of the same head in blocks, inside tasks, where a counter over a local index gives all answers of a set at
+   once; a block returns only the links that connect something.
+5. *What is left.* Pairs under different heads. Lists that hold several components give pairs across them. A list is cut into blocks by
    set size; a probe visits the blocks that its size admits. A pair goes on only if it shares as many prefix
    shingles as the places of the rest leave necessary. Such pairs are first compared between star heads: if those link, all pairs between their components are answered; if
    not, ``|x & y| <= |hx & hy| + |x \\ hx| + |y \\ hy|`` answers most without reading the sets, and the rest
@@ -43,6 +45,8 @@ SKETCH_BITS = 18
 HOT_LIST = 8192
 #: Partners of one head that share a task's group.
 PER_SALT = 512
+#: Shingles in a chunk of the sets under one head.
+PER_CHUNK = 1 << 20
 
 
 def needed(n: int | np.ndarray) -> int | np.ndarray:
@@ -233,15 +237,66 @@ def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return cut_lineage(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, keys binary"))
 
 
-def _stars(texts: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each set compared with one list head, the one it shares most prefix shingles with: pairs tried, and pairs that link."""
+def _attach(texts: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each set with one list head, the one it shares most prefix shingles with: (a, b, na, nb, both), and the sets read for that."""
     offered = lists.where("id <> hid").where(may_link(F.col("n"), F.col("pos"), F.col("hn"), F.col("hpos")))
-    # Lists with another head are not counted here; a pair that this drops wrongly is met again across components.
-    offered = offered.groupBy("id", "hid", "n", "hn").agg(F.count(F.lit(1)).alias("shared")).where(enough_shared(F.col("shared"), F.col("n"), F.col("hn")))
+    offered = offered.groupBy("id", "hid", "n", "hn").agg(F.count(F.lit(1)).alias("shared"))
     best = F.max_by(F.struct("hid", "n", "hn"), F.struct("shared", -F.col("hid"))).alias("x")
     tried = cut_lineage(offered.groupBy("id").agg(best).select(F.col("id").alias("a"), F.col("x.hid").alias("b"), F.col("x.n").alias("na"), F.col("x.hn").alias("nb")))
     sets = _sets_of(texts, _ends(tried))
-    return tried, cut_lineage(overlaps(sets, tried.select("a", "b")).join(tried, ["a", "b"]).where(linked(F.col("both"), F.col("na"), F.col("nb"))))
+    return cut_lineage(overlaps(sets, tried.select("a", "b")).join(tried, ["a", "b"])), sets
+
+
+def _join_block(part: pa.Table) -> pa.Table:
+    """Links between the probing sets of a block and its other sets, as few as connect what they connect."""
+    role, ids, n = (part.column(c).to_numpy() for c in ("role", "id", "n"))
+    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("keys").combine_chunks()]
+    probes, others = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+    links: list[tuple[int, int]] = []
+    if len(probes) and len(others):
+        flat = np.concatenate([keys[i] for i in others])
+        owner = np.repeat(np.arange(len(others)), [len(keys[i]) for i in others])
+        order = np.argsort(flat)
+        flat, owner = flat[order], owner[order]
+        root = {int(i): int(i) for i in ids}
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        other_ids, other_n = ids[others], n[others]
+        for i in probes:
+            low, high = np.searchsorted(flat, keys[i], "left"), np.searchsorted(flat, keys[i], "right")
+            count = high - low
+            at = np.repeat(low - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(int(count.sum()))
+            both = np.bincount(owner[at], minlength=len(others))
+            for j in np.flatnonzero((180 * both >= 80 * (n[i] + other_n)) & (other_ids != ids[i])):
+                x, y = find(int(ids[i])), find(int(other_ids[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append((int(ids[i]), int(other_ids[j])))
+    u, v = zip(*links) if links else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _links_under_head(attached: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) of sets that do not link with their head to sets of the same head.
+
+    A head's sets are cut into chunks of about ``PER_CHUNK`` shingles; each chunk of unlinked sets meets each chunk of all.
+    Sets that link with the head are connected already and are not compared with each other.
+    """
+    far = ~linked(F.col("both"), F.col("na"), F.col("nb"))
+    weighed = attached.groupBy("b").agg(F.count(F.lit(1)).alias("members"), *(F.greatest(F.ceil(F.sum(x) / PER_CHUNK), F.lit(1)).cast("int").alias(y) for x, y in ((F.col("na"), "parts"), (F.when(far, F.col("na")), "far_parts"))), F.max(far).alias("some"))
+    weighed = weighed.where("members > 1 AND some")
+    member = attached.join(small_side(weighed.select("b", "parts", "far_parts")), "b").select("b", F.col("a").alias("id"), F.col("na").alias("n"), "parts", "far_parts", far.alias("far"))
+    chunk = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    probes = member.where("far").select("b", "id", "n", F.lit(0).alias("role"), chunk("far_parts").alias("i"), every("parts").alias("j"))
+    others = member.select("b", "id", "n", F.lit(1).alias("role"), every("far_parts").alias("i"), chunk("parts").alias("j"))
+    routed = sets.join(small_side(probes.unionByName(others)), "id")
+    return cut_lineage(routed.groupBy("b", "i", "j").applyInArrow(_join_block, "u long, v long"))
 
 
 def _ends(*pairs: DataFrame) -> DataFrame:
@@ -253,32 +308,36 @@ def _ends(*pairs: DataFrame) -> DataFrame:
     return cut_lineage(out.distinct())
 
 
-def _across(lists: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) of different components that a list and its bounds leave open."""
+def _across(lists: DataFrame, comps: DataFrame, attached: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) of different components and heads that a list and its bounds leave open."""
     # Linked sizes differ by a factor of 1.25 at most: by one block of 1.26, rounding included.
     block = F.floor(F.log(1.26, F.col("n"))).cast("int")
-    placed = _component_of(lists.select("h", "id", "n"), comps, "id", "comp").withColumn("blk", block)
+    placed = _component_of(lists.select("h", "id", "n", "pos"), comps, "id", "comp").withColumn("blk", block)
+    placed = placed.join(attached.select(F.col("a").alias("id"), F.col("b").alias("own")), "id", "left").withColumn("own", F.coalesce("own", "id"))
     shares = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k"))
     mixed = shares.groupBy("h").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("comps > 1").select("h", "main")
     several = cut_lineage(placed.join(mixed, "h"))
     minor = F.col("comp") != F.col("main")
-    probe = several.where(minor).select("h", F.explode(F.array(F.col("blk") - 1, F.col("blk"), F.col("blk") + 1)).alias("blk"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    other = several.select("h", "blk", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), minor.alias("both_ways"))
-    found = probe.join(other, ["h", "blk"]).where("cx <> cy AND (x < y OR NOT both_ways)").where("5 * nx >= 4 * ny AND 5 * ny >= 4 * nx")
+    probe = several.where(minor).select("h", F.explode(F.array(F.col("blk") - 1, F.col("blk"), F.col("blk") + 1)).alias("blk"), F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"), F.col("own").alias("ox"))
+    other = several.select("h", "blk", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"), F.col("own").alias("oy"), minor.alias("both_ways"))
+    found = probe.join(other, ["h", "blk"]).where("cx <> cy AND ox <> oy AND (x < y OR NOT both_ways)").where(may_link(F.col("nx"), F.col("px"), F.col("ny"), F.col("py")))
     smaller = F.col("x") < F.col("y")
-    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(smaller, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(smaller, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
-    found = found.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(enough_shared(F.col("shared"), F.col("na"), F.col("nb"))).drop("shared")
-    failed = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return cut_lineage(found.join(failed, ["a", "b"], "left_anti"))
+    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(smaller, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(smaller, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
+    failed = attached.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = cut_lineage(found.join(failed, ["a", "b"], "left_anti"))
+    # All shingles that both prefixes hold, counted for these pairs only.
+    held = several.select("h", "id")
+    shared = found.join(held.withColumnRenamed("id", "a"), "a").join(held.withColumnRenamed("id", "b"), ["b", "h"])
+    shared = shared.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    return cut_lineage(shared.where(enough_shared(F.col("shared"), F.col("na"), F.col("nb"))).drop("shared"))
 
 
-def _links_across(texts: DataFrame, across: DataFrame, stars: DataFrame) -> DataFrame:
+def _links_across(texts: DataFrame, across: DataFrame, attached: DataFrame, known: DataFrame) -> DataFrame:
     """Links (u, v) among the open pairs that components still need.
 
     Heads answer for their stars: with them alone first, then the pairs they leave open.
     """
-    known = stars.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    star = stars.select(F.col("a").alias("id"), F.col("b").alias("head"), F.col("nb").alias("head_n"), (F.col("na") - F.col("both")).alias("off"))
+    star = attached.where(linked(F.col("both"), F.col("na"), F.col("nb"))).select(F.col("a").alias("id"), F.col("b").alias("head"), F.col("nb").alias("head_n"), (F.col("na") - F.col("both")).alias("off"))
     for side in ("a", "b"):
         across = across.join(star.select(*(F.col(c).alias(f"{c}_{side}") for c in star.columns)), F.col(side) == F.col(f"id_{side}"), "left")
         across = across.withColumns({f"head_{side}": F.coalesce(f"head_{side}", side), f"head_n_{side}": F.coalesce(f"head_n_{side}", f"n{side}"), f"off_{side}": F.coalesce(f"off_{side}", F.lit(0))}).drop(f"id_{side}")
@@ -311,18 +370,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = cut_lineage(single.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
     lists = _lists(texts, classes.select(F.col("rep").alias("id")), order)
     release(spark)
-    tried, stars = _stars(texts, lists)
+    attached, sets = _attach(texts, lists)
+    release(spark)
+    links = cut_lineage(attached.where(linked(F.col("both"), F.col("na"), F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(_links_under_head(attached, sets)))
+    del sets
     release(spark)
-    links = stars.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    across = _across(lists, components(links), tried)
-    del lists, tried
+    across = _across(lists, components(links), attached)
+    del lists
     release(spark)
     if across.limit(1).count():
-        links = cut_lineage(links.unionByName(_links_across(texts, across, stars)))
+        links = cut_lineage(links.unionByName(_links_across(texts, across, attached, links)))
     # Equal sets meet their representative here.
     same = single.join(classes, ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     final = components(links.unionByName(same))
-    del links, stars, across
+    del links, attached, across
     release(spark)
     return _component_of(rows, final, "doc_id", "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 

@@ -11,7 +11,8 @@ is then a walk of numpy gathers. Texts are lower-cased in A-Z; byte 0 stands for
 *Unigrams.* Words and one end token for each text, with add-one smoothing over the training vocabulary. Counts are
 held by 64-bit word keys. Tokens that make up ``1 / HEAVY`` of the training tokens or more (``HEAVY`` at most) are
 scored where the text is read. All others are sent, packed, to a bucket of their key, where their counts are
-found beside them; a bucket returns one partial sum for each document. No vocabulary is broadcast.
+found beside them; a bucket returns one partial sum for each document, packed by block of documents. No vocabulary is
+broadcast.
 
 Training counts cover all training documents: each task sends its distinct keys, packed by bucket, and each
 bucket adds them up. What is gathered grows with the corpus.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +37,8 @@ from ..session import cut_lineage
 from . import lexer, rows
 
 ORDER = 5
-#: Contexts in the trie, 2 KB each, and the share of positions below which none is offered.
-NODES = 65_536
+#: Contexts in the trie, 1.5 KB each (their numbers fit 16 bits), and the share of positions below which none is offered.
+NODES = 32_768
 RARE = 131_072
 HEAVY = 65_536
 #: Light tokens that one bucket should receive, about.
@@ -198,7 +200,7 @@ class Model:
             starts.append(total)
             total += len(context)
         self.sink = total
-        self.child = np.full((total + 1, 256), total, dtype=np.int32)
+        self.child = np.full((total + 1, 256), total, dtype=np.uint16)
         self.log10 = np.empty((total, 256), dtype=np.float32)
         parents = [np.zeros(1, np.int64)]
         for order in range(1, ORDER + 1):
@@ -243,7 +245,7 @@ class Model:
         node = np.zeros(len(data), dtype=np.int32)
         at = node
         for shifted in _contexts(data, bounds):
-            at = child[(at << 8) | shifted]
+            at = child[(at << 8) | shifted].astype(np.int32)
             node = np.where(at != self.sink, at, node)
         return lexer.sums(self.log10.ravel()[(node << 8) | data].astype(np.float64), bounds)
 
@@ -331,15 +333,22 @@ def _sent(*columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names=[x.split()[0] for x in _SENT.split(", ")])
 
 
-_PARTIAL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+#: Documents whose partial sums travel in one row.
+BLOCK = 1 << 14
+_PARTIAL = "block long, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rows binary, sums binary, knowns binary"
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _settle(part: pa.Table) -> pa.Table:
-    """A bucket's documents as they are, and for each document the share of the tokens that fell into the bucket."""
-    packs = part.filter(pa.compute.is_valid(part.column("keys")))
-    plain = part.filter(pa.compute.is_null(part.column("keys"))).drop(["bucket", "keys", "rows", "counts"])
+    """A bucket's documents as they are, and the shares of the tokens that fell into the bucket, packed by block of documents."""
+    names = [x.split()[0] for x in _PARTIAL.split(", ")]
+    packs = part.filter(pc.is_valid(part.column("keys")))
+    plain = part.filter(pc.is_null(part.column("keys")))
+    n = plain.num_rows
+    block = pa.array(plain.column("row").to_numpy() // BLOCK, pa.int64())
+    out = pa.table([block, *(plain.column(c) for c in names[1:8]), *(pa.nulls(n, pa.binary()) for _ in range(3))], names=names)
     if not packs.num_rows:
-        return plain
+        return out
     read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in packs.column(name)]
     keys, times = np.concatenate(read("keys", np.uint64)), np.concatenate(read("counts", np.uint32)).astype(np.int64)
     row = np.concatenate([x.astype(np.int64) + low.as_py() for x, low in zip(read("rows", np.uint32), packs.column("row"))])
@@ -353,9 +362,29 @@ def _settle(part: pa.Table) -> pa.Table:
     found, at = np.unique(row, return_inverse=True)
     base = np.bincount(at, times * np.log10(count + 1))
     known = np.bincount(at, times * (count > 0)).astype(np.int64)
-    n = len(found)
-    sums = pa.table({"row": pa.array(found), "doc_id": pa.nulls(n, pa.int64()), "held_out": pa.nulls(n, pa.bool_()), "n_tokens": pa.nulls(n, pa.int64()), "n_known": pa.array(known), "base": pa.array(base), "score": pa.nulls(n, pa.float64())})
-    return pa.concat_tables([plain.select(sums.column_names), sums])
+    block = found // BLOCK
+    first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    ends = np.append(first[1:], len(found))
+    pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())
+    n = len(first)
+    sums = pa.table([pa.array(block[first]), pa.array(found[first]), *(pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), pack((found % BLOCK).astype(np.uint16)), pack(base), pack(known.astype(np.uint32))], names=names)
+    return pa.concat_tables([out, sums])
+
+
+def _sum_block(part: pa.Table) -> pa.Table:
+    """A block's documents with all their shares added."""
+    plain, packs = part.filter(pc.is_null(part.column("rows"))), part.filter(pc.is_valid(part.column("rows")))
+    base, known = np.zeros(BLOCK), np.zeros(BLOCK, np.int64)
+    # In one order whatever the order of arrival, so that sums repeat to the last bit.
+    for rows_, sums, knowns in sorted(zip(*(packs.column(c).to_pylist() for c in ("rows", "sums", "knowns")))):
+        at = np.frombuffer(rows_, np.uint16)
+        base[at] += np.frombuffer(sums, np.float64)
+        known[at] += np.frombuffer(knowns, np.uint32)
+    at = plain.column("row").to_numpy() % BLOCK
+    return pa.table({
+        "doc_id": plain.column("doc_id"), "held_out": plain.column("held_out"), "n_tokens": plain.column("n_tokens"), "n_known": pa.array(plain.column("n_known").to_numpy() + known[at]),
+        "base_score": pa.array(plain.column("base").to_numpy() + base[at]), "score": plain.column("score"),
+    })
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
@@ -367,5 +396,5 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.tokens // PER_BUCKET))
     sent = marked.mapInArrow(_send(spark.sparkContext.broadcast(model), buckets), _SENT)
     partial = sent.groupBy("bucket").applyInArrow(_settle, _PARTIAL)
-    added = partial.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.max("score").alias("score"))
+    added = partial.groupBy("block").applyInArrow(_sum_block, _SCORED)
     return added.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, jaccard, knn, licenses, packing, ppm, quality, toxicity
+from . import hostrules, jaccard, knn, licenses, mixing, packing, ppm, quality, toxicity, warc
 
 #: Name of the vocabulary file, looked up where the public tokenizers are installed.
 VOCABULARY = "byte_bpe_50k.json"
@@ -89,3 +89,21 @@ def op6_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_license_diagonals"] = licenses.ORACLE
+
+
+@query
+def op4_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(_table(spark, sf_dir, "documents"))
+    return found.withColumn("probability", F.round("probability", 9))
+
+
+ORACLES["op4_raked_mixture"] = mixing.ORACLE
+
+
+@query
+def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return warc.audit(pages, warc.damaged(pages))
+
+
+ORACLES["op7_merkle_audit"] = warc.ORACLE

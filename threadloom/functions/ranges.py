@@ -71,8 +71,8 @@ def merge_ranges(ranges: Column) -> Column:
 
 
 def term_ranges(norm: Column, query: str) -> Column:
-    """Ranges of the first eight terms of a plain query."""
-    terms = [tx.fold(t) for t in query.split()[:8]]
+    """Ranges of all terms of a plain query."""
+    terms = [tx.fold(t) for t in query.split()]
     return merge_ranges(F.flatten(F.array(*[find_ranges(norm, term_pattern(t)) for t in terms])))
 
 

@@ -30,7 +30,6 @@ WORD = "[a-z][a-z0-9]{1,47}"
 NUMBER = "[0-9]{2,24}"
 # White space as browsers see it. ASCII letters leave after two comparisons.
 SPACE = r"[\s[\x{80}-\x{FFFF}&&[\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]]"
-POSITION_CAP = 32
 PREVIEW_CHARS = 360
 # ----------------------------------------------------------------------------------
 
@@ -112,9 +111,7 @@ def _grouped(text: str, wanted: frozenset[str] | None = None) -> list[tuple[str,
     by_token: dict[str, list[int]] = {}
     for token, start in _spans_of(text):
         if wanted is None or token in wanted:
-            kept = by_token.setdefault(token, [])
-            if len(kept) < POSITION_CAP:
-                kept.append(start)
+            by_token.setdefault(token, []).append(start)
     return list(by_token.items())
 
 
@@ -127,7 +124,7 @@ def token_spans(texts: pa.Array) -> pa.Array:
 def posting_rows(keys: list[str], tokens: list[str] | None = None):
     """For ``mapInArrow``: rows of (keys..., text) as rows of (token, keys..., positions).
 
-    One posting per distinct token of a text with its first 32 starts. The keys are
+    One posting per distinct token of a text with all its starts. The keys are
     repeated with Arrow's own ``take``, so Python only ever touches the text.
     """
     wanted = None if tokens is None else frozenset(tokens)

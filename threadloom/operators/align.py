@@ -14,21 +14,22 @@ from ..functions import text as tx
 from ..session import cut_lineage
 from . import identity
 
-MAX_CHAIN = 5000
 HOT_PAIRS = 10000
 BLOCK = 65536
 CHUNK_MESSAGES, CHUNK_CHARS, ROW_CHARS = 20, 350000, 80
 
 
-def ancestor_chain(nodes: DataFrame, starts: DataFrame) -> DataFrame:
-    """(conversation_id, node, depth) from each start up its parents, at most 5000 deep.
+def ancestor_chain(nodes: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(conversation_id, node, depth) from each start up its parents, whole unless ``max_depth`` ends it.
+
+    A loop ends where its conversation has no more nodes; it then has nodes more than once.
 
     Jumps double every round, so a chain of n nodes takes log2(n) rounds of equi-joins
     instead of n, and a conversation of any size is spread by node.
     ``nodes``: conversation_id, node, parent. ``starts``: conversation_id, node.
     """
     longest = nodes.groupBy("conversation_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-    rounds = max(1, math.ceil(math.log2(min(longest + 1, MAX_CHAIN))))
+    rounds = max(1, math.ceil(math.log2(longest + 1 if max_depth is None else min(longest + 1, max_depth))))
     jump = nodes.where(F.col("parent").isNotNull()).select("conversation_id", "node", "parent")
     reached = starts.select("conversation_id", "node", F.lit(0).cast("bigint").alias("depth"))
     for step in range(rounds):
@@ -37,7 +38,7 @@ def ancestor_chain(nodes: DataFrame, starts: DataFrame) -> DataFrame:
         if step + 1 < rounds:
             over = jump.select("conversation_id", F.col("node").alias("parent"), F.col("parent").alias("next"))
             jump = cut_lineage(jump.join(over, ["conversation_id", "parent"]).select("conversation_id", "node", F.col("next").alias("parent")))
-    return reached.where(F.col("depth") < MAX_CHAIN)
+    return reached if max_depth is None else reached.where(F.col("depth") < max_depth)
 
 
 def proved_transcripts(tree: DataFrame, current: DataFrame, shown: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def proved_transcripts(tree: DataFrame, current: DataFrame, shown: DataFrame) ->
     said = chain.where(F.col("role").isin("user", "assistant") & ~F.col("blank")).join(whole, "conversation_id", "left_semi")
     from .ordered import chunk_of, ordinals
 
-    said = said.withColumn("order", F.lit(MAX_CHAIN) - F.col("depth"))
+    said = said.withColumn("order", -F.col("depth"))
     said = ordinals(said, ["conversation_id"], ["order"], chunk_of("order"), "ord").select("conversation_id", (F.col("ord") - 1).alias("idx"), "h")
     seen = shown.select("conversation_id", "idx", F.md5(tx.flatten_spaces("body")).alias("shown_h"))
     both = said.join(seen, ["conversation_id", "idx"], "full_outer")

@@ -88,16 +88,12 @@ def progress_core(body: Column) -> Column:
 
 
 def is_progress(body: Column) -> Column:
-    """The whole body is one known status phrase; a lone word needs a percentage next to it.
-
-    Only short bodies can be, so long ones skip the chain.
-    """
+    """The whole body is one known status phrase; a lone word needs a percentage next to it."""
     bare = F.coalesce(body, F.lit(""))
-    verdict = F.transform(
+    return F.transform(
         F.array(progress_core(bare)),
         lambda core: core.isin(PROGRESS_PHRASES) & (~core.isin(ONE_WORD_STATUS) | bare.rlike(r"[0-9]{1,3}\s*[%％]")),
     )[0]
-    return F.when(F.length(F.regexp_replace(F.substring(bare, 1, 400), r"\s+", "")) <= 120, verdict).otherwise(False)
 
 
 def is_substantive(body: Column) -> Column:
@@ -191,7 +187,7 @@ def progress_folds(rows: DataFrame) -> DataFrame:
 
 
 def clone_drops(stored: DataFrame, page: DataFrame) -> DataFrame:
-    """(conversation_id, drop_id, keep_id) of transcripts stored as 2 to 8 copies of a page.
+    """(conversation_id, drop_id, keep_id) of transcripts stored as two or more copies of a page.
 
     ``stored``: conversation_id, ord (from 1), id, role, body, turn_id. ``page``:
     conversation_id, idx (from 0), id, role, body of a proved complete page.
@@ -199,7 +195,7 @@ def clone_drops(stored: DataFrame, page: DataFrame) -> DataFrame:
     hashed = lambda c: let(c, lambda v: F.when(v == "", v).otherwise(F.md5(v)))
     sizes = page.groupBy("conversation_id").agg(F.count("*").alias("size")).where("size >= 2")
     totals = stored.groupBy("conversation_id").agg(F.count("*").alias("total"))
-    fits = sizes.join(totals, "conversation_id").where("total >= size * 2 and total % size = 0 and total div size <= 8")
+    fits = sizes.join(totals, "conversation_id").where("total >= size * 2 and total % size = 0")
     rows = stored.join(fits, "conversation_id").select(
         "conversation_id", "id", "size", "total",
         ((F.col("ord") - 1) % F.col("size")).alias("idx"),

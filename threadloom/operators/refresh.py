@@ -11,7 +11,6 @@ from .ordered import chunk_of, ordinals, running
 
 # --- fixed values -----------------------------------------------------------------
 GAP_MIN, GAP_MAX, BATCH, REST, EMPTY_LIMIT = 20000, 40000, 30, 600000, 3
-MAX_LINKS, MAX_ITEMS = 500, 5000
 CAPTCHA_URL = r"(?i)challenges\.cloudflare\.com|/cdn-cgi/challenge|/cdn-cgi/l/chk_|__cf_chl|cf-turnstile"
 LOGIN_URL = r"(?i)accounts\.google\.com|auth\.openai\.com|accounts\.x\.com|/auth/login|/(?:login|signin|sign-in|sign_in)(?:/|$|\?)"
 RATE_URL = r"(?i)/429(?:/|$|\?)|too-many-requests|rate-limit"
@@ -31,12 +30,12 @@ def should_skip() -> Column:
     return F.coalesce((F.col("stored_count") > 0) & (timed | counted) & ~F.coalesce(newer, F.lit(False)), F.lit(False))
 
 
-def refresh_queue(stored: DataFrame, list_links: DataFrame) -> DataFrame:
+def refresh_queue(stored: DataFrame, list_links: DataFrame, max_links: int | None = None, max_items: int | None = None) -> DataFrame:
     """Stored conversations newest first, then new links in list order, with the skip verdict.
 
     ``stored``: platform, id, url, updated_ms, message_count. ``list_links``: platform, idx,
-    url, list_ms, list_count; the first 500 per platform count. The queue of a platform
-    ends after 5000 items.
+    url, list_ms, list_count. ``max_links`` counts only the first links of a platform, ``max_items`` ends a
+    platform's queue; without them everything counts.
     """
     canonical = links.canonical_url(F.col("url"), F.col("platform"))
     known = stored.withColumn("url", canonical).where((F.col("url") != "") & (links.conversation_id(F.col("url")) == F.col("id")))
@@ -44,7 +43,9 @@ def refresh_queue(stored: DataFrame, list_links: DataFrame) -> DataFrame:
         "platform", "id", F.col("url").alias("stored_url"), F.col("updated_ms").alias("stored_ms"),
         F.greatest(F.coalesce("message_count", F.lit(0)), F.lit(0)).alias("stored_count"),
     )
-    shown = ordinals(list_links, ["platform"], ["idx"], chunk_of("idx"), "nth").where(F.col("nth") <= MAX_LINKS)
+    shown = list_links
+    if max_links is not None:
+        shown = ordinals(shown, ["platform"], ["idx"], chunk_of("idx"), "nth").where(F.col("nth") <= max_links)
     shown = shown.withColumn("url", canonical).where("url <> ''").withColumn("id", links.conversation_id(F.col("url")))
     latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("idx"))).alias(c)
     shown = shown.groupBy("platform", "id").agg(F.min_by("url", "idx").alias("list_url"), F.min("idx").alias("idx"), latest("list_ms"), latest("list_count"))
@@ -52,7 +53,9 @@ def refresh_queue(stored: DataFrame, list_links: DataFrame) -> DataFrame:
     rows = rows.withColumn("part", F.when(F.col("stored_url").isNotNull(), 0).otherwise(1))
     rows = rows.withColumn("neg_ms", F.when(F.col("part") == 0, -F.coalesce("stored_ms", F.lit(0))).otherwise(F.col("idx")))
     chunk = F.col("part").cast("bigint") * 2**40 + F.floor(F.col("neg_ms") / 3600000)
-    rows = ordinals(rows, ["platform"], ["part", "neg_ms", "id"], chunk, "pos").where(F.col("pos") <= MAX_ITEMS)
+    rows = ordinals(rows, ["platform"], ["part", "neg_ms", "id"], chunk, "pos")
+    if max_items is not None:
+        rows = rows.where(F.col("pos") <= max_items)
     return rows.select(
         "platform", "pos", "id", F.coalesce("stored_url", "list_url").alias("url"), "stored_ms", "stored_count", "list_ms", "list_count", should_skip().alias("skip")
     )

@@ -25,7 +25,7 @@ def with_ranges(messages: DataFrame, query: str) -> DataFrame:
 
     A cheap test on the body drops the others before any range is computed.
     """
-    terms = [tx.fold(t) for t in query.split()[:8]]
+    terms = [tx.fold(t) for t in query.split()]
     maybe = F.lower("body").rlike("|".join([*(ranges.quoted(t) for t in terms), tx.NFKC_TEST])) | F.col("body").rlike(markup.MARKS)
     rows = messages.where(maybe).withColumn("flat", markup.idle_text("body"))
     rows = tx.with_normalised(rows, "norm", F.col("flat"))

@@ -37,11 +37,11 @@ def stored_count() -> Column:
 
 
 def title_key() -> Column:
-    """Visible title with digit runs padded, under the Unicode collation."""
+    """Visible title under the Unicode collation, digit runs by value: their length, then their digits."""
     visible = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("platform_id"), F.lit(""))
     pieces = F.regexp_extract_all(visible, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
     padded = F.transform(
-        pieces, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.ltrim(p, F.lit("0")), 40, "0")).otherwise(p)
+        pieces, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(F.ltrim(p, F.lit("0"))).cast("string"), 10, "0"), F.ltrim(p, F.lit("0")))).otherwise(p)
     )
     return F.collate(F.array_join(padded, ""), "UNICODE")
 

@@ -101,7 +101,7 @@ def _core(expr):
 
 
 _PHRASES = ", ".join(quote(p) for p in identity.PROGRESS_PHRASES)
-_PROGRESS = f"(length(b) < 200 AND {_core('b')} IN ({_PHRASES}) AND ({_core('b')} NOT IN ({', '.join(quote(w) for w in identity.ONE_WORD_STATUS)}) OR regexp_matches(b, '[0-9]{{1,3}}\\s*[%％]')))"
+_PROGRESS = f"({_core('b')} IN ({_PHRASES}) AND ({_core('b')} NOT IN ({', '.join(quote(w) for w in identity.ONE_WORD_STATUS)}) OR regexp_matches(b, '[0-9]{{1,3}}\\s*[%％]')))"
 
 
 @query("f07_progress_status", sql=with_ctes(model.DOC_MSG, body=f"SELECT id, {_PROGRESS} AS progress FROM (SELECT id, {_STATUS} AS b FROM msg)"))
@@ -150,13 +150,13 @@ _FLAT360 = f"CASE WHEN length({flat('body')}) <= 360 THEN {flat('body')} ELSE rt
 
 
 @query("a09_previews", sql=with_ctes(model.DOC_MSG, body=f"""
-  SELECT conversation_id, arg_min(p, turn) FILTER (role = 'user' AND turn < 40) AS first_user_preview,
-    arg_min(id, turn) FILTER (role = 'user' AND turn < 40) AS first_user_message_id,
+  SELECT conversation_id, arg_min(p, turn) FILTER (role = 'user') AS first_user_preview,
+    arg_min(id, turn) FILTER (role = 'user') AS first_user_message_id,
     arg_max(p, turn) AS last_preview, arg_max(role, turn) AS last_preview_role
   FROM (SELECT *, {_FLAT360} AS p FROM msg) GROUP BY conversation_id"""))
 def previews(spark, sf_dir):
     rows = _turns(spark, sf_dir).select("conversation_id", "id", "role", "turn", tx.preview_text("body").alias("p"))
-    early = F.when((F.col("role") == "user") & (F.col("turn") < 40), F.col("turn"))
+    early = F.when(F.col("role") == "user", F.col("turn"))
     return rows.groupBy("conversation_id").agg(
         F.min_by("p", early).alias("first_user_preview"), F.min_by("id", early).alias("first_user_message_id"),
         F.max_by("p", "turn").alias("last_preview"), F.max_by("role", "turn").alias("last_preview_role"),
@@ -348,7 +348,7 @@ _CLONES = """
 
 @query("w07_clone_drops", sql=with_ctes(model.DOC_MSG, _CLONES, f"""
   sz AS (SELECT p.conversation_id, l, n FROM (SELECT conversation_id, count(*) AS l FROM page GROUP BY 1) p JOIN (SELECT conversation_id, count(*) AS n FROM stored GROUP BY 1) s USING (conversation_id)
-    WHERE l >= 2 AND n >= 2 * l AND n % l = 0 AND n // l <= 8),
+    WHERE l >= 2 AND n >= 2 * l AND n % l = 0),
   r AS (SELECT conversation_id, id, (ord - 1) % l AS idx, (ord - 1) // l AS block, n // l AS copies, turn_id, CASE WHEN {turn_text('body')} = '' THEN '' ELSE role || {turn_text('body')} END AS stamp FROM stored JOIN sz USING (conversation_id)),
   ok AS (SELECT r.conversation_id, coalesce(min(block) FILTER (r.id IN (SELECT id FROM page)), any_value(copies) - 1) AS keep FROM r
     JOIN (SELECT conversation_id, idx, CASE WHEN {turn_text('body')} = '' THEN '' ELSE role || {turn_text('body')} END AS ps FROM page) p USING (conversation_id, idx)

@@ -68,7 +68,7 @@ ALIGNED = """aligned AS (
   SELECT DISTINCT query_id, conversation_id, source FROM (
     SELECT query_id, conversation_id, source FROM (
       SELECT conversation_id, source, token, start, row_number() OVER (PARTITION BY conversation_id, source, token ORDER BY start) AS nth
-      FROM occ WHERE source <> 'title') JOIN qspan USING (token) WHERE nth <= 32
+      FROM occ WHERE source <> 'title') JOIN qspan USING (token)
     GROUP BY query_id, conversation_id, source, start - qstart HAVING count(*) = max(n_spans)))"""
 HITS = """hits AS (
   SELECT query_id, conversation_id, sum(v) / max(n_tokens) AS body FROM (
@@ -119,7 +119,7 @@ def table_counts(spark, sf_dir):
 
 _POSTINGS_SQL = """
   SELECT token, conversation_id, source, role, string_agg(start::VARCHAR, ',' ORDER BY start) AS positions FROM (
-    SELECT *, row_number() OVER (PARTITION BY conversation_id, source, token ORDER BY start) AS nth FROM occ) WHERE nth <= 32
+    SELECT *, row_number() OVER (PARTITION BY conversation_id, source, token ORDER BY start) AS nth FROM occ)
   GROUP BY token, conversation_id, source, role"""
 
 
@@ -390,7 +390,7 @@ def multi_clause(spark, sf_dir):
   worded AS (
     SELECT query_id, conversation_id FROM (
       SELECT conversation_id, source, token, start, row_number() OVER (PARTITION BY conversation_id, source, token ORDER BY start) AS nth
-      FROM occ WHERE source <> 'title') JOIN wspan USING (token) WHERE nth <= 32
+      FROM occ WHERE source <> 'title') JOIN wspan USING (token)
       GROUP BY query_id, conversation_id, source, start - qstart HAVING count(*) = max(n_spans)
     UNION SELECT 13, id FROM hdr WHERE {whole(_T, 'tion erth')} UNION SELECT 16, id FROM hdr WHERE {whole(_T, 'ertion')}),
   shares AS (

@@ -404,7 +404,7 @@ _QUEUE = """
   st AS (SELECT platform, platform || ':' || platform_id AS id, regexp_replace(a, '[?#].*$', '') AS url, 1700000000000 + page_id % 50 * 3600000 AS ms, page_id % 4 AS n FROM ident WHERE platform_id IS NOT NULL AND page_id % 5 <> 0),
   ln0 AS (SELECT platform, page_id AS idx, platform || ':' || platform_id AS id, regexp_replace(a, '[?#].*$', '') AS url, CASE WHEN page_id % 7 > 2 THEN 1700000000000 + page_id % 60 * 3600000 END AS list_ms, CASE WHEN page_id % 3 = 0 THEN page_id % 5 END AS list_count,
     row_number() OVER (PARTITION BY platform ORDER BY page_id) AS nth, platform_id FROM ident WHERE platform IS NOT NULL AND page_id % 3 <> 1),
-  ln AS (SELECT * FROM ln0 WHERE nth <= 500 AND platform_id IS NOT NULL),
+  ln AS (SELECT * FROM ln0 WHERE platform_id IS NOT NULL),
   q0 AS (SELECT coalesce(st.platform, ln.platform) AS platform, coalesce(st.id, ln.id) AS id, coalesce(st.url, ln.url) AS url, st.ms AS stored_ms, coalesce(st.n, 0) AS stored_count, list_ms, list_count, CASE WHEN st.id IS NULL THEN 1 ELSE 0 END AS part, CASE WHEN st.id IS NULL THEN idx ELSE -st.ms END AS o
     FROM st FULL JOIN ln ON st.id = ln.id AND st.platform = ln.platform),
   q AS (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY part, o, id) AS pos,
@@ -418,14 +418,14 @@ def _queue(spark, sf_dir):
     return refresh.refresh_queue(stored, shown)
 
 
-@query("j13_refresh_queue", sql=with_ctes(ADDR, _QUEUE, body="SELECT platform, pos, id, url, stored_ms, stored_count, list_ms, list_count, skip FROM q WHERE pos <= 5000"))
+@query("j13_refresh_queue", sql=with_ctes(ADDR, _QUEUE, body="SELECT platform, pos, id, url, stored_ms, stored_count, list_ms, list_count, skip FROM q"))
 def refresh_queue(spark, sf_dir):
     return _queue(spark, sf_dir)
 
 
 @query("w16_refresh_schedule", sql=with_ctes(ADDR, _QUEUE, body="""
   SELECT platform, pos, id, n // 30 AS batch, (n - n // 30) * 30000 + n // 30 * 600000 AS start_ms FROM (
-    SELECT *, row_number() OVER (PARTITION BY platform ORDER BY pos) - 1 AS n FROM q WHERE pos <= 5000 AND NOT skip)"""))
+    SELECT *, row_number() OVER (PARTITION BY platform ORDER BY pos) - 1 AS n FROM q WHERE NOT skip)"""))
 def refresh_schedule(spark, sf_dir):
     return refresh.schedule(_queue(spark, sf_dir))
 

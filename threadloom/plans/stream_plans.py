@@ -189,7 +189,7 @@ def upsert_sink(spark, sf_dir):
 
 
 @query("s03_observation_stream", sql="""
-  SELECT page_id AS tab_id, left(t, 180) AS title, greatest(page_id % 7 - 3, 0) AS message_count, CASE WHEN page_id % 2 = 0 THEN least(page_id, 500) ELSE 0 END AS n_links
+  SELECT page_id AS tab_id, t AS title, greatest(page_id % 7 - 3, 0) AS message_count, CASE WHEN page_id % 2 = 0 THEN page_id ELSE 0 END AS n_links
   FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) || html AS t FROM pages)""")
 def observation_stream(spark, sf_dir):
     path = _folder(spark, "probes")

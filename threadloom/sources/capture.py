@@ -52,7 +52,7 @@ def split_captures(captures: DataFrame) -> dict[str, DataFrame]:
     listed = captures.where(F.col("type") == "CAPTURE_CONVERSATIONS").select("page_url", "at", F.explode("conversations").alias("c")).select("page_url", "at", "c.*")
     opened = captures.where((F.col("type") == "CAPTURE_MESSAGES") & F.col("conversation").isNotNull()).select(
         "page_url", "at", "conversation.*", "messages", "capture_id", "body_hash", "complete_page", "identity_verified",
-        F.slice(F.filter(F.coalesce("page_message_ids", F.array().cast("array<string>")), lambda i: F.length(i) <= 300), 1, 5000).alias("page_message_ids"),
+        F.coalesce("page_message_ids", F.array().cast("array<string>")).alias("page_message_ids"),
     ).where(valid_conversation() & sender_allowed())
     health = captures.where(F.col("type") == "CAPTURE_HEALTH").select("platform", "at", "health")
     return {
@@ -65,33 +65,32 @@ def split_captures(captures: DataFrame) -> dict[str, DataFrame]:
 
 
 def fit_health(rows: DataFrame) -> DataFrame:
-    """Health rows with both counts numeric, clipped to a bounded size."""
+    """Health rows with both counts numeric."""
     h = F.col("health")
     number = lambda k: h[k].try_cast("double")
     kept = rows.where(number("messageCount").isNotNull() & number("sidebarCount").isNotNull())
     hits = F.map_filter(h, lambda k, v: k.startswith("hit:"))
-    few = F.map_from_entries(F.slice(F.map_entries(hits), 1, 16))
     return kept.select(
         "platform", "at",
-        F.substring(F.coalesce(h["pathKind"], F.lit("other")), 1, 32).alias("path_kind"),
+        F.coalesce(h["pathKind"], F.lit("other")).alias("path_kind"),
         number("sidebarCount").cast("bigint").alias("sidebar_count"),
         number("messageCount").cast("bigint").alias("message_count"),
-        F.substring(F.coalesce(h["selector"], F.lit("none")), 1, 80).alias("selector"),
-        F.transform_values(few, lambda k, v: F.greatest(F.coalesce(F.floor(v.try_cast("double")), F.lit(0)), F.lit(0))).alias("selector_hits"),
+        F.coalesce(h["selector"], F.lit("none")).alias("selector"),
+        F.transform_values(hits, lambda k, v: F.greatest(F.coalesce(F.floor(v.try_cast("double")), F.lit(0)), F.lit(0))).alias("selector_hits"),
         F.coalesce(h["warn"].try_cast("boolean"), F.lit(False)).alias("warn"),
-        F.substring(links.redact(F.coalesce(h["diag"], F.lit(""))), 1, 700).alias("diag"),
+        links.redact(F.coalesce(h["diag"], F.lit(""))).alias("diag"),
     )
 
 
 def clean_observations(rows: DataFrame, platform: str) -> DataFrame:
-    """Page probes with caps: at most 500 safe links, titles of 180 characters, counts from 0."""
+    """Page probes with safe links only and counts from 0."""
     safe = F.filter(
         F.transform(F.coalesce("links", F.array()), lambda l: F.struct(
             links.canonical_url(l["url"], F.lit(platform)).alias("url"), l["updated_ms"].try_cast("bigint").alias("updated_ms"), l["message_count"].try_cast("bigint").alias("message_count"))),
         lambda l: l["url"] != "",
     )
     return rows.select(
-        "tab_id", "at", F.coalesce("url", F.lit("")).alias("href"), F.substring(F.coalesce("title", F.lit("")), 1, 180).alias("title"),
+        "tab_id", "at", F.coalesce("url", F.lit("")).alias("href"), F.coalesce("title", F.lit("")).alias("title"),
         F.greatest(F.floor(F.coalesce(F.col("message_count").try_cast("double"), F.lit(0.0))), F.lit(0)).alias("message_count"),
-        F.slice(safe, 1, 500).alias("links"),
+        safe.alias("links"),
     )

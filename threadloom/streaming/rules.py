@@ -16,7 +16,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # --- fixed values -----------------------------------------------------------------
 DUPLICATE_MS = 5000
-OWNERS_PER_KEY = 16
 BURST_MS = 800
 GRACE_MS = 8000
 HEARTBEAT_MS = 60000
@@ -79,7 +78,7 @@ def _owner_step(held, row):
     if owners and row.conversation not in owners:
         return (owners,), (row.event_id, True)
     if row.conversation not in owners:
-        owners = (owners + [row.conversation])[-OWNERS_PER_KEY:]
+        owners = owners + [row.conversation]
     return (owners,), (row.event_id, False)
 
 

@@ -110,6 +110,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             made = {"doc_id": batch.column(0).take(pa.array(which, pa.int32())), "piece": pa.array(number, pa.int32()), "start": pa.array(starts, pa.int64()), "length": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())}
             yield pa.record_batch(made | ({"ids": pa.array(raws, pa.binary())} if with_ids else {}))
 
+    rows.small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
 

@@ -390,6 +390,7 @@ def _sum_block(part: pa.Table) -> pa.Table:
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
     """One row per document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     spark = docs.sparkSession
+    rows.small_batches(spark)
     marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), (rows.fold_of(id_col, folds) == held).alias("held_out"), F.col(text_col).alias("text"))
     model = train(marked.where(~F.col("held_out")).select("text"))
     rows.release(spark)

@@ -14,6 +14,17 @@ from ..session import cut_lineage
 from . import lexer
 
 
+#: Documents in an Arrow batch: at ten kilobytes a text, ten megabytes on both sides of the pipe.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than the default of 10,000, which whole texts and sets would swell; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fold_of(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id has the remainder of the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
@@ -21,6 +32,7 @@ def fold_of(id_col: str, folds: int) -> Column:
 
 def append(docs: DataFrame, text_col: str, fn: Callable[[lexer.Chunk], dict[str, np.ndarray]], fields: dict[str, str]) -> DataFrame:
     """``docs`` with columns that ``fn`` makes from chunks of whole texts; columns of the same names are replaced."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(*(c for c in docs.columns if c.lower() in fields))
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + ", ".join(f"{k} {v}" for k, v in fields.items())
     names, types = [*docs.columns, *fields], {"long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}

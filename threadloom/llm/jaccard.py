@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import lexer
-from .rows import release, small_side
+from .rows import release, small_batches, small_side
 
 SKETCH_BITS = 18
 #: Lists whose counted bound is above this go through the path that splits hot keys.
@@ -360,6 +360,7 @@ def _links_across(texts: DataFrame, across: DataFrame, attached: DataFrame, know
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles`` (long) and ``component_id`` (long)."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows, order = _class_order(texts)
     single = rows

@@ -161,8 +161,9 @@ def best_title(new: Column, old: Column, platform_id: Column) -> Column:
     return F.coalesce(F.nullif(pick, F.lit("")), platform_id)
 
 
-def redact(text: Column, limit: int = 700) -> Column:
-    """Addresses, ids and line breaks removed from diagnostics."""
+def redact(text: Column, limit: int | None = None) -> Column:
+    """Addresses, ids and line breaks removed from diagnostics; ``limit`` keeps so many characters."""
     out = F.regexp_replace(text, r"(?i)https?://\S+", "[url]")
     out = F.regexp_replace(out, f"(?i){UUID}", "[id]")
-    return F.substring(F.trim(F.regexp_replace(out, r"[\r\n]+", " ")), 1, limit)
+    out = F.trim(F.regexp_replace(out, r"[\r\n]+", " "))
+    return out if limit is None else F.substring(out, 1, limit)

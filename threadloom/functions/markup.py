@@ -72,8 +72,10 @@ def turn_text(body: Column | str) -> Column:
     return tx.flatten_spaces(F.regexp_replace(source, r"[*_`#\[\]()>~]+", ""))
 
 
-def activity_key(body: Column | str) -> Column:
-    """Comparable opening of a turn: 400 characters in, links and marks out, 180 kept."""
-    head = F.substring(tx.flatten_spaces(body), 1, 400)
+def activity_key(body: Column | str, read: int | None = None, keep: int | None = None) -> Column:
+    """Comparable wording of a turn: links and marks out. ``read`` and ``keep`` cut what goes in and what comes out."""
+    head = tx.flatten_spaces(body)
+    head = head if read is None else F.substring(head, 1, read)
     bare = F.regexp_replace(F.regexp_replace(head, URL, " "), r"[*_`#\[\]()>~]+", "")
-    return F.substring(tx.flatten_spaces(bare), 1, 180)
+    bare = tx.flatten_spaces(bare)
+    return bare if keep is None else F.substring(bare, 1, keep)

@@ -251,6 +251,6 @@ def apply_folds(messages: DataFrame, folds: DataFrame) -> DataFrame:
 
 
 def turn_id_of(native: Column, container: Column, role: Column, body: Column) -> Column:
-    """Native id, else container and role, else a hash of role and opening."""
-    hashed = F.md5(F.concat_ws(":", role, F.substring(tx.flatten_spaces(body), 1, 180)))
+    """Native id, else container and role, else a hash of role and wording."""
+    hashed = F.md5(F.concat_ws(":", role, tx.flatten_spaces(body)))
     return F.coalesce(F.nullif(native, F.lit("")), F.when(container != "", F.concat_ws(":", container, role)), hashed)

@@ -9,10 +9,9 @@ from ..functions import text as tx
 from .ordered import chunk_of, ordinals
 
 # --- fixed values -----------------------------------------------------------------
-PER_MESSAGE, MAX_BYTES, MAX_EDGE, MIN_EDGE, MAX_OFFSET = 24, 153600, 512, 48, 1000000
+MAX_EDGE, MIN_EDGE = 512, 48
 PLACEHOLDERS = ["uncached", "oversized", "timeout", "not-loaded", "cleared"]
 MIMES = ["image/jpeg", "image/webp"]
-ALT_CHARS, PROMPT_CHARS = 500, 1000
 DECORATION = r"avatar|profile|logo|emoji|\bicon\b|artifact"
 NAMES = ["user", "assistant", "chatgpt", "claude", "grok", "gemini"]
 PICTURE_URL = r"(?i)blob:[^\s)]+|data:image/[^\s)]+"
@@ -21,23 +20,24 @@ PICTURE_LINK = r"(?i)https?://\S*(?:\.(?:png|jpe?g|gif|webp|svg|avif|bmp)(?:[?#]
 # ----------------------------------------------------------------------------------
 
 
-def scrub(text: Column, limit: int, drop_links: bool) -> Column:
+def scrub(text: Column, drop_links: bool, limit: int | None = None) -> Column:
     """Alt or prompt without picture addresses."""
-    cut = F.substring(tx.flatten_spaces(text), 1, limit)
+    cut = tx.flatten_spaces(text)
+    cut = cut if limit is None else F.substring(cut, 1, limit)
     bare = F.regexp_replace(F.regexp_replace(cut, PICTURE_URL, ""), WEB_URL if drop_links else PICTURE_LINK, " ")
     return tx.flatten_spaces(bare)
 
 
-def normalise_images(raw: DataFrame) -> DataFrame:
-    """Valid records with bounded fields; everything else is dropped."""
+def normalise_images(raw: DataFrame, per_message: int | None = None, max_bytes: int | None = None, chars: int | None = None) -> DataFrame:
+    """Valid records; everything else is dropped. Limits apply only where a caller gives them."""
     own = F.startswith(F.col("message_id"), F.concat(F.col("conversation_id"), F.lit(":")))
-    placed = F.col("idx").between(0, PER_MESSAGE - 1)
-    cached = (F.col("status") == "cached") & F.col("bytes").between(1, MAX_BYTES) & F.col("mime").isin(MIMES)
+    placed = (F.col("idx") >= 0) & (F.lit(True) if per_message is None else F.col("idx") < per_message)
+    cached = (F.col("status") == "cached") & (F.col("bytes") >= 1) & (F.lit(True) if max_bytes is None else F.col("bytes") <= max_bytes) & F.col("mime").isin(MIMES)
     side = lambda c: F.when(cached, F.least(F.greatest(F.coalesce(F.round(c), F.lit(0)), F.lit(0)), F.lit(MAX_EDGE))).otherwise(0).cast("int").alias(c)
     return raw.where(own & placed & (cached | F.col("status").isin(PLACEHOLDERS))).select(
         "message_id", "idx", "conversation_id", "status",
-        scrub(F.col("alt"), ALT_CHARS, True).alias("alt"), scrub(F.col("prompt"), PROMPT_CHARS, False).alias("prompt"),
-        F.least(F.greatest(F.coalesce("off", F.lit(0)), F.lit(0)), F.lit(MAX_OFFSET)).cast("int").alias("off"),
+        scrub(F.col("alt"), True, chars).alias("alt"), scrub(F.col("prompt"), False, chars).alias("prompt"),
+        F.greatest(F.coalesce("off", F.lit(0)), F.lit(0)).cast("bigint").alias("off"),
         F.when(cached, F.col("bytes")).otherwise(0).cast("int").alias("bytes"),
         F.when(cached, F.col("mime")).otherwise("").alias("mime"), side("width"), side("height"),
         *[c for c in raw.columns if c == "arrival"],
@@ -96,8 +96,8 @@ def card_order() -> list[Column]:
     return [F.coalesce("updated_ms", F.lit(0)).desc(), F.col("conversation_id").asc(), rank.asc(), F.coalesce("off", F.lit(0)).asc(), F.col("idx").asc(), F.col("message_id").asc()]
 
 
-def content_images(found: DataFrame) -> DataFrame:
-    """Content pictures of a page: no decoration, long enough once loaded, one per source, 24 per message.
+def content_images(found: DataFrame, per_message: int | None = None) -> DataFrame:
+    """Content pictures of a page: no decoration, long enough once loaded, one per source; ``per_message`` keeps the first ones.
 
     ``found``: message_id, pos, src_hash, classes, alt, loaded, width, height.
     """
@@ -106,14 +106,14 @@ def content_images(found: DataFrame) -> DataFrame:
     large = ~F.col("loaded") | (F.least("width", "height") > 0) & (F.greatest("width", "height") >= MIN_EDGE)
     rows = found.where(~marks.rlike(DECORATION) & ~named & large)
     first = rows.groupBy("message_id", "src_hash").agg(F.min("pos").alias("pos"))
-    return ordinals(first, ["message_id"], ["pos"], chunk_of("pos"), "nth").where(F.col("nth") <= PER_MESSAGE)
+    numbered = ordinals(first, ["message_id"], ["pos"], chunk_of("pos"), "nth")
+    return numbered if per_message is None else numbered.where(F.col("nth") <= per_message)
 
 
 def move_images(images: DataFrame, folds: DataFrame) -> DataFrame:
     """Images of folded turns on the turn that stays, in a free slot where theirs is taken.
 
-    ``folds``: drop_id, keep_id. A kept turn has at most 24 own slots; the pictures moved to
-    it take its free numbers in order.
+    ``folds``: drop_id, keep_id. The pictures moved to a kept turn take its free numbers in order.
     """
     moved = images.join(folds.select(F.col("drop_id").alias("message_id"), "keep_id"), "message_id")
     own = images.join(folds.select(F.col("keep_id").alias("message_id")).distinct(), "message_id", "left_semi")

@@ -177,16 +177,15 @@ def whole_title_matches(headers: DataFrame, clauses: list[Clause]) -> DataFrame:
 
 
 def anchor_of(clause: Clause) -> tuple[str, bool] | None:
-    """An index token every match must hold: (token, whether it is only a prefix)."""
-    if clause.kind == "phrase":
-        found = re.findall(r"[^a-z0-9]([a-z][a-z0-9]{1,23}|[0-9]{2,24})", clause.folded)
-        if found:
-            return max(found, key=len), True
-        cjk = [t for t in clause.tokens if re.fullmatch(f"[{tx.CJK_RUN}]+", t)]
-        return (cjk[0], False) if cjk else None
-    prefix = clause.folded.split("*")[0]
-    found = re.match(r"[a-z][a-z0-9]+|[0-9]{2,}", prefix)
-    return (found.group()[:24], True) if found else None
+    """The longest index token every match must hold: (token, whether it is only a prefix).
+
+    A phrase matches whole words, so any of its tokens stands in the turn; of a wildcard only
+    the token that opens the word is sure.
+    """
+    spans = tx.literal_spans(clause.folded if clause.kind == "phrase" else clause.folded.split("*")[0])
+    sure = [token for token, start in spans if clause.kind == "phrase" or start == 0]
+    token = max(sure, key=len, default=None)
+    return None if token is None else (token, not re.fullmatch(f"[{tx.CJK_RUN}]+", token))
 
 
 def candidates(postings: DataFrame, clauses: list[Clause]) -> DataFrame | None:

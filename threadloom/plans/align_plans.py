@@ -77,11 +77,11 @@ def send_chunks(spark, sf_dir):
     return align.send_chunks(rows)
 
 
-_KEYS = flat("regexp_replace(regexp_replace(left(" + flat('{}') + ", 400), '[hH][tT][tT][pP][sS]?://[^ ]+', ' ', 'g'), '[*_`#\\[\\]()>~]+', '', 'g')")
+_KEYS = flat("regexp_replace(regexp_replace(" + flat('{}') + ", '[hH][tT][tT][pP][sS]?://[^ ]+', ' ', 'g'), '[*_`#\\[\\]()>~]+', '', 'g')")
 
 
 def _key(expr):
-    return f"left({_KEYS.replace('{}', expr)}, 180)"
+    return _KEYS.replace("{}", expr)
 
 
 _END = """pgs AS (SELECT conversation_id, conv_no, arg_max(body, turn) AS b, arg_min(body, turn) AS f, count(*) AS n FROM msg GROUP BY ALL),
@@ -96,7 +96,7 @@ _END = """pgs AS (SELECT conversation_id, conv_no, arg_max(body, turn) AS b, arg
       CASE WHEN conv_no % 2 = 0 THEN conv_no % 4 = 0 WHEN ending IS NULL THEN false WHEN s <> '' AND e <> '' AND same THEN false ELSE true END
     WHEN s = '' OR ending IS NULL OR e = '' OR same THEN false WHEN starts_with(e, s) AND length(e) > length(s) THEN true ELSE conv_no % 8 < 4 END AS new_ending FROM sm"""))
 def new_ending(spark, sf_dir):
-    heads = _turns(spark, sf_dir).select("conversation_id", "conv_no", "turn", F.substring("body", 1, 1000).alias("body")).groupBy("conversation_id", "conv_no").agg(
+    heads = _turns(spark, sf_dir).select("conversation_id", "conv_no", "turn", "body").groupBy("conversation_id", "conv_no").agg(
         F.max_by("body", "turn").alias("b"), F.min_by("body", "turn").alias("f"), F.count("*").alias("n"))
     rows = heads.selectExpr(
         "conversation_id", "case when conv_no % 6 = 0 then 0 else n end as baseline_count", "case conv_no % 5 when 0 then b when 1 then f when 2 then left(b, 40) when 3 then left(b, 20) else b end as stored_body",

@@ -52,7 +52,7 @@ def turn_changes(spark, sf_dir):
 
 
 @query("p13_activity_key", sql=with_ctes(model.DOC_MSG, body=f"""
-  SELECT id, left({flat("regexp_replace(regexp_replace(left(" + flat('body') + ", 400), '[hH][tT][tT][pP][sS]?://[^ ]+', ' ', 'g'), '[*_`#\\[\\]()>~]+', '', 'g')")}, 180) AS activity_key FROM msg"""))
+  SELECT id, {flat("regexp_replace(regexp_replace(" + flat('body') + ", '[hH][tT][tT][pP][sS]?://[^ ]+', ' ', 'g'), '[*_`#\\[\\]()>~]+', '', 'g')")} AS activity_key FROM msg"""))
 def activity_key(spark, sf_dir):
     return _turns(spark, sf_dir).select("id", markup.activity_key("body").alias("activity_key"))
 
@@ -112,7 +112,7 @@ def progress_status(spark, sf_dir):
 
 @query("p31_turn_id", sql=with_ctes(model.DOC_MSG, body=f"""
   SELECT id, CASE WHEN turn % 3 = 0 THEN 'n' || turn WHEN turn % 3 = 1 THEN 'box' || conv_no || ':' || role
-    ELSE md5(role || ':' || left({flat('body')}, 180)) END AS derived FROM msg"""))
+    ELSE md5(role || ':' || {flat('body')}) END AS derived FROM msg"""))
 def turn_id(spark, sf_dir):
     turn = F.col("turn")
     native = F.when(turn % 3 == 0, F.concat(F.lit("n"), turn.cast("string")))

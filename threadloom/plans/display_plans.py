@@ -219,22 +219,25 @@ def embedded_times(spark, sf_dir):
 
 _IMG = """SELECT CASE WHEN doc_id % 31 = 0 THEN 'zz' ELSE '' END || {conv} || ':' || {turn} AS message_id, doc_id % 27 - 1 AS idx, {conv} AS conversation_id,
   CASE doc_id % 9 WHEN 0 THEN 'uncached' WHEN 1 THEN 'oversized' WHEN 2 THEN 'timeout' WHEN 3 THEN 'broken' WHEN 4 THEN 'cleared' ELSE 'cached' END AS status,
-  left(text, 700) AS alt, left(text, 1500) AS prompt, doc_id * 9000 - 5000 AS off, doc_id * 977 % 170000 AS bytes, CASE doc_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/webp' ELSE 'image/jpeg' END AS mime,
+  text AS alt, text AS prompt, doc_id * 9000 - 5000 AS off, doc_id * 977 % 170000 AS bytes, CASE doc_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/webp' ELSE 'image/jpeg' END AS mime,
   doc_id % 900 AS width, doc_id % 700 - 20 AS height, doc_id, {no} AS conv_no FROM documents"""
 _CONV = "(['chatgpt','claude','grok','gemini'][((doc_id // 10) % 4 + 1)::INT] || ':c' || (doc_id // 10))"
-_URLISH = "(?i)blob:|data:image/|https?://"
-IMG = "img AS (" + _IMG.format(conv=_CONV, turn="(doc_id % 10)", no="(doc_id // 10)") + f" WHERE NOT regexp_matches(text, '{_URLISH}')),"
+def _scrubbed(column, links):
+    return flat(f"regexp_replace(regexp_replace({flat(column)}, {quote(images.PICTURE_URL)}, '', 'g'), {quote(links)}, ' ', 'g')")
+
+
+IMG = "img AS (" + _IMG.format(conv=_CONV, turn="(doc_id % 10)", no="(doc_id // 10)") + "),"
 IMG += f"""
-  nimg AS (SELECT message_id, idx, conversation_id, status, {flat("left(" + flat('alt') + ", 500)")} AS alt, {flat("left(" + flat('prompt') + ", 1000)")} AS prompt, least(greatest(off, 0), 1000000) AS off,
+  nimg AS (SELECT message_id, idx, conversation_id, status, {_scrubbed('alt', images.WEB_URL)} AS alt, {_scrubbed('prompt', images.PICTURE_LINK)} AS prompt, greatest(off, 0) AS off,
     CASE WHEN status = 'cached' THEN bytes ELSE 0 END AS bytes, CASE WHEN status = 'cached' THEN mime ELSE '' END AS mime, CASE WHEN status = 'cached' THEN least(width, 512) ELSE 0 END AS width, CASE WHEN status = 'cached' THEN least(greatest(height, 0), 512) ELSE 0 END AS height, doc_id, conv_no
-    FROM img WHERE starts_with(message_id, conversation_id || ':') AND idx BETWEEN 0 AND 23 AND (status IN ('uncached', 'oversized', 'timeout', 'cleared') OR status = 'cached' AND bytes BETWEEN 1 AND 153600 AND mime IN ('image/jpeg', 'image/webp')))"""
+    FROM img WHERE starts_with(message_id, conversation_id || ':') AND idx >= 0 AND (status IN ('uncached', 'oversized', 'timeout', 'cleared') OR status = 'cached' AND bytes >= 1 AND mime IN ('image/jpeg', 'image/webp')))"""
 
 
 def _images(spark, sf_dir):
     conv = "concat(element_at(array('chatgpt','claude','grok','gemini'), cast((doc_id div 10) % 4 + 1 as int)), ':c', doc_id div 10)"
     body = _IMG.format(conv=conv, turn="(doc_id % 10)", no="doc_id div 10").replace(" FROM documents", "")
     picked = [part.strip() for part in _split_columns(body[len("SELECT "):])]
-    return model.load(spark, sf_dir, "documents").where(f"not text rlike '{_URLISH}'").selectExpr(*picked)
+    return model.load(spark, sf_dir, "documents").selectExpr(*picked)
 
 
 def _split_columns(text):
@@ -311,7 +314,7 @@ def image_order(spark, sf_dir):
 @query("f14_content_images", sql="""
   WITH f AS (SELECT doc_id // 40 AS message_id, doc_id AS pos, doc_id * 7 % 33 AS src_hash FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND (doc_id % 5 = 0 OR greatest(doc_id % 90, 20) >= 48)),
   g AS (SELECT message_id, src_hash, min(pos) AS pos FROM f GROUP BY ALL)
-  SELECT message_id, src_hash, pos, nth FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY pos) AS nth FROM g) WHERE nth <= 24""")
+  SELECT message_id, src_hash, pos, nth FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY pos) AS nth FROM g)""")
 def content_images(spark, sf_dir):
     found = model.load(spark, sf_dir, "documents").selectExpr(
         "doc_id div 40 as message_id", "doc_id as pos", "doc_id * 7 % 33 as src_hash", "case when doc_id % 11 = 0 then 'User-Avatar' else 'pic' end as classes",

@@ -141,10 +141,10 @@ def titles(spark, sf_dir):
 
 
 @query("p24_redaction", sql=f"""
-  SELECT page_id, left(trim(regexp_replace(regexp_replace(regexp_replace(x, '(?i)https?://\\S+', '[url]', 'g'), '(?i){_U}', '[id]', 'g'), '[\\r\\n]+', ' ', 'g')), 700) AS safe
-  FROM (SELECT page_id, 'id ' || {_UUID} || chr(10) || 'at ' || url || ' ' || left(html, 2000) AS x FROM pages)""")
+  SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(x, '(?i)https?://\\S+', '[url]', 'g'), '(?i){_U}', '[id]', 'g'), '[\\r\\n]+', ' ', 'g')) AS safe
+  FROM (SELECT page_id, 'id ' || {_UUID} || chr(10) || 'at ' || url || ' ' || html AS x FROM pages)""")
 def redaction(spark, sf_dir):
-    return model.load(spark, sf_dir, "pages").select("page_id", links.redact(F.expr(f"'id ' || {_UUID} || chr(10) || 'at ' || url || ' ' || left(html, 2000)")).alias("safe"))
+    return model.load(spark, sf_dir, "pages").select("page_id", links.redact(F.expr(f"'id ' || {_UUID} || chr(10) || 'at ' || url || ' ' || html")).alias("safe"))
 
 
 # --- time labels --------------------------------------------------------------------
@@ -356,14 +356,14 @@ def reindex(spark, sf_dir):
 
 
 @query("u03_token_changes", sql=with_ctes(model.DOC_MSG, model.HDR, """
-  a AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(title), '[a-z][a-z0-9]{1,47}')) AS token FROM hdr),
-  b AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(CASE WHEN conv_no % 2 = 0 THEN 'renamed ' || title ELSE left(title, 12) END), '[a-z][a-z0-9]{1,47}')) AS token FROM hdr)""".strip(), body="""
+  a AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(title), '[a-z][a-z0-9]{1,47}') || regexp_extract_all(lower(title), '[0-9]{2,24}')) AS token FROM hdr),
+  r AS (SELECT id, lower(CASE WHEN conv_no % 2 = 0 THEN 'renamed ' || title ELSE left(title, 12) END) AS t FROM hdr),
+  b AS (SELECT DISTINCT id, unnest(regexp_extract_all(t, '[a-z][a-z0-9]{1,47}') || regexp_extract_all(t, '[0-9]{2,24}')) AS token FROM r)""".strip(), body="""
   SELECT id, token, 'removed' AS change FROM (FROM a EXCEPT FROM b) UNION ALL SELECT id, token, 'added' FROM (FROM b EXCEPT FROM a)"""))
 def token_changes(spark, sf_dir):
     heads = model.headers(model.document_messages(spark, sf_dir)).select("id", "title", "conv_no")
     renamed = heads.withColumn("title", F.expr("case when conv_no % 2 = 0 then concat('renamed ', title) else left(title, 12) end"))
-    words = lambda frame: index.title_postings(frame).where("token rlike '^[a-z]'")
-    return index.token_changes(words(heads), words(renamed)).selectExpr("conversation_id as id", "token", "change")
+    return index.token_changes(index.title_postings(heads), index.title_postings(renamed)).selectExpr("conversation_id as id", "token", "change")
 
 
 @query("s11_cascade_delete", sql=with_ctes(model.DOC_MSG, model.HDR, body=f"""

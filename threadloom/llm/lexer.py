@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 CHUNK_DOCS = 60_000
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15

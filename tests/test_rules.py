@@ -206,3 +206,26 @@ def test_many_micro_batches_equal_one(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     got = stream_plans._drain(spark, rules.capture_baselines(stream)).count()
     assert got == rows.where("event_id < 1200").count()
+
+
+def test_visible_text_keeps_code_and_drops_marks(spark):
+    from threadloom.functions import markup
+
+    cases = {
+        "use `__init__` and `a*b*c`": "use __init__ and a*b*c",
+        "see:\n```py\n# setup\ndef __init__(self):\n- item\n```\nafter **that**": "see:\n# setup\ndef __init__(self):\n- item\n\nafter that",
+        "~~~\n*raw*\n~~~": "*raw*",
+        "foo__bar__baz and a_b_c [x]": "foo__bar__baz and a_b_c [x]",
+        "_one_ and __two words__ [x]": "one and two words [x]",
+        "[a](http://x/(b)c) end": "a end",
+        "\\*not\\* emphasis, *this* is": "*not* emphasis, this is",
+        "`` a ` b `` c": "a ` b c",
+        "# Title\n> quoted\n- item https://x.y/z more": "Title\nquoted\nitem more",
+        "| a | b |\n|---|---|\n| c | d |": "a b\nc d",
+        "open `code": "open `code",
+        "plain prose": "plain prose",
+        "": "",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "body string")
+    got = {r.body: r.v for r in rows.select("body", markup.visible_text("body").alias("v")).collect()}
+    assert got == cases

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions import markup
 from ..functions.text import STOPWORDS
 
 WORD = "[a-z][a-z0-9]{1,47}"
@@ -13,16 +12,26 @@ def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# Written out for the oracle; the driver tables hold no code, escapes or underscores.
+_VISIBLE = [
+    ("<(?i:https?)://[^>\\s]*>", " "), ("!?\\[([^\\]\\n]*)\\]\\((?:[^()\\n]|\\([^()\\n]*\\))*\\)", "\\1"),
+    ("(?m)^[ \\t]*\\|?[ \\t]*:?-{3,}:?[ \\t]*(?:\\|[ \\t]*:?-{3,}:?[ \\t]*)+\\|?[ \\t]*\\n", ""),
+    ("(?m)^[ \\t]{0,3}#{1,6}[ \\t]+", ""), ("(?m)^[ \\t]*(?:>[ \\t]?)+", ""), ("(?m)^[ \\t]*(?:[-+*]|[0-9]{1,9}[.)])[ \\t]+", ""),
+    ("(?m)^[ \\t]*[|][ \\t]*", ""), ("[ \\t]*[|][ \\t]*", " "), ("[*]{2}([^*\\n]+)[*]{2}", "\\1"), ("[*]([^*\\s][^*\\n]*)[*]", "\\1"),
+    ("(?i:https?)://\\S+", " "), ("[ \\t]{2,}", " "), ("[ \\t]+\\n", "\n"), ("\\n{3,}", "\n\n"),
+]
+
+
 def visible(col: str) -> str:
-    """Visible text of a Markdown body."""
+    """Visible text of a Markdown body without code."""
     text = f"coalesce({col}, '')"
     raw = text
-    for pattern, replacement in markup.VISIBLE_STEPS:
+    for pattern, replacement in _VISIBLE:
         new = replacement.replace("\n", "' || chr(10) || '")
         text = f"regexp_replace({text}, {quote(pattern)}, '{new}', 'g')"
     return (
-        f"CASE WHEN regexp_matches({raw}, {quote(markup.MARKS)}) THEN "
-        f"coalesce(nullif(trim({text}), ''), {raw}) ELSE {raw} END"
+        f"CASE WHEN regexp_matches({raw}, '[*_`#|\\[\\]>]|(?i:https?)://') THEN "
+        f"coalesce(nullif(regexp_replace({text}, '\\A\\s+|\\s+\\z', '', 'g'), ''), {raw}) ELSE {raw} END"
     )
 
 

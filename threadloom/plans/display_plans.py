@@ -73,43 +73,39 @@ def _cut(expr, a, b):
     return f"(CASE WHEN greatest({a} - 28, 0) > 0 THEN '…' ELSE '' END || substr({expr}, (greatest({a} - 28, 0) + 1)::BIGINT, (least(length({expr}), {b} + 120) - greatest({a} - 28, 0))::BIGINT) || CASE WHEN {b} + 120 < length({expr}) THEN '…' ELSE '' END)"
 
 
-_PLAINM = "plainm AS (SELECT * FROM msg WHERE NOT regexp_matches(body, '[*_`#|\\[\\]>~]|[hH][tT][tT][pP]|--'))"
-_FLATM = f"flatm AS (SELECT conversation_id, id, turn, f, lower(f) AS t FROM (SELECT *, {flat('body')} AS f FROM plainm))"
+_IDLE = f"""CASE WHEN contains(body, chr(10)) THEN {flat('v')} ELSE {flat("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + flat('v') + ", '`{3,}', ' ', 'g'), '(^|[ ])[|]?(?:[ ]*:?-{3,}:?[ ]*[|])+(?:[ ]*:?-{3,}:?[ ]*[|]?)?', '\\1', 'g'), '(^|[ ])[|]', '\\1', 'g'), '(^|[ ])#{1,6}[ ]', '\\1', 'g'), '(^|[ ])(?:-{3,}|[*]{3,}|_{3,})', '\\1', 'g')")} END"""
+_FLATM = f"""flatm AS (SELECT conversation_id, id, turn, f, lower(f) AS t FROM (SELECT *, {_IDLE} AS f FROM (SELECT *, {visible('body')} AS v FROM msg)))"""
 _FW = occurrences("fw", "flatm", "[a-z0-9]+", "id")
 _SNIP = f"""hit AS (SELECT conversation_id, id, f, n, a, b FROM flatm JOIN (SELECT id, count(*) AS n, min(start) AS a, arg_min(start + length(token), start) AS b FROM fw WHERE token IN ('thin', 'erth') GROUP BY id) USING (id))"""
 
 
-def _plain_turns(spark, sf_dir):
-    return _turns(spark, sf_dir).where("not body rlike '[*_`#|\\\\[\\\\]>~]|[hH][tT][tT][pP]|--'")
-
-
-@query("p09_snippet_window", sql=with_ctes(model.DOC_MSG, _PLAINM, _FLATM, _FW, _SNIP, body=f"SELECT id, n, {_cut('f', 'a', 'b')} AS text FROM hit"))
+@query("p09_snippet_window", sql=with_ctes(model.DOC_MSG, _FLATM, _FW, _SNIP, body=f"SELECT id, n, {_cut('f', 'a', 'b')} AS text FROM hit"))
 def snippet_window(spark, sf_dir):
-    rows = snippets.with_ranges(_plain_turns(spark, sf_dir), TERM)
+    rows = snippets.with_ranges(_turns(spark, sf_dir), TERM)
     cut = ranges.snippet(F.col("flat"), F.col("ranges"), literal=False)
     return rows.select("id", F.size("ranges").cast("bigint").alias("n"), cut["text"].alias("text"))
 
 
-@query("w17_best_snippet", sql=with_ctes(model.DOC_MSG, _PLAINM, _FLATM, _FW, _SNIP, body=f"""
+@query("w17_best_snippet", sql=with_ctes(model.DOC_MSG, _FLATM, _FW, _SNIP, body=f"""
   SELECT conversation_id, id, {_cut('f', 'a', 'b')} AS text FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY n * 100000 - a DESC, id DESC) AS r FROM hit) WHERE r = 1"""))
 def best_snippet(spark, sf_dir):
-    return snippets.best_snippets(_plain_turns(spark, sf_dir), TERM).select("conversation_id", "id", "text")
+    return snippets.best_snippets(_turns(spark, sf_dir), TERM).select("conversation_id", "id", "text")
 
 
 @query("p21_idle_text", sql=with_ctes(model.DOC_MSG, body=f"""
-  SELECT id, CASE WHEN contains(body, chr(10)) THEN {flat('v')} ELSE {flat("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + flat('v') + ", '`{3,}', ' ', 'g'), '(^|[ ])[|]?(?:[ ]*:?-{3,}:?[ ]*[|])+(?:[ ]*:?-{3,}:?[ ]*[|]?)?', '\\1', 'g'), '(^|[ ])[|]', '\\1', 'g'), '(^|[ ])#{1,6}[ ]', '\\1', 'g'), '(^|[ ])(?:-{3,}|[*]{3,}|_{3,})', '\\1', 'g')")} END AS idle
+  SELECT id, {_IDLE} AS idle
   FROM (SELECT id, body, {visible('body')} AS v FROM msg)"""))
 def idle_text(spark, sf_dir):
     return _turns(spark, sf_dir).select("id", markup.idle_text("body").alias("idle"))
 
 
-@query("p10_preview_choice", sql=with_ctes(model.DOC_MSG, _PLAINM, _FLATM, _FW, _SNIP, f"""
+@query("p10_preview_choice", sql=with_ctes(model.DOC_MSG, _FLATM, _FW, _SNIP, f"""
   sn AS (SELECT conversation_id, {_cut('f', 'a', 'b')} AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY n * 100000 - a DESC, id DESC) AS r FROM hit) WHERE r = 1),
-  pv AS (SELECT conversation_id, conv_no, count(*) AS n, arg_min(f, turn) FILTER (role = 'user') AS fu, arg_max(f, turn) AS la FROM (SELECT *, CASE WHEN length({flat('body')}) <= 360 THEN {flat('body')} ELSE rtrim(left({flat('body')}, 360)) || '…' END AS f FROM plainm) GROUP BY ALL)""".strip(), body="""
+  pv AS (SELECT conversation_id, conv_no, count(*) AS n, arg_min(f, turn) FILTER (role = 'user') AS fu, arg_max(f, turn) AS la FROM (SELECT *, CASE WHEN length({flat('body')}) <= 360 THEN {flat('body')} ELSE rtrim(left({flat('body')}, 360)) || '…' END AS f FROM msg) GROUP BY ALL)""".strip(), body="""
   SELECT conversation_id, CASE WHEN snippet IS NOT NULL THEN 'snippet' WHEN conv_no % 3 > 0 AND fu <> '' THEN 'first-user' WHEN conv_no % 3 > 1 OR conv_no % 6 = 0 THEN CASE WHEN la <> '' THEN 'last' ELSE 'none' END ELSE 'none' END AS kind
   FROM (SELECT * FROM pv LEFT JOIN sn USING (conversation_id))"""))
 def preview_choice(spark, sf_dir):
-    turns = _plain_turns(spark, sf_dir)
+    turns = _turns(spark, sf_dir)
     short = turns.select("conversation_id", "conv_no", "role", "turn", tx.preview_text("body").alias("f"))
     heads = short.groupBy("conversation_id", "conv_no").agg(
         F.count("*").alias("message_count"), F.min_by("f", F.when(F.col("role") == "user", F.col("turn"))).alias("fu"), F.max_by("f", "turn").alias("la"))

@@ -229,3 +229,16 @@ def test_visible_text_keeps_code_and_drops_marks(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "body string")
     got = {r.body: r.v for r in rows.select("body", markup.visible_text("body").alias("v")).collect()}
     assert got == cases
+
+
+def test_search_lists_everything_for_an_empty_query_and_reads_no_bodies_for_titles(spark):
+    from threadloom.operators import index, search
+    from threadloom.sources import model
+
+    turns = model.document_messages(spark, "/root/testdata/sf0.001")
+    heads = model.headers(turns)
+    postings = index.build_postings(heads, turns)
+    assert search.search(heads, turns, postings, {}).count() == 0
+    assert search.search(heads, turns, postings, {7: "  "}).where("relevance = 0 and query_id = 7").count() == heads.count()
+    nowhere = turns.withColumn("body", F.expr("raise_error('bodies were read')").cast("string"))
+    assert search.search(heads, nowhere, postings, {1: "title:the"}).count() == search.search(heads, turns, postings, {1: "title:the"}).count()

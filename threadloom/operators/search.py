@@ -8,6 +8,7 @@ tables themselves use :func:`table_tokens` and ordinary joins.
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 
@@ -386,17 +387,20 @@ def clause_matches(headers: DataFrame, messages: DataFrame, postings: DataFrame,
     titled = title_matches(headers, clauses).withColumn("titled", F.lit(True))
     wordy = [c for c in clauses if c.kind == "words" and c.tokens and not c.title_only]
     literal = [c for c in clauses if not c.title_only and not (c.kind == "words" and c.tokens)]
-    tokens = token_frame(spark, wordy)
-    found = index.lookup(postings, sorted({t for c in wordy for t in c.tokens}))
-    shares = source_hits(found, tokens).select(
-        "query_id", "clause_no", "conversation_id", "source", "weight",
-        (F.col("found") / F.col("n_tokens")).alias("share"),
-    )
-    exact = body_matches(messages, literal, postings if use_index else None).select(
-        "query_id", "clause_no", "conversation_id", "source",
-        F.when(F.col("role") == "user", USER).otherwise(ASSISTANT).alias("weight"),
-        F.lit(1.0).alias("share"),
-    )
+    empty = spark.createDataFrame([], "query_id INT, clause_no INT, conversation_id STRING, source STRING, weight INT, share DOUBLE")
+    shares = exact = empty
+    if wordy:
+        found = index.lookup(postings, sorted({t for c in wordy for t in c.tokens}))
+        shares = source_hits(found, token_frame(spark, wordy)).select(
+            "query_id", "clause_no", "conversation_id", "source", "weight",
+            (F.col("found") / F.col("n_tokens")).alias("share"),
+        )
+    if literal:  # only then are bodies read
+        exact = body_matches(messages, literal, postings if use_index else None).select(
+            "query_id", "clause_no", "conversation_id", "source",
+            F.when(F.col("role") == "user", USER).otherwise(ASSISTANT).alias("weight"),
+            F.lit(1.0).alias("share"),
+        )
     return titled, shares.unionByName(exact)
 
 
@@ -416,17 +420,18 @@ def search_clauses(headers: DataFrame, messages: DataFrame, postings: DataFrame,
     )
     titled, bodied = clause_matches(headers, messages, postings, clauses, use_index)
     bodied = bodied.join(facts, ["query_id", "clause_no"])
-    found = index.lookup(postings, sorted({t for c in wordy for t in c.tokens}))
-    whole = whole_title_matches(headers, wordy)
-    aligned = aligned_phrases(found, span_frame(spark, wordy))
     names = ["query_id", "clause_no", "conversation_id"]
     none = F.lit(False)
+    flagged = lambda rows, name: rows.select(*names, *((F.lit(True) if n == name else none).alias(n) for n in ("in_title", "matched", "worded")))
+    seen = flagged(titled, "in_title")
+    if literal:
+        seen = seen.unionByName(flagged(bodied.where("literal"), "matched"))
+    if wordy:
+        found = index.lookup(postings, sorted({t for c in wordy for t in c.tokens}))
+        whole = whole_title_matches(headers, wordy).select(*names).unionByName(aligned_phrases(found, span_frame(spark, wordy)).select(*names))
+        seen = seen.unionByName(flagged(and_matches(found, token_frame(spark, wordy)), "matched")).unionByName(flagged(whole, "worded"))
     seen = (
-        titled.select(*names, F.lit(True).alias("in_title"), none.alias("matched"), none.alias("worded"))
-        .unionByName(and_matches(found, token_frame(spark, wordy)).select(*names, none.alias("in_title"), F.lit(True).alias("matched"), none.alias("worded")))
-        .unionByName(bodied.where("literal").select(*names, none.alias("in_title"), F.lit(True).alias("matched"), none.alias("worded")))
-        .unionByName(whole.unionByName(aligned.select(*names)).select(*names, none.alias("in_title"), none.alias("matched"), F.lit(True).alias("worded")))
-        .groupBy(*names)
+        seen.groupBy(*names)
         .agg(F.bool_or("in_title").alias("in_title"), F.bool_or(F.col("matched") | F.col("in_title")).alias("matched"), F.bool_or("worded").alias("worded"))
         .join(facts, ["query_id", "clause_no"])
     )
@@ -458,13 +463,21 @@ def search_clauses(headers: DataFrame, messages: DataFrame, postings: DataFrame,
 
 
 def search(headers: DataFrame, messages: DataFrame, postings: DataFrame, saved: dict[int, str], platform: str = "", archive: str = "all", use_index: bool = False) -> DataFrame:
-    """Every saved query at once: (query_id, header columns, relevance)."""
+    """Every saved query at once: (query_id, header columns, relevance).
+
+    An empty query lists all headers in scope with relevance 0; no queries give no rows.
+    """
     queries = Queries(saved)
     inside = scope(headers, platform, archive)
+    blank = [c.query_id for c in queries.plain if not c.value]
+    plain = [c for c in queries.plain if c.value]
     parts = []
-    if queries.plain:
-        parts.append(search_plain(inside, postings, queries.plain))
+    if blank or not saved:
+        every = F.array(*[F.lit(q) for q in blank]).cast("array<int>")
+        parts.append(inside.select(F.explode(every).alias("query_id"), F.col("id").alias("conversation_id"), F.lit(0.0).alias("relevance")))
+    if plain:
+        parts.append(search_plain(inside, postings, plain))
     if queries.clauses:
         parts.append(search_clauses(inside, messages, postings, queries.clauses, use_index))
-    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    found = functools.reduce(DataFrame.unionByName, parts)
     return found.join(inside.withColumnRenamed("id", "conversation_id"), "conversation_id")

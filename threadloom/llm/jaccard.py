@@ -181,7 +181,6 @@ def components(edges: DataFrame) -> DataFrame:
     written to the checkpoint folder. Nodes without an edge are absent.
     """
     edges = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    state = None
     while True:
         # One round each of large and small stars.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -190,11 +189,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = cut_lineage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-        found = edges.agg(F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.count_distinct("u")).first()
-        if tuple(found) == state or not found[0]:
-            break
-        state = tuple(found)
-    return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+        # Done when every node has one edge, to a node without any.
+        uses = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        if not uses.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down = 1 AND up = 1)").limit(1).count():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def _component_of(rows: DataFrame, comps: DataFrame, id_col: str, name: str) -> DataFrame:

@@ -153,6 +153,27 @@ def test_moved_images_never_share_a_slot(spark):
     assert rows and len({(r.keep_id, r.new_idx) for r in rows}) == len(rows)
 
 
+def test_moved_images_follow_the_sequential_rule(spark):
+    rng = random.Random(9)
+    have = {(f"m{m:02}", i) for m in range(12) for i in rng.sample(range(6), rng.randint(0, 4))}
+    folds = [(f"m{m:02}", f"m{m - m % 4 + 3:02}") for m in range(12) if m % 4 != 3]
+    want = set()
+    for keep in {k for _, k in folds}:
+        taken, following = {i for m, i in have if m == keep}, 0
+        for drop, idx in sorted((m, i) for m, i in have if (m, keep) in folds):
+            slot = idx
+            if idx in taken:
+                while following in taken:
+                    following += 1
+                slot, following = following, following + 1
+            taken.add(slot)
+            want.add((drop, keep, idx, slot))
+    moves = images.move_images(spark.createDataFrame(sorted(have), "message_id string, idx int"), spark.createDataFrame(folds, "drop_id string, keep_id string"))
+    assert {tuple(r) for r in moves.select("message_id", "keep_id", "idx", "new_idx").collect()} == want
+    blobs = spark.createDataFrame([(m, i, bytes([i])) for m, i in sorted(have)], "message_id string, idx int, blob binary")
+    assert images.move_blobs(blobs, moves).count() == len(have)
+
+
 def test_progress_and_noise(spark):
     yes = ["Creating image 25%", "• Sketching 38%", "正在生成图片…", "Adding details"]
     no = ["Sketching", "I was creating image lists", "", "50%"]

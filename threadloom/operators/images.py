@@ -111,25 +111,32 @@ def content_images(found: DataFrame, per_message: int | None = None) -> DataFram
 
 
 def move_images(images: DataFrame, folds: DataFrame) -> DataFrame:
-    """Images of folded turns on the turn that stays, in a free slot where theirs is taken.
+    """Images of folded turns on the turn that stays: message_id, keep_id, idx, new_idx.
 
-    ``folds``: drop_id, keep_id. The pictures moved to a kept turn take its free numbers in order.
+    ``folds``: drop_id, keep_id. Movers come in order of their turn and number. A mover keeps its
+    number if neither the kept turn nor an earlier mover has it, and else takes the lowest number
+    that is free and was not given out before. All pictures of one turn meet in one short array.
     """
-    moved = images.join(folds.select(F.col("drop_id").alias("message_id"), "keep_id"), "message_id")
-    own = images.join(folds.select(F.col("keep_id").alias("message_id")).distinct(), "message_id", "left_semi")
-    taken = own.groupBy("message_id").agg(F.collect_set("idx").alias("taken")).withColumnRenamed("message_id", "keep_id")
-    rows = moved.join(taken, "keep_id", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
-    clash = F.array_contains("taken", F.col("idx"))
-    first = rows.where(~clash).groupBy("keep_id", "idx").agg(F.min("message_id").alias("first_from"))
-    rows = rows.join(first, ["keep_id", "idx"], "left")
-    stays = F.coalesce(F.col("first_from") == F.col("message_id"), F.lit(False))
-    settled = first.groupBy("keep_id").agg(F.collect_set("idx").alias("more"))
-    rows = rows.join(settled, "keep_id", "left").withColumn("stays", stays)
-    held = F.array_union("taken", F.coalesce("more", F.array().cast("array<int>")))
-    # Hash order lets the moved pictures of one turn be numbered in chunks.
-    loose = rows.where("not stays").withColumn("held", F.array_sort(held)).withColumn("h", F.xxhash64("message_id"))
-    displaced = ordinals(loose, ["keep_id"], ["h", "message_id", "idx"], F.shiftright("h", 52), "nth")
-    # n-th number that is not held: start at n - 1 and step over every held number met.
-    free = F.aggregate("held", (F.col("nth") - 1).cast("int"), lambda at, taken_at: F.when(taken_at <= at, at + 1).otherwise(at))
-    base = ["message_id", "keep_id"]
-    return rows.where("stays").select(*base, "idx", F.col("idx").alias("new_idx")).unionByName(displaced.select(*base, "idx", free.alias("new_idx")))
+    pair = F.struct("message_id", F.col("idx").cast("int").alias("idx"))
+    moved = images.join(folds.select(F.col("drop_id").alias("message_id"), "keep_id"), "message_id").groupBy("keep_id").agg(F.sort_array(F.collect_set(pair)).alias("movers"))
+    own = images.join(folds.select(F.col("keep_id").alias("message_id")).distinct(), "message_id", "left_semi").groupBy(F.col("message_id").alias("keep_id")).agg(F.collect_set(F.col("idx").cast("int")).alias("own"))
+    rows = moved.join(own, "keep_id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<int>")))
+
+    def place(state, mover):
+        met = F.array_contains(state["taken"], mover["idx"])
+        free = F.filter(F.sequence(state["next"], state["next"] + F.size(state["taken"])), lambda i: ~F.array_contains(state["taken"], i))[0]
+        slot = F.when(met, free).otherwise(mover["idx"])
+        return F.struct(
+            F.array_append(state["taken"], slot).alias("taken"), F.when(met, free + 1).otherwise(state["next"]).alias("next"), F.array_append(state["slots"], slot).alias("slots"))
+
+    start = F.struct(F.col("own").alias("taken"), F.lit(0).alias("next"), F.array().cast("array<int>").alias("slots"))
+    slots = F.aggregate("movers", start, place, lambda state: state["slots"])
+    placed = rows.select("keep_id", F.explode(F.arrays_zip("movers", slots.alias("slots"))).alias("x"))
+    return placed.select(F.col("x.movers.message_id").alias("message_id"), "keep_id", F.col("x.movers.idx").alias("idx"), F.col("x.slots").alias("new_idx"))
+
+
+def move_blobs(blobs: DataFrame, moves: DataFrame) -> DataFrame:
+    """Blobs (message_id, idx, ...) under the turn and number that ``move_images`` gave them; others stay."""
+    found = blobs.join(moves, ["message_id", "idx"], "left")
+    return found.withColumns({"message_id": F.coalesce("keep_id", "message_id"), "idx": F.coalesce("new_idx", "idx")}).select(*blobs.columns)
+

@@ -61,6 +61,23 @@ def test_jaccard_components_equal_brute_force(docs, texts):
     assert got == Counter((i, len(shingles(t)), find(i) if i is not None else None) for i, t in texts)
 
 
+def test_components_of_chains_stars_and_random_edges(spark):
+    import random
+
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)]
+    root = {x: x for e in edges for x in e}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for u, v in edges:
+        a, b = sorted((find(u), find(v)))
+        root[b] = a
+    got = {r.node: r.component for r in jaccard.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: find(i) for i in root if find(i) != i}
+
+
 def test_one_of_each_keeps_clean_documents_and_columns(docs):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns

@@ -389,7 +389,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose component has a smaller id; of rows with one id, one stays. Rows with a null id stay."""
-    found = similar_components(docs, id_col, text_col)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).cast("long") == F.col("__keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    found = cut_lineage(similar_components(docs, id_col, text_col).select("doc_id", "component_id"))
+    others = small_side(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__other")).distinct())
+    kept = docs.join(others, F.col(id_col).cast("long") == F.col("__other"), "left_anti")
+    if found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # Rows of one id are moved together only where there are any.
+        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    return kept

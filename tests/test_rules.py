@@ -26,7 +26,12 @@ def col(spark, value, make):
 
 @pytest.mark.parametrize("raw", ['"open phrase', '""', "*", "--a", '"a"b', "-only", "plain words", "x" * 5000, "a" * 200 + "*"])
 def test_malformed_or_plain_queries_have_no_clauses(raw):
-    assert search.clauses_of(1, raw) == []
+    assert search.clauses_of(1, raw, max_chars=4096, max_clauses=32, max_glob=128) == []
+
+
+def test_clauses_have_no_limits_unless_asked_for():
+    assert [c.kind for c in search.clauses_of(1, "a" * 200 + "*")] == ["glob"]
+    assert len(search.clauses_of(1, " ".join(f'"phrase {i}"' for i in range(900)))) == 900
 
 
 def test_clauses():

@@ -41,10 +41,14 @@ class Clause:
         return tx.fold(self.value)
 
 
-def clauses_of(query_id: int, raw: str) -> list[Clause]:
-    """Clauses of one query string; an empty list means it is a plain query."""
+def clauses_of(query_id: int, raw: str, max_chars: int | None = None, max_clauses: int | None = None, max_glob: int | None = None) -> list[Clause]:
+    """Clauses of one query string; an empty list means it is a plain query.
+
+    A caller may turn longer strings, more clauses or longer wildcards into plain queries.
+    """
     text = (raw or "").strip()
-    if not text:
+    over = lambda n, limit: limit is not None and n > limit
+    if not text or over(len(text), max_chars):
         return []
     special, ordinary, at = [], [], 0
     marked = False
@@ -56,7 +60,7 @@ def clauses_of(query_id: int, raw: str) -> list[Clause]:
         phrase, bare = term["phrase"], term["bare"]
         value = bare if phrase is None else phrase
         glob = phrase is None and "*" in value
-        if not value.strip() or (glob and not value.strip("*")):
+        if not value.strip() or (glob and (not value.strip("*") or over(len(value), max_glob))):
             return []
         kind = "phrase" if phrase is not None else "glob" if glob else "words"
         plain_word = kind == "words" and not term["no"] and not term["title"]
@@ -65,6 +69,8 @@ def clauses_of(query_id: int, raw: str) -> list[Clause]:
             ordinary.append(value)
         else:
             special.append((kind, value, bool(term["title"]), bool(term["no"])))
+        if over(len(special) + len(ordinary), max_clauses):
+            return []
     if ordinary:
         special.insert(0, ("words", " ".join(ordinary), False, False))
     if not marked or all(no for *_, no in special):

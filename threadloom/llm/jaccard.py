@@ -40,7 +40,9 @@ from ..session import cut_lineage
 from . import lexer
 from .rows import release, small_batches, small_side
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
+#: Shingles counted into the sketch at a time.
+SKETCH_KEYS = 1 << 20
 #: Lists whose counted bound is above this go through the path that splits hot keys.
 HOT_LIST = 8192
 #: Partners of one head that share a task's group.
@@ -55,19 +57,29 @@ def needed(n: int | np.ndarray) -> int | np.ndarray:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+    waiting: list[np.ndarray] = []
+
+    def count() -> None:
+        sketch[:] += np.bincount(np.concatenate(waiting), minlength=len(sketch)).astype(np.uint32)
+        waiting.clear()
+
     for batch in batches:
         ids = batch.column(0)
         for chunk in lexer.chunks(batch.column(1)):
             doc, keys, bounds = lexer.shingle_sets(chunk)
-            sketch += np.bincount((keys >> lexer.U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+            waiting.append((keys >> lexer.U64(64 - SKETCH_BITS)).astype(np.int32))
+            if sum(map(len, waiting)) >= SKETCH_KEYS:
+                count()
             a, b = (lexer.sums(lexer.mix(keys ^ lexer.U64(salt)), bounds) for salt in (0x1234567, 0x89ABCDEF01))
             n = np.diff(bounds)
             yield pa.record_batch({
                 "doc_id": ids.slice(chunk.first, len(chunk)), "n": pa.array(n, pa.int64()), "d1": pa.array(a.view(np.int64)), "d2": pa.array(b.view(np.int64)),
                 "block": pa.nulls(len(chunk), pa.int32()), "counts": pa.nulls(len(chunk), pa.binary()),
             })
-    blocks = sketch.reshape(-1, 4096).astype(np.uint32)
+    if waiting:
+        count()
+    blocks = sketch.reshape(-1, 4096)
     yield pa.record_batch({
         "doc_id": pa.nulls(len(blocks), pa.int64()), "n": pa.nulls(len(blocks), pa.int64()), "d1": pa.nulls(len(blocks), pa.int64()), "d2": pa.nulls(len(blocks), pa.int64()),
         "block": pa.array(np.arange(len(blocks)), pa.int32()), "counts": pa.array([x.tobytes() for x in blocks], pa.binary()),
@@ -323,11 +335,11 @@ def _across(lists: DataFrame, comps: DataFrame, attached: DataFrame) -> DataFram
     found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(smaller, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(smaller, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
     failed = attached.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = cut_lineage(found.join(failed, ["a", "b"], "left_anti"))
-    # All shingles that both prefixes hold, counted for these pairs only.
-    held = several.select("h", "id")
-    shared = found.join(held.withColumnRenamed("id", "a"), "a").join(held.withColumnRenamed("id", "b"), ["b", "h"])
-    shared = shared.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    return cut_lineage(shared.where(enough_shared(F.col("shared"), F.col("na"), F.col("nb"))).drop("shared"))
+    # All shingles that both prefixes hold, counted for these pairs only; a prefix is a short array.
+    held = cut_lineage(several.groupBy("id").agg(F.collect_set("h").alias("held")))
+    shared = found.join(held.select(F.col("id").alias("a"), F.col("held").alias("held_a")), "a").join(held.select(F.col("id").alias("b"), F.col("held").alias("held_b")), "b")
+    counted = F.size(F.array_intersect("held_a", "held_b"))
+    return cut_lineage(shared.where(enough_shared(counted, F.col("na"), F.col("nb"))).select("a", "b", "na", "nb"))
 
 
 def _links_across(texts: DataFrame, across: DataFrame, attached: DataFrame, known: DataFrame) -> DataFrame:

@@ -274,3 +274,36 @@ def test_empty_tables(spark):
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     frames = [jaccard.similar_components(none), hostrules.document_verdicts(none), quality.scored(none, marks), toxicity.scored(none, marks), packing.pack(none, vocabulary()), ppm.scored(none), mixing.mixed(none), mixing.sample(none), hostrules.keep_good(none), quality.keep_good(none, marks), jaccard.one_of_each(none)]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_ppm_keeps_every_context_whatever_the_corpus(spark, docs, texts, monkeypatch):
+    data = {i: b"\0" * 5 + bytes(max(b, 1) for b in fold(t or "").encode()) + b"\0" for i, t in texts if i not in (None, 11, 12)}
+    trie = {}
+    for i, t in texts:
+        if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2:
+            raw = b"\0" * 5 + bytes(max(b, 1) for b in fold(t or "").encode()) + b"\0"
+            for at in range(5, len(raw)):
+                for order in range(6):
+                    trie.setdefault(raw[at - order : at], Counter())[raw[at]] += 1
+
+    def log10(context, symbol):
+        lead, out = 0.0, set()
+        for order in range(5, -1, -1):
+            seen = trie.get(context[5 - order :])
+            if seen is None:
+                continue
+            here = {s: n for s, n in seen.items() if s not in out}
+            every = max(sum(here.values()), 1)
+            escape = len(here) / 2 if len(seen) < 256 else 0
+            if symbol in here:
+                return lead + math.log10((here[symbol] - (escape > 0) / 2) / every)
+            lead += math.log10(escape / every) if here else 0
+            out |= seen.keys()
+        return lead - math.log10(256 - len(out))
+
+    once = {}
+    want = {i: sum(once[x] if x in once else once.setdefault(x, log10(x[:5], x[5])) for x in (raw[at - 5 : at + 1] for at in range(5, len(raw)))) for i, raw in data.items()}
+    for heavy in (ppm.HEAVY_GRAMS, 50):
+        monkeypatch.setattr(ppm, "HEAVY_GRAMS", heavy)
+        got = {r.doc_id: r.score for r in ppm.scored(docs).collect() if r.doc_id in data}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-5, abs_tol=1e-3) for i in want)

@@ -307,3 +307,20 @@ def test_ppm_keeps_every_context_whatever_the_corpus(spark, docs, texts, monkeyp
         monkeypatch.setattr(ppm, "HEAVY_GRAMS", heavy)
         got = {r.doc_id: r.score for r in ppm.scored(docs).collect() if r.doc_id in data}
         assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-5, abs_tol=1e-3) for i in want)
+
+
+def test_bin_completion_finds_planted_triplets():
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        items = []
+        for _ in range(20):
+            a = int(rng.integers(256, 400))
+            b = int(rng.integers(256, 1024 - a - 256 + 1))
+            items += [a, b, 1024 - a - b]
+        counts = np.bincount(items, minlength=1025)
+        found = packing.complete(counts)
+        used = Counter()
+        for filled, times in found:
+            assert sum(d * k for d, k in filled) <= 1024
+            used.update({d: k * times for d, k in filled})
+        assert used == Counter(items) and packing.bins(found) == 20

@@ -4,13 +4,13 @@ Only the number of pieces of each length decides a packing, and there are ``capa
 search runs on a histogram on the driver, and its result is a list of fillings with multiplicities; pieces are
 then dealt to places by their rank among pieces of the same length, which is distributed work.
 
-*Bin completion.* The largest remaining length opens a bin. Among the fillings of the rest of the bin, one that
-uses a long piece where another uses shorter ones of the same sum dominates it, so branches take the longest
-pieces first; a branch is pruned when the sums that the lengths behind it can reach leave more waste than the
-incumbent. The filling found is repeated as often as the counts allow, which places whole blocks of equal bins
-at once. The first incumbent is a best-fit packing; the search ends when the number of bins meets the lower
-bound, otherwise it goes back to bins that wasted space and tries their second-best fillings, as long as the
-waste spent so far can still beat the incumbent.
+*Bin completion.* The largest remaining length opens a bin, and the search branches over the undominated fillings of
+the rest of it, least waste and longest pieces first. A filling is dominated if a piece that is left over could take
+the place of one or more of its pieces. A branch is pruned when its waste cannot beat the incumbent any more, or when
+the same pieces were left before. A filling is repeated as often as the counts and the waste allow, which places whole
+blocks of equal bins at once; on the way back it is repeated half as often, down to once, so that nothing is left out.
+The first incumbent is a best-fit packing; the search ends when the number of bins meets the lower bound, when all
+branches are done, or after ``BASE_NODES + NODES`` steps a length.
 
 *Ranks.* Pieces are numbered within (length, salt) and salts within a length by their counts, so a length that a
 third of all pieces has is spread over many tasks.
@@ -23,6 +23,7 @@ they stand there; no rows give no sequence; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import re
 import zlib
@@ -39,8 +40,9 @@ from . import rows
 
 CAPACITY = 1024
 END_ID = 2
-#: Second tries of the search after its first full packing.
-TRIES = 24
+#: Steps of the search: so many, and so many more for each length that occurs.
+BASE_NODES = 50_000
+NODES = 50
 
 #: Texts of these characters are cut alike by both tokenizer libraries; all others go to the defining one.
 _PLAIN = re.compile(r"[^\t-\r -~ -ɏ‐-‧€]")
@@ -145,28 +147,48 @@ def _reach(counts: np.ndarray, lengths: list[int], room: int) -> list[int]:
     return out
 
 
-def filling(counts: np.ndarray, room: int, skip: int = 0) -> list[tuple[int, int]]:
-    """The undominated filling of ``room`` with least waste, longest pieces first; ``skip`` passes over so many first choices."""
-    lengths = [int(d) for d in np.flatnonzero(counts[: room + 1])[::-1]]
-    out: list[tuple[int, int]] = []
-    if not lengths:
-        return out
-    reach = _reach(counts, lengths[skip:] or lengths[-1:], room)
-    lengths = lengths[skip:] or lengths[-1:]
-    left = reach[0].bit_length() - 1
-    for i, d in enumerate(lengths):
-        if not left:
-            break
-        take = min(int(counts[d]), left // d)
-        while not reach[i + 1] >> (left - take * d) & 1:
-            take -= 1
-        if take:
-            out.append((d, take))
-            left -= take * d
-    return out
+def _dominated(left: int, filled: list[tuple[int, int]], slack: int) -> bool:
+    """Whether one of the lengths ``left`` over (as bits) fits into ``slack`` or could stand for pieces of the filling that are no longer together."""
+    one, many = 0, 0
+    for d, k in filled:
+        for _ in range(k):
+            many |= (one | many) << d
+            one |= 1 << d
+    # A single piece is only given up for a longer one, none at all for any.
+    wide, longer = many, (one | 1) << 1 if slack else 0
+    for s in range(1, slack + 1):
+        wide |= many << s
+        longer |= (one | 1) << s
+    return bool(left & (wide | longer))
 
 
-def _best_fit(counts: np.ndarray, room: int, skip: int = 0) -> list[tuple[int, int]]:
+def fillings(counts: np.ndarray, room: int, waste: int) -> Iterator[list[tuple[int, int]] | None]:
+    """The undominated fillings of ``room`` that leave ``waste`` at most, least waste and longest pieces first; None for each dominated one passed over."""
+    lengths = [int(d) for d in np.flatnonzero(counts[: room + 1])[::-1]]
+    reach = _reach(counts, lengths, room)
+    every = sum(1 << d for d in lengths)
+
+    def exactly(i: int, left: int) -> Iterator[list[tuple[int, int]]]:
+        if not left:
+            yield []
+            return
+        for at in range(i, len(lengths)):
+            d = lengths[at]
+            for take in range(min(int(counts[d]), left // d), 0, -1):
+                if reach[at + 1] >> (left - take * d) & 1:
+                    for rest in exactly(at + 1, left - take * d):
+                        yield [(d, take), *rest]
+            if not reach[at + 1] >> left & 1:
+                return
+
+    for total in range(room, max(room - waste, 0) - 1, -1):
+        if reach[0] >> total & 1:
+            for filled in exactly(0, total):
+                gone = sum(1 << d for d, k in filled if counts[d] == k)
+                yield None if _dominated(every & ~gone, filled, room - total) else filled
+
+
+def _best_fit(counts: np.ndarray, room: int) -> list[tuple[int, int]]:
     """The longest pieces that fit, one after another."""
     out: list[tuple[int, int]] = []
     at = room
@@ -185,11 +207,10 @@ def _best_fit(counts: np.ndarray, room: int, skip: int = 0) -> list[tuple[int, i
 Packing = list[tuple[list[tuple[int, int]], int]]
 
 
-def _run(counts: np.ndarray, choose, budget: float, skips: dict[int, int]) -> Packing | None:
-    """Fillings with multiplicities, or None once the waste passes ``budget``."""
+def _greedy(counts: np.ndarray) -> Packing:
+    """The best-fit packing: fillings with multiplicities."""
     counts, capacity = counts.copy(), len(counts) - 1
     out: Packing = []
-    waste = 0
     top = capacity
     while True:
         while top > 0 and not counts[top]:
@@ -197,41 +218,81 @@ def _run(counts: np.ndarray, choose, budget: float, skips: dict[int, int]) -> Pa
         if not top:
             return out
         counts[top] -= 1
-        filled = choose(counts, capacity - top, skips.get(len(out), 0))
+        filled = _best_fit(counts, capacity - top)
         counts[top] += 1
-        need: dict[int, int] = {top: 1}
-        for d, k in filled:
-            need[d] = need.get(d, 0) + k
+        need = _with(top, filled)
         times = min(int(counts[d]) // k for d, k in need.items())
         for d, k in need.items():
             counts[d] -= k * times
-        if counts.any():
-            waste += times * (capacity - sum(d * k for d, k in need.items()))
-        if waste > budget:
-            return None
         out.append((sorted(need.items(), reverse=True), times))
 
 
+def _with(top: int, filled: list[tuple[int, int]]) -> dict[int, int]:
+    need: dict[int, int] = {top: 1}
+    for d, k in filled:
+        need[d] = need.get(d, 0) + k
+    return need
+
+
 def bins(packing: Packing) -> int:
     return sum(times for _, times in packing)
 
 
-def complete(counts: np.ndarray, tries: int = TRIES) -> Packing:
+def complete(counts: np.ndarray, nodes: int | None = None) -> Packing:
     """The packing with fewest bins found for ``counts[length]`` pieces of each length."""
     capacity, total = len(counts) - 1, int((counts * np.arange(len(counts))).sum())
-    bound = lower_bound(counts)
-    best = _run(counts, _best_fit, float("inf"), {})
-    allowed = lambda: (bins(best) - 1) * capacity - total  # noqa: E731  waste that a better packing may have
-    found = _run(counts, filling, allowed(), {}) if bins(best) > bound else None
-    if found is not None and bins(found) < bins(best):
-        best = found
-    wasteful = [i for i, (filled, _) in enumerate(best) if sum(d * k for d, k in filled) < capacity]
-    for i in wasteful[:tries]:
-        if bins(best) <= bound:
-            break
-        found = _run(counts, filling, allowed(), {max(0, i - 1): 1})
-        if found is not None and bins(found) < bins(best):
-            best = found
+    bound, best = lower_bound(counts), _greedy(counts)
+    nodes = BASE_NODES + NODES * int(np.count_nonzero(counts)) if nodes is None else nodes
+    rest, path, waste = counts.copy(), [], 0
+    seen: dict[bytes, int] = {}
+    allowed = lambda: (bins(best) - 1) * capacity - total - waste  # noqa: E731  waste that a better packing may still have
+
+    def branches() -> Iterator[tuple[dict[int, int], int, int] | None]:
+        """Blocks of equal bins for the largest length left: pieces, times, waste of one bin."""
+        top = int(np.flatnonzero(rest)[-1])
+        others = rest.copy()
+        others[top] -= 1
+        for filled in fillings(others, capacity - top, allowed()):
+            if filled is None:
+                yield None
+                continue
+            need = _with(top, filled)
+            lost = capacity - sum(d * k for d, k in need.items())
+            times = min(int(rest[d]) // k for d, k in need.items())
+            while times:
+                times = min(times, max(allowed(), 0) // lost) if lost else times
+                if times:
+                    yield need, times, lost
+                times //= 2
+
+    open_ = [branches()] if bins(best) > bound else []
+    while open_ and nodes > 0 and bins(best) > bound:
+        block = next(open_[-1], False)
+        nodes -= 1
+        if block is None:
+            continue
+        if block:
+            need, times, lost = block
+            for d, k in need.items():
+                rest[d] -= k * times
+            waste += lost * times
+            path.append(block)
+            if not rest.any():
+                if allowed() >= 0:
+                    best = [(sorted(n.items(), reverse=True), t) for n, t, _ in path]
+            else:
+                state = hashlib.blake2b(rest.tobytes(), digest_size=16).digest()
+                if seen.get(state, waste + 1) > waste and allowed() >= 0:
+                    seen[state] = waste
+                    open_.append(branches())
+                    continue
+        else:
+            open_.pop()
+        if path:
+            need, times, lost = path.pop()
+            for d, k in need.items():
+                rest[d] += k * times
+            waste -= lost * times
     return best
 
 

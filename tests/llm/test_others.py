@@ -83,3 +83,16 @@ def test_pipeline_keeps_columns_and_every_stage_acts(spark):
     assert rows and made.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert {r.doc_id for r in rows} < {r.doc_id for r in docs.select("doc_id").collect()}
     assert len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+
+
+def test_top_k_of_a_repeated_query_id_equals_brute_force(spark):
+    import math
+
+    rng = random.Random(9)
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(101, 400)] + [(100, [9.0] * 6)] * 14 + [(100, [-2.0, 1.0, 1.0, 1.0, 1.0, 1.0])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in vectors]
+    pairs = sorted((-sum(a * b for a, b in zip(v, x)), j) for i, v in whole if i == 100 for j, x in whole if j != 100)[:10]
+    for pivots in (1, 16, 64):
+        got = sorted((r["rank"], r.vec_id, r.score) for r in knn.top_k(frame, frame_query(), 10, pivots=pivots).where("query_id = 100").collect())
+        assert got == [(k + 1, j, -s) for k, (s, j) in enumerate(pairs)]

@@ -5,7 +5,7 @@
 2. *Summaries.* For each cell the number of vectors, the largest distance, and its ``k`` smallest distances. Cells are
    bounded in number, so summaries are small whatever the table.
 3. *Bounds.* For a query q and a vector x of the cell of p at distance d, ``q.x = q.p + q.(x - p)`` lies within
-   ``q.p ± |q| d``. The k-th largest lower bound over all summaries is a floor that the answer reaches, and a cell whose
+   ``q.p ± |q| d``. The k-th largest lower bound over all summaries, after as many more as rows have the query's id, is a floor that the answer reaches, and a cell whose
    upper bound stays below it holds no answer. Only the other cells receive the query.
 4. *Local answers.* Cells larger than ``PER_GROUP`` are dealt to salts, with their queries repeated. Each group is one
    matrix product in blocks; the groups' best ``k`` are merged for each query.
@@ -14,7 +14,7 @@ Components are turned into ``floor(1024 x)`` first, so scores are integers, exac
 
 Defined results: vectors that are null, empty, or hold null or non-finite components, and rows with a null id, take no
 part; vectors of another length than the query's are no candidates of it; ties go to the smaller id; repeated rows are
-candidates as often as they stand there, except that no candidate has the query's own id; fewer candidates than ``k``
+candidates as often as they stand there, and once for each row of the query, as in the SQL, except that no candidate has the query's own id; fewer candidates than ``k``
 give all of them; without queries there is no row; extra columns are ignored.
 """
 
@@ -82,9 +82,10 @@ def _route(pivots: dict[int, np.ndarray], cells: dict[int, dict[str, np.ndarray]
                 q, p, known = _matrix(part.column(2), dim), pivots[int(dim)], cells[int(dim)]
                 norm = np.sqrt((q * q).sum(axis=1))[:, None]
                 centre = q @ p.T
-                # One more than k: the query itself may be among the nearest.
+                # Rows of the query's id may be among the nearest and are no answers.
                 low = (centre[:, :, None] - norm[:, :, None] * known["near"]).reshape(len(q), -1)
-                floor = -np.sort(-low, axis=1)[:, k] if low.shape[1] > k else np.full(len(q), -np.inf)
+                at = k - 1 + part.column(3).to_numpy()
+                floor = np.where(at < low.shape[1], -np.sort(-low, axis=1)[np.arange(len(q)), np.minimum(at, low.shape[1] - 1)], -np.inf)
                 slack = 1e-9 * (1 + np.abs(centre) + norm * known["far"])
                 rows, at = np.nonzero((centre + norm * known["far"] + slack >= np.where(np.isfinite(floor), floor, -np.inf)[:, None]) & (known["n"] > 0))
                 salts = known["salts"][at]
@@ -147,7 +148,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
         own["near"][cell, : len(close)] = close
     salts = spark.createDataFrame([(d, i, int(s)) for d, own in cells.items() for i, s in enumerate(own["salts"])] or [(0, 0, 1)], "dim int, cell int, salts int")
     data = placed.join(F.broadcast(salts), ["dim", "cell"]).select("id", "dim", "v", "cell", F.pmod(F.xxhash64("id", "v"), F.col("salts")).cast("int").alias("salt"))
-    asked = usable.where(is_query).mapInArrow(_route(chosen, cells, k), "id long, dim int, v binary, cell int, salt int")
+    repeated = usable.groupBy("id", "dim").agg(F.count(F.lit(1)).alias("own")).where("own > 1")
+    queries = usable.where(is_query).join(repeated, ["id", "dim"], "left").select("id", "dim", "v", F.coalesce("own", F.lit(1)).alias("own"))
+    asked = queries.mapInArrow(_route(chosen, cells, k), "id long, dim int, v binary, cell int, salt int")
     keys = ("dim", "cell", "salt")
     local = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_local(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

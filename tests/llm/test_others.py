@@ -26,7 +26,7 @@ def test_top_k_equals_brute_force_with_awkward_vectors(spark):
 
     rng = random.Random(8)
     vectors = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(400)]
-    vectors += [(1000 + i, [0.5] * 6) for i in range(300)] + [(2000, None), (2001, []), (2002, [1.0, None, 0, 0, 0, 0]), (2003, [math.nan] * 6), (2004, [math.inf] * 6), (2005, [0.1, 0.2]), (None, [0.3] * 6), (100, [0.2] * 6)]
+    vectors += [(1000 + i, [0.5] * 6) for i in range(300)] + [(2000, None), (2001, []), (2002, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2003, [math.nan] * 6), (2004, [math.inf] * 6), (2005, [0.1, 0.2]), (None, [0.3] * 6), (100, [0.2] * 6)]
     frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     usable = [(i, [math.floor(1024 * x) for x in v]) for i, v in ((r.vec_id, r.embedding) for r in frame.collect()) if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     for pivots in (1, 16):

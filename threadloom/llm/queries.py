@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, jaccard, knn, licenses, mixing, packing, ppm, quality, toxicity, warc
+from . import hostrules, idfiles, jaccard, knn, licenses, mixing, packing, ppm, quality, toxicity, warc
 
 #: Name of the vocabulary file, looked up where the public tokenizers are installed.
 VOCABULARY = "byte_bpe_50k.json"
@@ -107,3 +107,18 @@ def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_merkle_audit"] = warc.ORACLE
+
+
+#: Vocabulary whose ids are written to files.
+WORD_VOCABULARY = "word_bpe_49k.json"
+
+
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(WORD_VOCABULARY))
+
+
+@query
+def op11_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.round_trip(_table(spark, sf_dir, "documents"), word_vocabulary())

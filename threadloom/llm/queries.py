@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, idfiles, jaccard, knn, licenses, mixing, packing, ppm, quality, toxicity, warc
+from . import hostrules, idfiles, jaccard, knn, licenses, manifest, mixing, packing, ppm, quality, rows, toxicity, warc
 
 #: Name of the vocabulary file, looked up where the public tokenizers are installed.
 VOCABULARY = "byte_bpe_50k.json"
@@ -122,3 +122,11 @@ def word_vocabulary() -> str:
 @query
 def op11_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.round_trip(_table(spark, sf_dir, "documents"), word_vocabulary())
+
+
+@query
+def op12_persistent_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_table(spark, sf_dir, "documents"), rows.fold_of("doc_id", 2) == 0)
+
+
+ORACLES["op12_persistent_manifest"] = manifest.ORACLE

@@ -81,6 +81,7 @@ def expected(rows, path):
 AWKWARD = [
     "a\x0bb\x0cc\rd\te\n\nf", "it's we'll THEY'RE 'd 's", "<|endoftext|> x<|startoftext|>y <|ENDOFTEXT|>", "ΟΔΟΣ ΣΑΣ İstanbul ǅ", "é ́x ạ̀", "中文　字 한국어 ᄒ ᅡᆫ", "x y z\u0085w\u001cq​v",
     "12345 a1b2 _under_score_ --- ... !!!", "\U0001f600️‍ x ﬁ ﷺ", "\x00\x01 \x7f", "s" * 3000, "'", " ",
+    "a≠b ≮ ≯c x.̈y —,a,—b ,é é, ß.ẞ ÷×a Kelvin Å", "don't.'s x'S 'ſ a'", "café,cafe", "<|endoftext|", "x<|endoftext|>é <|Endoftext|>",
 ]
 
 
@@ -90,7 +91,7 @@ def test_files_give_back_the_tokenizers_ids(spark):
     rows = [tuple(r) for r in docs.collect()]
     path = queries.word_vocabulary()
     want = sorted(expected(rows, path), key=repr)
-    for options in ({}, {"per_file": 3000, "block": 7}, {"words_apart": False}):
+    for options in ({}, {"per_file": 3000, "block": 7, "words_apart": True}):
         assert sorted((tuple(r) for r in idfiles.round_trip(docs, path, **options).collect()), key=repr) == want
 
 

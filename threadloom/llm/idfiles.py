@@ -12,8 +12,9 @@ explains itself, and any block can be decoded without those before it: ``read_id
 *Decoding.* A table of ``2**LIMIT`` entries maps the next bits to an id and its length. Blocks are independent, so all
 blocks of a slab advance together, one id a step, as numpy vectors.
 
-*Tokens.* White space separates the tokenizer's words whatever stands beside it, so a task encodes every distinct run of
-other characters once and puts texts together from these; ``words_apart=False`` encodes whole texts instead.
+*Tokens.* Whole texts are encoded by default. For tokenizers that drop white space, lower-case, and never join ASCII letters or
+digits with other ASCII signs than the apostrophe (``word_bpe_49k.json`` is one), ``words_apart`` has a task encode every
+distinct run (by 64-bit key) of either kind once and put texts together from these; texts with the string of an added token stay whole.
 
 A task that is run again writes the same bytes under the same name, first beside it, then moved: ranges come from a
 written table and rows are ordered by unique keys. The list of files is a checkpoint; other files in the folder are ignored.
@@ -25,10 +26,12 @@ rows each stand there. A null or empty text has the end id only. No documents ma
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,58 +53,98 @@ PER_FILE = 1 << 22
 #: Blocks that are decoded together.
 SLAB = 4096
 #: Words and bytes of words that a worker remembers before it starts anew.
-WORDS, WORD_BYTES = 200_000, 1 << 24
+WORDS, WORD_BYTES = 400_000, 1 << 24
 
 MAGIC = b"IDHUF01\n"
 _HEAD = "<8sIIQQQI"
 
 
+#: White space 0, ASCII signs but the apostrophe 1, all other bytes 2.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = 1
+_KIND[list(b" \t\n\x0b\x0c\r")] = 0
+#: Letters that normalising leaves as they are.
+_LATIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of one kind inside documents and the bounds of each document's runs; beside an apostrophe or a byte that is not ASCII no run ends but at white space."""
+    kind, ascii_ = _KIND[data], (data < 128) & (data != ord("'"))
+    cut = np.ones(len(data) + 1, bool)
+    cut[1:-1] = (kind[1:] == 0) | (kind[:-1] == 0) | ((kind[1:] != kind[:-1]) & ascii_[1:] & ascii_[:-1])
+    cut[offs] = True
+    edges = np.flatnonzero(cut)
+    keep = kind[edges[:-1]] > 0
+    starts = edges[:-1][keep]
+    return starts, edges[1:][keep], np.searchsorted(starts, offs)
+
+
 class WordEncoder:
-    """Ids of texts, put together from the ids of their words between white space."""
+    """Ids of texts, put together from the ids of their runs."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        plain = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: plain.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[bytes, int] = {}
         self.bytes = 0
-        self.parts: list[np.ndarray] = [np.zeros(0, np.uint32)]
-        self.sizes: list[np.ndarray] = [np.zeros(0, np.int64)]
+        #: Keys of known runs in ascending order, and where the ids of each begin in ``flat`` and how many they are.
+        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, new: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-        for w in new:
-            self.slots[w] = len(self.slots)
-            self.bytes += len(w)
-        self.parts = [np.concatenate([*self.parts, *(np.array(ids, np.uint32) for ids in got)])]
-        self.sizes = [np.concatenate([*self.sizes, np.array([len(ids) for ids in got], np.int64)])]
-
-    def chunk(self, chunk: lexer.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, keys: np.ndarray, new: list[str]) -> None:
+        """Adds runs, given by ascending new keys."""
+        tokenize, latin, letters = self.tokenizer.model.tokenize, _LATIN.fullmatch, self.letters
+        # One word for the model, in the model's spelling of bytes; all else goes the whole way.
+        found = [[t.id for t in tokenize(run if run.isascii() else run.translate(letters))] if latin(run) else None for run in new]
+        others = [i for i, ids in enumerate(found) if ids is None]
+        if others:
+            for i, made in zip(others, self.tokenizer.encode_batch_fast([new[i] for i in others], add_special_tokens=False)):
+                found[i] = made.ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.sizes = np.insert(self.keys, at, keys), np.insert(self.sizes, at, sizes)
+        self.starts = np.insert(self.starts, at, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+        self.bytes += sum(map(len, new))
+
+    def apart(self, chunk: lexer.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a chunk of documents and the bounds of each document's ids."""
-        found = lexer.words(chunk, fold=False)
-        if not len(found.keys):
+        data = lexer.FOLD[chunk.data]
+        starts, ends, bounds = _runs(data, chunk.offs) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(chunk) + 1, np.int64))
+        if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(chunk) + 1, np.int64)
-        _, first, at = np.unique(found.keys, return_index=True, return_inverse=True)
-        raw = chunk.data.tobytes()
-        words = [raw[a:b] for a, b in zip(found.starts[first].tolist(), found.ends[first].tolist())]
-        if len(self.slots) > WORDS or self.bytes > WORD_BYTES:
+        keys, first, at = np.unique(chunk.keys_of(starts, ends, fold=True), return_index=True, return_inverse=True)
+        if len(self.keys) > WORDS or self.bytes > WORD_BYTES:
             self._forget()
-        new = [w for w in words if w not in self.slots]
-        if new:
-            self._learn(new)
-        slot = np.fromiter((self.slots[w] for w in words), np.int64, len(words))[at]
-        sizes = self.sizes[0]
-        ends = np.cumsum(sizes)
-        size = sizes[slot]
+        place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[place] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            raw = data.tobytes()
+            self._learn(keys[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            place = np.searchsorted(self.keys, keys)
+        slot = place[at]
+        size = self.sizes[slot]
         upto = np.append(0, np.cumsum(size))
-        place = np.repeat(ends[slot] - size - upto[:-1], size) + np.arange(upto[-1])
-        return self.parts[0][place], upto[found.bounds]
+        source = np.repeat(self.starts[slot] - upto[:-1], size) + np.arange(upto[-1])
+        return self.flat[source], upto[bounds]
+
+    def documents(self, chunk: lexer.Chunk, words_apart: bool) -> list[np.ndarray]:
+        """The ids of each document of a chunk."""
+        texts = [chunk.data[a:b].tobytes() for a, b in zip(chunk.offs, chunk.offs[1:])]
+        if not words_apart:
+            return [self.whole(t.decode()) for t in texts]
+        ids, bounds = self.apart(chunk)
+        return [self.whole(t.decode()) if any(x in t for x in self.added) else ids[a:b] for t, a, b in zip(texts, bounds, bounds[1:])]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -114,7 +157,7 @@ def _encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", words_apart: bool = True) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", words_apart: bool = False) -> DataFrame:
     """One row a document: doc_id, row (unique), n_tokens, crc (of little-endian 32-bit ids), ids (packed in 16 bits if they fit, else 32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,12 +165,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "d
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for chunk in lexer.chunks(batch.column(1)):
-                if words_apart:
-                    ids, bounds = coder.chunk(chunk)
-                else:
-                    each = [coder.whole(chunk.data[a:b].tobytes().decode()) for a, b in zip(chunk.offs, chunk.offs[1:])]
-                    ids, bounds = np.concatenate(each), np.append(0, np.cumsum([len(x) for x in each]))
-                own = [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(bounds, bounds[1:])]
+                own = [np.append(ids, np.uint32(end_id)) for ids in coder.documents(chunk, words_apart)]
                 n = len(own)
                 made = {
                     "doc_id": batch.column(0).slice(chunk.first, n), "row": pa.array(row + np.arange(n)), "n_tokens": pa.array([len(x) for x in own], pa.int64()),

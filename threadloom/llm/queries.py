@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hostrules, idfiles, jaccard, knn, licenses, manifest, mixing, packing, ppm, quality, rows, toxicity, warc
+from . import collocations, hostrules, idfiles, jaccard, knn, licenses, manifest, mixing, packing, ppm, quality, rows, toxicity, warc
 
 #: Name of the vocabulary file, looked up where the public tokenizers are installed.
 VOCABULARY = "byte_bpe_50k.json"
@@ -121,7 +121,7 @@ def word_vocabulary() -> str:
 
 @query
 def op11_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return idfiles.round_trip(_table(spark, sf_dir, "documents"), word_vocabulary())
+    return idfiles.round_trip(_table(spark, sf_dir, "documents"), word_vocabulary(), words_apart=True)
 
 
 @query
@@ -130,3 +130,11 @@ def op12_persistent_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_persistent_manifest"] = manifest.ORACLE
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = collocations.ORACLE

@@ -90,10 +90,13 @@ def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
 def spans(found: DataFrame) -> DataFrame:
     """Merged diagonals: doc_id, key, template, label, first and last word, coverage, verified; for phrases a row for each place."""
     diagonal = found.groupBy("doc_id", "key", "template", "label", "windows", (F.col("p") - F.col("t")).alias("diagonal")).agg(
-        F.collect_set("t").alias("seen"), F.min("p").alias("low"), F.max("p").alias("high"))
+        F.collect_set("t").alias("seen"), F.min("p").alias("low"), F.max("p").alias("high"), F.min("t").alias("t_low"), F.max("t").alias("t_high"))
     is_phrase = F.col("template").startswith("phrase:")
     ordered = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(ordered)) > GAP, F.lit(True)) | is_phrase
+    # After an edit the template goes on; where it goes back behind all earlier words, the notice begins again.
+    again = F.coalesce((F.col("low") > F.lag("high").over(ordered)) & (F.col("t_low") <= F.lag("t_high").over(ordered)), F.lit(False))
+    apart = apart | again
     grouped = diagonal.withColumn("__new", apart.cast("int")).withColumn("group", F.sum("__new").over(ordered))
     merged = grouped.groupBy("doc_id", "key", "template", "label", "windows", "group").agg(F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("covered"), F.min("low").alias("first"), F.max("high").alias("last"))
     length = F.col("last") - F.col("first") + 1
@@ -134,9 +137,9 @@ grams AS (
   SELECT DISTINCT doc_id, k, i - 1 AS p, t, template, label, windows
   FROM (SELECT doc_id, k, size, i, array_to_string(w[i : i + size - 1], ' ') AS words FROM grams) g JOIN known USING (size, words)
 ), diagonals AS (
-  SELECT doc_id, k, template, label, windows, p - t AS d, list(DISTINCT t) AS seen, min(p) AS low, max(p) AS high FROM hits GROUP BY ALL
+  SELECT doc_id, k, template, label, windows, p - t AS d, list(DISTINCT t) AS seen, min(p) AS low, max(p) AS high, min(t) AS t_low, max(t) AS t_high FROM hits GROUP BY ALL
 ), marked AS (
-  SELECT *, CASE WHEN starts_with(template, 'phrase:') OR lag(d) OVER o IS NULL OR d - lag(d) OVER o > {GAP} THEN 1 ELSE 0 END AS is_new
+  SELECT *, CASE WHEN starts_with(template, 'phrase:') OR lag(d) OVER o IS NULL OR d - lag(d) OVER o > {GAP} OR (low > lag(high) OVER o AND t_low <= lag(t_high) OVER o) THEN 1 ELSE 0 END AS is_new
   FROM diagonals WINDOW o AS (PARTITION BY doc_id, k, template ORDER BY d)
 ), grouped AS (
   SELECT *, sum(is_new) OVER (PARTITION BY doc_id, k, template ORDER BY d) AS grp FROM marked

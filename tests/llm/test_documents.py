@@ -45,22 +45,32 @@ def test_words_lines_and_shingles_of_chunks(texts):
 
 def test_jaccard_components_equal_brute_force(docs, texts):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_components(docs).collect())
-    sets = {}
-    for i, t in sorted((i, t or "") for i, t in texts if i is not None):
-        sets.setdefault(i, shingles(t))
-    root = {i: i for i in sets}
+    sets = [(i, shingles(t)) for i, t in texts if i is not None]
+    root = {i: i for i, _ in sets}
 
     def find(i):
         return i if root[i] == i else find(root[i])
 
-    for i in sets:
-        for j in sets:
-            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+    for i, own in sets:
+        for j, other in sets:
+            if i < j and own and 100 * len(own & other) >= 80 * len(own | other):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     assert got == Counter((i, len(shingles(t)), find(i) if i is not None else None) for i, t in texts)
 
 
+def test_every_text_of_a_repeated_id_is_linked_and_kept(spark):
+    base = [f"w{i}" for i in range(60)]
+    long, near = " ".join(base), " ".join([*base[:59], "changed"])
+    rows = [(1, "some other text stands here alone", "a"), (1, long, "b"), (2, near, "c"), (3, "x y z", "d"), (3, "x y z", "d"), (None, near, "e"), (4, None, "f"), (4, "", "g"), (5, near, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.similar_components(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 3), (3, 3), (None, None), (4, 4), (4, 4), (5, 1)], key=str)
+    kept = sorted(((r.doc_id, r.text or "") for r in jaccard.one_of_each(docs).collect()), key=str)
+    assert kept == sorted([(1, rows[0][1]), (1, long), (3, "x y z"), (4, ""), (None, near)], key=str)
+    assert jaccard.one_of_each(docs).columns == docs.columns
+
+
 def test_components_of_chains_stars_and_random_edges(spark):
     import random
 

@@ -22,8 +22,8 @@ returns one row per document with its set size and the smallest id reachable by
 Comparisons move sets to (head, salt) and stream over sorted rows, so a head with any number of partners
 is spread over many tasks. No pair list of a group of copies is ever written out.
 
-Defined results: a null or wordless text has an empty set and links with nothing; rows that share a
-``doc_id`` are one document and take its smallest component; a null ``doc_id`` takes no part and has a null
+Defined results: a null or wordless text has an empty set and links with nothing; where ids repeat
+every text is linked for itself and an id joins the components of all its texts; a null ``doc_id`` takes no part and has a null
 component; extra columns are ignored.
 """
 
@@ -373,12 +373,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows, order = _class_order(texts)
-    single = rows
-    if rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        # Rows of one id stand for one document: the one of the smallest text.
-        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-        single, order = _class_order(texts)
-    classes = cut_lineage(single.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
+    if _repeats(rows):
+        return _by_text(docs, id_col, text_col)
+    classes = cut_lineage(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
     lists = _lists(texts, classes.select(F.col("rep").alias("id")), order)
     release(spark)
     attached, sets = _attach(texts, lists)
@@ -392,19 +389,51 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if across.limit(1).count():
         links = cut_lineage(links.unionByName(_links_across(texts, across, attached, links)))
     # Equal sets meet their representative here.
-    same = single.join(classes, ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    same = rows.join(classes, ["d1", "d2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     final = components(links.unionByName(same))
     del links, attached, across
     release(spark)
     return _component_of(rows, final, "doc_id", "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def _repeats(rows: DataFrame) -> bool:
+    return rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows as (doc_id, digest), and each text of each id with a number of its own and the component of that number."""
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("digest")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest, F.col(text_col).alias("text"))
+    each = cut_lineage(own.where("doc_id IS NOT NULL").groupBy("doc_id", "digest").agg(F.first("text").alias("text")).withColumn("number", F.monotonically_increasing_id()))
+    found = similar_components(each, "number", "text").withColumnsRenamed({"doc_id": "number", "component_id": "component"})
+    return own.drop("text"), cut_lineage(each.drop("text").join(found, "number").select("doc_id", "digest", "n_shingles", "component"))
+
+
+def _by_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Components where ids repeat: every text is linked for itself, and an id joins the components of all its texts."""
+    own, found = _texts(docs, id_col, text_col)
+    first = found.groupBy("component").agg(F.min("doc_id").alias("v"))
+    roots = components(cut_lineage(found.join(first, "component").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()))
+    known = own.where("doc_id IS NOT NULL").join(found.drop("component"), ["doc_id", "digest"]).withColumn("n", F.col("n_shingles")).drop("digest", "n_shingles")
+    nameless = _class_order(docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))[0].select("doc_id", "n")
+    return _component_of(known.unionByName(nameless), roots, "doc_id", "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _one_of_each_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each component of texts the row with the smallest id, then digest, then hash of the row."""
+    _, found = _texts(docs, id_col, text_col)
+    stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("s")).select("s.*")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("digest"), F.struct(*names).alias("row"), F.xxhash64(*names).alias("hash"))
+    one = rows.join(stays, ["doc_id", "digest"]).groupBy("doc_id", "digest").agg(F.min_by("row", "hash").alias("row"))
+    return one.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; of rows with one id, one stays. Rows with a null id stay."""
+    """``docs`` without the rows that have a similar one of smaller id; where ids repeat, each text counts for itself. Rows with a null id stay."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    if _repeats(texts):
+        return _one_of_each_text(docs, id_col, text_col)
     found = cut_lineage(similar_components(docs, id_col, text_col).select("doc_id", "component_id"))
     others = small_side(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__other")).distinct())
-    kept = docs.join(others, F.col(id_col).cast("long") == F.col("__other"), "left_anti")
-    if found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        # Rows of one id are moved together only where there are any.
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
-    return kept
+    return docs.join(others, F.col(id_col).cast("long") == F.col("__other"), "left_anti")

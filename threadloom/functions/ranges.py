@@ -1,6 +1,6 @@
 """Match ranges inside one text, snippets around them, and merging of ranges.
 
-Offsets are those of the normalised text. Patterns are built from quoted literals only.
+Offsets are those of the normalised text; ``offsets`` leads back to the stored one. Patterns are built from quoted literals only.
 """
 
 from __future__ import annotations
@@ -82,9 +82,38 @@ def clause_ranges(norm: Column, clause) -> Column:
         return find_ranges(norm, quoted(clause.folded))
     if clause.kind == "glob":
         return find_ranges(norm, glob_pattern(clause.folded))
-    wanted = F.array(*[F.lit(t) for t in clause.tokens])
-    spans = F.filter(tx.token_spans(norm), lambda s: F.array_contains(wanted, s["token"]))
-    return merge_ranges(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["token"])).alias("end"))))
+    return token_ranges(norm, list(clause.tokens))
+
+
+# Runs so long that the index cuts them; positions inside them come from the tokeniser itself.
+CUT_RUN = "[a-z][a-z0-9]{48}|[0-9]{25}"
+
+
+def token_pattern(token: str) -> str:
+    """A token of the index inside runs that the index does not cut."""
+    if token[0].isascii() and token[0].isalpha():
+        return f"(?<=(?<![a-z0-9])[0-9]{{0,48}}){quoted(token)}(?![a-z0-9])"
+    if token.isascii():
+        return f"(?<![0-9]){quoted(token)}(?![0-9])"
+    # Two equal characters overlap with themselves, so a run of them is one range.
+    return f"{quoted(token)}{quoted(token[1])}*" if len(token) == 2 and token[0] == token[1] else quoted(token)
+
+
+def token_ranges(norm: Column, tokens: list[str]) -> Column:
+    """Ranges of all places of ``tokens``; only text that holds one of them beside a cut run leaves the JVM."""
+    plain = F.flatten(F.array(*[find_ranges(norm, token_pattern(t)) for t in tokens]))
+    held = norm.rlike("|".join(quoted(t) for t in tokens))
+    wanted = F.array(*[F.lit(t) for t in tokens])
+    spans = F.filter(tx.token_spans(F.when(held & norm.rlike(CUT_RUN), norm)), lambda s: F.array_contains(wanted, s["token"]))
+    slow = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["token"])).alias("end")))
+    none = F.array().cast(RANGES)
+    return merge_ranges(F.when(~held, none).when(norm.rlike(CUT_RUN), slow).otherwise(plain))
+
+
+def query_ranges(norm: Column, clauses: list, field: str = "body") -> Column:
+    """Ranges of all clauses that ask for something; those on titles only count in titles."""
+    parts = [clause_ranges(norm, c) for c in clauses if not c.exclude and (field == "title" or not c.title_only)]
+    return merge_ranges(F.flatten(F.array(*parts))) if parts else F.array().cast(RANGES)
 
 
 def snippet(flat: Column, ranges: Column, literal: bool = True) -> Column:

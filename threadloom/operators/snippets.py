@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import markup, ranges
+from ..functions import markup, offsets, ranges
 from ..functions import text as tx
 from ..session import cut_lineage
 from .ordered import chunk_of, ordinals, running
@@ -57,15 +57,15 @@ def choose_preview(kind_rows: DataFrame) -> DataFrame:
 
 
 def hit_list(headers: DataFrame, ordered: DataFrame, query: str) -> DataFrame:
-    """Numbered hits: title first, then messages in order, each with its neighbours.
+    """Numbered hits: title first, then messages in order, each with its neighbours; offsets are those of the stored text.
 
     ``ordered``: conversation_id, id, pos, body.
     """
-    terms = query
-    titles = tx.with_normalised(headers.select(F.col("id").alias("conversation_id"), "title"), "norm", F.col("title"))
-    in_title = titles.select("conversation_id", F.lit(0).cast("bigint").alias("pos"), F.lit("title").alias("id"), F.inline(ranges.term_ranges(F.col("norm"), terms)))
-    bodies = tx.with_normalised(ordered, "norm", F.col("body"))
-    in_body = bodies.select("conversation_id", F.col("pos").cast("bigint").alias("pos"), "id", F.inline(ranges.term_ranges(F.col("norm"), terms)))
+    find = lambda norm: ranges.term_ranges(norm, query)
+    titles = offsets.with_stored_ranges(headers.select(F.col("id").alias("conversation_id"), "title"), F.col("title"), find, marked=False)
+    in_title = titles.select("conversation_id", F.lit(0).cast("bigint").alias("pos"), F.lit("title").alias("id"), F.inline("ranges"))
+    bodies = offsets.with_stored_ranges(ordered, F.col("body"), find, marked=False)
+    in_body = bodies.select("conversation_id", F.col("pos").cast("bigint").alias("pos"), "id", F.inline("ranges"))
     hits = cut_lineage(in_title.unionByName(in_body))  # short rows; texts are read once
     numbered = ordinals(hits, ["conversation_id"], ["pos", "start"], chunk_of("pos", 256), "hit")
     here = F.col("id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import markup, ranges
+from ..functions import markup, offsets, ranges
 from ..functions import text as tx
 from ..operators import identity, images, order, search, snippets, sorting
 from ..operators.ordered import chunk_of, ordinals
@@ -50,6 +50,35 @@ def clause_ranges(spark, sf_dir):
     return out
 
 
+# Bodies with marks: a link behind emphasis, full-width letters, bold parts of words.
+_MARKED = r"""marked AS (
+  SELECT id, replace(replace(replace(translate(body, '*_`#|[]<>\\', ''), 'of that ', '*of* [that](http://a.b/thin) '), ' thin ', ' ｔｈｉｎ '), 'erth', '**erth**') AS b FROM msg),
+  low AS (SELECT id, lower(b) AS t FROM marked)"""
+_LINKED = occurrences("lk", "low", r"\*of\* \[that|of(?: |[ \t]{2,})that", "id")
+_RUNS = occurrences("rn", "low", r"http://a\.b/thin|ｔｈｉｎ|[a-z0-9*]+", "id")
+
+
+@query("p07_stored_ranges", sql=with_ctes(model.DOC_MSG, _MARKED, _LINKED, _RUNS, """
+  placed AS (
+    SELECT 'phrase' AS kind, id, CASE WHEN token LIKE '*%' THEN start + 1 ELSE start END AS s, start + length(token) AS e FROM lk
+    UNION ALL SELECT 'words', id, start, start + 4 FROM rn WHERE token = 'ｔｈｉｎ'
+    UNION ALL SELECT 'words', id, start + instr(token, right(replace(token, '*', ''), 4)) - 1, start + instr(token, right(replace(token, '*', ''), 4)) + 3
+      FROM rn WHERE regexp_full_match(replace(token, '*', ''), '[0-9]*(thin|erth)'))""".strip(), body="""
+  SELECT kind, id, s::INT AS start, e::INT AS "end", substr(b, (s + 1)::BIGINT, (e - s)::BIGINT) AS cut FROM placed JOIN marked USING (id)"""))
+def stored_ranges(spark, sf_dir):
+    """Ranges in the stored body, although links, marks and wide letters stand before and inside them."""
+    body = F.translate("body", "*_`#|[]<>\\", "")
+    for old, new in (("of that ", "*of* [that](http://a.b/thin) "), (" thin ", " ｔｈｉｎ "), ("erth", "**erth**")):
+        body = F.replace(body, F.lit(old), F.lit(new))
+    rows, out = _turns(spark, sf_dir).select("id", body.alias("b")), None
+    for kind, raw in {"phrase": '"of that"', "words": "thin erth -zz"}.items():
+        clauses = search.clauses_of(1, raw)
+        part = offsets.with_stored_ranges(rows, F.col("b"), lambda norm, c=clauses: ranges.query_ranges(norm, c))
+        part = part.select(F.lit(kind).alias("kind"), "id", "b", F.inline("ranges")).select("kind", "id", "start", "end", F.expr("substring(b, start + 1, end - start)").alias("cut"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("w11_merge_ranges", sql=with_ctes(model.DOC_MSG, """
   r AS (SELECT conversation_id, turn * 40 + i * 7 % 90 AS s, turn * 40 + i * 7 % 90 + 5 + (turn * i) % 30 AS e FROM msg, (SELECT unnest(range(4)) AS i)),
   f AS (SELECT *, max(e) OVER (PARTITION BY conversation_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM r),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions import text as tx
-from ..operators import index, search, sorting
+from ..operators import index, search, sorting, stored
 from ..sources import model
 from .registry import query, with_ctes
 from .sqltext import OCC, SRC, STOP, TOK, occurrences, values, visible, whole
@@ -467,6 +467,46 @@ def saved_query_table(spark, sf_dir):
     return search.and_matches(postings, search.table_tokens(saved)).select("query_id", "conversation_id")
 
 
+# Stored queries of all kinds: which clauses a row has depends on its id, their words come from the passage.
+_STORED = r"""
+  bw AS (SELECT item_id AS query_id, item_id % 5 AS kind, regexp_extract_all(lower(text), '[a-z]{2,12}') AS w FROM benchmark),
+  bc AS (
+    SELECT query_id, 0 AS clause_no, 'phrase' AS kind, w[1] || ' ' || w[2] AS v, FALSE AS title, FALSE AS no FROM bw WHERE kind = 0
+    UNION ALL SELECT query_id, 1, 'has', w[4], FALSE, TRUE FROM bw WHERE kind = 0
+    UNION ALL SELECT query_id, 0, 'has', w[2], FALSE, FALSE FROM bw WHERE kind = 1
+    UNION ALL SELECT query_id, 1, 'glob', left(w[1], 2) || '%', FALSE, FALSE FROM bw WHERE kind = 1
+    UNION ALL SELECT query_id, 0, 'has', w[1], TRUE, FALSE FROM bw WHERE kind = 2
+    UNION ALL SELECT query_id, 1, 'phrase', w[3] || ' ' || w[4], FALSE, TRUE FROM bw WHERE kind = 2
+    UNION ALL SELECT query_id, 0, 'glob', '%' || left(w[1], 3) || '%', FALSE, FALSE FROM bw WHERE kind = 3
+    UNION ALL SELECT query_id, 1, 'glob', left(w[2], 1) || '%' || right(w[2], 1), TRUE, TRUE FROM bw WHERE kind = 3
+    UNION ALL SELECT query_id, 0, 'has', w[1], FALSE, FALSE FROM bw WHERE kind = 4
+    UNION ALL SELECT query_id, 1, 'phrase', w[2], TRUE, TRUE FROM bw WHERE kind = 4),
+  wsrc AS (SELECT conversation_id, source, t, list_distinct(regexp_extract_all(t, '[a-z0-9]+')) AS ws FROM src),
+  wds AS (SELECT DISTINCT conversation_id, source = 'title' AS in_title, unnest(ws) AS word FROM wsrc),
+  bm AS (
+    SELECT DISTINCT query_id, clause_no, no, conversation_id FROM bc JOIN wsrc ON (NOT title OR source = 'title') AND contains(t, v) WHERE kind = 'phrase'
+    UNION ALL SELECT DISTINCT query_id, clause_no, no, conversation_id FROM bc JOIN wds ON (NOT title OR in_title) AND word LIKE v WHERE kind = 'glob'
+    UNION ALL SELECT DISTINCT query_id, clause_no, no, conversation_id FROM bc JOIN tok ON token = v AND (NOT title OR source = 'title') WHERE kind = 'has')""".strip()
+
+
+@query("j10_stored_clauses", sql=with_ctes(*BASE, TOK, _STORED, body="""
+  SELECT query_id, conversation_id FROM bm GROUP BY query_id, conversation_id
+  HAVING count(*) FILTER (NOT no) = (SELECT count(*) FROM bc c WHERE c.query_id = bm.query_id AND NOT c.no) AND count(*) FILTER (no) = 0"""))
+def stored_clause_table(spark, sf_dir):
+    headers, messages, postings = _index(spark, sf_dir)
+    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,12})"), F.lit(1))
+    rows = model.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), w.alias("w"))
+    first, second, third, fourth = (F.get("w", F.lit(i)) for i in range(4))
+    raw = (
+        F.when(F.col("query_id") % 5 == 0, F.concat(F.lit('"'), first, F.lit(" "), second, F.lit('" -'), fourth))
+        .when(F.col("query_id") % 5 == 1, F.concat(second, F.lit(" "), F.left(first, F.lit(2)), F.lit("*")))
+        .when(F.col("query_id") % 5 == 2, F.concat(F.lit("title:"), first, F.lit(' -"'), third, F.lit(" "), fourth, F.lit('"')))
+        .when(F.col("query_id") % 5 == 3, F.concat(F.lit("*"), F.left(first, F.lit(3)), F.lit("* -title:"), F.left(second, F.lit(1)), F.lit("*"), F.right(second, F.lit(1))))
+        .otherwise(F.concat(first, F.lit(' -title:"'), second, F.lit('"')))
+    )
+    return stored.matches(headers, messages, postings, rows.select("query_id", raw.alias("raw")))
+
+
 @query("o09_snippet_tokens", sql=with_ctes(_BQ, body="""
   SELECT query_id, token, r AS rank FROM (
     SELECT query_id, token, row_number() OVER (PARTITION BY query_id ORDER BY length(token) DESC, token) AS r FROM (

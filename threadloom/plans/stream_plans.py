@@ -34,10 +34,23 @@ def _drain(spark, frame, mode="append"):
     return spark.read.schema(frame.schema).parquet(f"{out}/rows")
 
 
+def _replayed(rows: str, first: str, steps: str, body: str) -> str:
+    """A keyed rule as recursive SQL: ``rows`` (key, rn, ...) one after another, each from the state that the row before left."""
+    return f"""WITH RECURSIVE {EV}, k AS ({rows}), s AS (
+      SELECT key, rn, event_id, {first} FROM k WHERE rn = 1
+      UNION ALL SELECT key, rn, event_id, {steps}
+    ) {body}"""
+
+
 EV = f"ev AS (SELECT *, {START} + event_id * 700 - user_id % 5 * 300 AS at_ms FROM events)"
 
 
-@query("st01_duplicate_gate")
+@query("st01_duplicate_gate", sql=_replayed(
+    "SELECT user_id % 40 AS key, row_number() OVER (PARTITION BY user_id % 40 ORDER BY at_ms, event_id) AS rn, event_id, at_ms, user_id % 3 AS conversation FROM ev",
+    "conversation AS owner, at_ms AS since, FALSE AS held",
+    """CASE WHEN h THEN owner ELSE conversation END, CASE WHEN h THEN since ELSE at_ms END, h FROM (
+        SELECT k.*, s.owner, s.since, s.owner <> k.conversation AND k.at_ms - s.since < 5000 AS h FROM s JOIN k ON k.key = s.key AND k.rn = s.rn + 1)""",
+    "SELECT event_id, held FROM s"))
 def duplicate_gate(spark, sf_dir):
     rows = _event_stream(spark, sf_dir).selectExpr("event_id", "at", "at_ms", "cast(user_id % 40 as string) as body_hash", "user_id % 3 as conversation")
     return _drain(spark, rules.duplicate_gate(rows))
@@ -72,7 +85,12 @@ def empty_alert(spark, sf_dir):
     return _drain(spark, rules.empty_alerts(rows))
 
 
-@query("st05_heartbeat_throttle")
+@query("st05_heartbeat_throttle", sql=_replayed(
+    "SELECT user_id % 4 AS key, row_number() OVER (PARTITION BY user_id % 4 ORDER BY at_ms, event_id) AS rn, event_id, at_ms, event_id // 300 AS print FROM ev",
+    "print AS told, at_ms AS told_at, TRUE AS sent",
+    """CASE WHEN h THEN print ELSE told END, CASE WHEN h THEN at_ms ELSE told_at END, h FROM (
+        SELECT k.*, s.told, s.told_at, s.told <> k.print OR k.at_ms - s.told_at >= 60000 AS h FROM s JOIN k ON k.key = s.key AND k.rn = s.rn + 1)""",
+    "SELECT event_id FROM s WHERE sent"))
 def heartbeat_throttle(spark, sf_dir):
     rows = _event_stream(spark, sf_dir).selectExpr("event_id", "at_ms", "user_id % 4 as platform", "cast(event_id div 300 as string) as fingerprint")
     return _drain(spark, rules.heartbeats(rows))
@@ -88,7 +106,13 @@ def visit_context(spark, sf_dir):
     return rules.latest_visit(_drain(spark, rules.visit_pairs(homes, visits)))
 
 
-@query("st07_evidence_run")
+@query("st07_evidence_run", sql=_replayed(
+    "SELECT user_id % 3 AS key, row_number() OVER (PARTITION BY user_id % 3 ORDER BY at_ms, event_id) AS rn, event_id, at_ms, event_id // 60 AS conversation, event_id % 37 = 0 AS blocked FROM ev",
+    "CASE WHEN NOT blocked THEN conversation END AS seen, conversation, at_ms AS since, at_ms AS last, 1 AS n",
+    """CASE WHEN NOT blocked THEN conversation END, conversation, CASE WHEN goes_on THEN since ELSE at_ms END,
+        CASE WHEN goes_on AND at_ms - last < 1000 THEN last ELSE at_ms END, CASE WHEN NOT goes_on THEN 1 WHEN at_ms - last >= 1000 THEN n + 1 ELSE n END FROM (
+        SELECT k.*, s.since, s.last, s.n, coalesce(s.seen = k.conversation AND k.at_ms - s.last <= 6000, FALSE) AS goes_on FROM s JOIN k ON k.key = s.key AND k.rn = s.rn + 1)""",
+    "SELECT s.event_id, s.conversation FROM s JOIN k ON k.event_id = s.event_id WHERE s.seen IS NOT NULL AND s.n >= 3 AND k.at_ms - s.since >= 8000"))
 def evidence_run(spark, sf_dir):
     rows = _event_stream(spark, sf_dir).selectExpr(
         "event_id", "at_ms", "user_id % 3 as tab", "event_id div 60 as conversation", "concat('u', event_id div 60) as url", "case when event_type = 'error' then 1 else 2 end as hits", "event_id % 37 = 0 as blocked")

@@ -77,6 +77,24 @@ def safe_urls(spark, sf_dir):
         "page_id", links.safe_url(a).alias("safe"), F.coalesce(links.canonical_url(a, platform), F.lit("")).alias("canonical"), links.is_home(a, platform).alias("home"))
 
 
+_LANDED = """CASE page_id % 12
+  WHEN 0 THEN 'https://chatgpt.com' WHEN 1 THEN 'https://chat.openai.com/new/?x=' || page_id WHEN 2 THEN 'https://chatgpt.com/chat#top' WHEN 3 THEN 'https://chatgpt.com/newer'
+  WHEN 4 THEN 'https://claude.ai/new' WHEN 5 THEN 'https://claude.ai/recents' WHEN 6 THEN 'https://grok.com/chat/' WHEN 7 THEN 'https://x.ai/c'
+  WHEN 8 THEN 'https://gemini.google.com/u/' || page_id || '/app' WHEN 9 THEN 'https://gemini.google.com/' WHEN 10 THEN 'https://gemini.google.com/app//' ELSE url END"""
+
+
+@query("p18_redirect_home", sql=f"""
+  SELECT page_id, lower(regexp_extract(a, '^(https://[^/?#]*)', 1)) AS origin,
+    regexp_full_match(a, 'https://(chatgpt[.]com|chat[.]openai[.]com)(/+|/(new|chat)/*)?([?#].*)?') OR regexp_full_match(a, 'https://claude[.]ai(/+|/new/*)?([?#].*)?')
+      OR regexp_full_match(a, 'https://((www[.])?grok[.]com|grok[.]x[.]com|x[.]ai)(/+|/(new|chat)/*)?([?#].*)?') OR regexp_full_match(a, 'https://gemini[.]google[.]com(/u/[0-9]+)?/app/*([?#].*)?') AS landed
+  FROM (SELECT page_id, {_LANDED} AS a FROM pages)""")
+def redirect_home(spark, sf_dir):
+    """Whether an address is one that a removed conversation redirects to."""
+    a = F.col("a")
+    rows = model.load(spark, sf_dir, "pages").select("page_id", F.expr(_LANDED).alias("a"))
+    return rows.select("page_id", F.coalesce(links.origin(a), F.lit("")).alias("origin"), links.is_visit_home(a, links.platform_of(a)).alias("landed"))
+
+
 @query("f15_page_kind", sql=with_ctes(ADDR, body="""
   SELECT page_id, CASE WHEN regexp_matches(a, '[?&]temporary-chat=true(?:&|#|$)') THEN 'temporary' WHEN platform_id IS NOT NULL THEN 'conversation'
     WHEN path = '/' THEN 'home' ELSE 'other' END AS kind FROM ident"""))

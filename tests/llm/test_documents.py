@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from frames import awkward, empty, fold, labels, spaced
 
@@ -159,16 +160,50 @@ def test_toxicity_automata_equal_edit_distance():
         near |= {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}
         return 1 if b in near else 2
 
-    lexicon = ["stupid", "idiot", "trash", "scum"]
-    words = ["stupid", "stuipd", "stpid", "stupidd", "sstupid", "tupid", "stupi", "stxpid", "stxpxd", "idoit", "idiots", "diot", "trahs", "rtash", "tras", "thrash", "scm", "scums", "scum", "plain", "a"]
+    lexicon = ["stupid", "idiot", "trash", "scum", "cabrón", "bum"]
+    words = ["stupid", "stuipd", "stpid", "stupidd", "sstupid", "tupid", "stupi", "stxpid", "stxpxd", "idoit", "idiots", "diot", "trahs", "rtash", "tras", "thrash", "scm", "scums", "scum", "sc*m", "cabron", "cabrön", "kabron", "cabróн", "CABRóN", "bam", "plain", "a", "é"]
+    tails = ["lowei", "loweibung", "lowiebung", "loweeibung", "owei", "lwei-", "lxweiung", "lowe", "loweung", "loxxi", "lowóich", "wolei"]
     model = toxicity.Automaton(lexicon, ["lowei"])
-    chunk = next(lexer.chunks(pa.array([" ".join([*words, "loweibung"])])))
+    chunk = next(lexer.chunks(pa.array([" ".join([*words, *tails])])))
     exact, fuzzy = model.run(chunk.data, *toxicity.trimmed_words(chunk)[:2])
+    assert len(exact) == len(words) + len(tails)
     for word, e, f in zip(words, exact, fuzzy):
-        near = {t for t in lexicon if len(t) >= 5 and swaps_and_edits(t, word) == 1}
-        assert (model.terms[e] if e >= 0 else None) == (word if word in lexicon else None)
+        near = {t for t in lexicon if len(t) >= 4 and swaps_and_edits(t, word) == 1}
+        own = word if word in lexicon else "cabrón" if word == "CABRóN" else None
+        assert (model.terms[e] if e >= 0 else None) == own
         assert (f >= 0) == (bool(near) and e < 0), word
-    assert model.terms[exact[-1]] == "lowei"
+    for word, e, f in zip([t.strip("-") for t in tails], exact[len(words):], fuzzy[len(words):]):
+        # A stem's misspelling is a beginning of the word, or all of it, one edit away from the stem.
+        assert (e >= 0) == word.startswith("lowei")
+        assert (f >= 0) == (e < 0 and any(swaps_and_edits("lowei", word[:n]) == 1 for n in range(1, len(word) + 1))), word
+    plain = toxicity.Automaton(lexicon, ["lowei"], frozenset(["scum", "lowei"]))
+    exact, fuzzy = plain.run(chunk.data, *toxicity.trimmed_words(chunk)[:2])
+    assert not {"scum", "lowei"} & {plain.terms[i] for i in fuzzy if i >= 0} and {"stupid", "cabrón"} <= {plain.terms[i] for i in fuzzy if i >= 0}
+
+
+def test_code_points_and_places_of_bytes():
+    text = "aé中😀z"
+    points, before = toxicity.code_points(np.frombuffer(text.encode(), np.uint8))
+    assert points.tolist() == [ord(c) for c in text] and before.tolist() == [0, 1, 2, 2, 3, 3, 3, 4, 4, 4, 4, 5]
+    assert toxicity.code_points(np.zeros(0, np.uint8))[1].tolist() == [0]
+
+
+def test_common_misspellings_are_found():
+    model = toxicity.fit([])
+    for word in "estupido cabron encule f*ck fuk scvm pu7a putaa stuupid idi0t moronn".split():
+        assert float(model.scores(next(lexer.chunks(pa.array([f"you {word}"]))))[0]) >= 0.3, word
+
+
+def test_toxicity_on_held_out_labels():
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"]).to_pandas()
+    rows = docs.merge(pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pandas()[["doc_id", "toxic"]], on="doc_id").dropna(subset=["toxic"])
+    rows["held"] = [zlib.crc32(str(i).encode()) % 4 == 2 for i in rows.doc_id]
+    seen, held = rows[~rows.held], rows[rows.held]
+    model = toxicity.fit(sorted((t or "", int(y)) for t, y in zip(seen.text, seen.toxic)))
+    score = np.concatenate([model.scores(c) for c in lexer.chunks(pa.array(held.text, pa.string()))])
+    held = held.assign(hit=score >= 0.3)
+    toxic = held[held.toxic == 1]
+    assert toxic.hit.mean() >= 0.9 and (toxic.groupby("lang").hit.mean() > 0.8).all() and held[held.hit].toxic.mean() >= 0.9
 
 
 def test_toxicity_separates_abuse_from_quotation_and_clean_text(spark, docs, texts):
@@ -185,7 +220,7 @@ def test_terms_of_one_copied_text_are_not_learned():
     copied = ["alpha bravo charlie delta echo foxtrot"] * 50
     abuse = [f"w{i} dreck v{i} and so on" for i in range(50)]
     words, stems = toxicity.learn_terms(copied + abuse, [f"w{i} calm v{i} and so on" for i in range(100)])
-    assert words == ["dreck"] and not stems
+    assert words == {"dreck": 1.0} and not stems
 
 
 def test_packing_is_whole_and_ids_are_the_tokenizers(docs, texts):

@@ -5,10 +5,11 @@ labelled documents: words, and beginnings that several words share, which stand
 different words and practically nowhere else. Counting different neighbours keeps the words of one text that was
 copied often from passing for insults.
 
-*Misspellings.* The trie of all whole words of five letters or more is intersected with the automata that accept one
-edit (insertion, deletion, substitution or swap of neighbours). The product is made deterministic and kept as one table
-of (state, byte class), so all words of a chunk walk it at once in numpy, and nearly all leave it after a few bytes.
-Hits with an edit count only for terms whose misspellings are rare in clean sample documents.
+*Misspellings.* The trie of all whole words of four letters or more and all stems of five or more is intersected with the
+automata that accept one edit (insertion, deletion, substitution or swap of neighbours); a stem takes its edit before its
+free tail. Letters are code points, so a lost accent is one edit. The product is made deterministic and kept as one table
+of (state, letter class), so all words of a chunk walk it at once in numpy, and nearly all leave it after a few letters.
+Terms whose misspellings stand in clean sample documents take no edit: the product is made anew without theirs.
 
 *Windows.* Each hit looks at ``WINDOW`` words on both sides: quotation marks or words of reporting mark it as quoted and
 cut its weight, words of address and other hits raise it. A logistic model on a document's window sums gives the score.
@@ -33,7 +34,15 @@ from . import lexer, rows
 FIT_ROWS = 6_000
 WINDOW = 8
 LEAST_SUPPORT = 8
-FUZZY_LETTERS = 5
+#: How much denser in toxic than in clean documents a learned term stands; the windows judge what clean documents quote.
+RATIO = 3
+#: Ratio from which on a term counts in full.
+FULL = 32
+#: Letters from which on whole words and stems may be misspelled.
+FUZZY_LETTERS = 4
+FUZZY_STEM = 5
+#: A term takes an edit if at most one misspelling of it stands in so many clean documents.
+CLEAN_TEXTS = 2000
 
 # Common insults in four languages.
 INSULTS = (
@@ -62,49 +71,67 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(fold(text))
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and for each byte position how many of them start before it."""
+    first = (data & 0xC0) != 0x80
+    before = np.append(0, np.cumsum(first))
+    at = np.flatnonzero(first)
+    if len(at) == len(data):
+        return data.astype(np.int32), before
+    whole = np.append(data, np.zeros(3, np.uint8)).astype(np.int32)
+    points = whole[at]
+    for least, keep, more in ((0xC0, 0x1F, 1), (0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
+        long = np.flatnonzero((data[at] >= least) & (data[at] < (0xE0, 0xF0, 0x100)[more - 1]))
+        value = whole[at[long]] & keep
+        for i in range(1, more + 1):
+            value = (value << 6) | (whole[at[long] + i] & 0x3F)
+        points[long] = value
+    return points, before
+
+
 class Automaton:
-    """The trie of ``words`` and ``stems`` times one-edit automata, as a table of (state, byte class).
+    """The trie of ``words`` and ``stems`` times one-edit automata, as a table of (state, letter class).
 
     ``exact[state]`` and ``fuzzy[state]`` tell the term that a word ending in the state is, or -1; a stem's state keeps the word.
+    ``close[state]`` are all terms that such a word is one edit away from. ``plain`` terms take no edit.
     """
 
-    def __init__(self, words: list[str], stems: list[str]) -> None:
+    def __init__(self, words: list[str], stems: list[str], plain: frozenset[str] = frozenset()) -> None:
         self.terms = [*words, *stems]
-        whole = [w.encode() for w in words]
-        starts = [s.encode() for s in stems]
-        symbols = sorted(set(b"".join(whole + starts)))
-        self.classes = np.zeros(256, dtype=np.int64)
-        self.classes[symbols] = np.arange(1, len(symbols) + 1)
-        self.classes = self.classes[lexer.FOLD]
+        letters = sorted({ord(c) for term in self.terms for c in term})
+        #: Classes of ASCII, capitals as small letters; others are looked up.
+        self.letters = np.array(letters, dtype=np.int32)
+        self.ascii = np.zeros(128, dtype=np.int32)
+        self.ascii[[c for c in letters if c < 128]] = [i + 1 for i, c in enumerate(letters) if c < 128]
+        self.ascii = self.ascii[lexer.FOLD[:128]]
         # A trie node lists its children, the whole word that ends there and the stem that ends there.
         child: list[dict[int, int]] = [{}]
         word_at: dict[int, int] = {}
         stem_at: dict[int, int] = {}
-        fuzzy_depth: dict[int, bool] = {0: True}
-        for i, term in enumerate(whole + starts):
+        for i, term in enumerate(self.terms):
             at = 0
-            for b in term:
+            for b in map(ord, term):
                 if b not in child[at]:
                     child[at][b] = len(child)
                     child.append({})
                 at = child[at][b]
-            (word_at if i < len(whole) else stem_at).setdefault(at, i)
-        fuzzy_ok = {i for i, w in enumerate(words) if len(w) >= FUZZY_LETTERS}
-        # Nodes that lead to a word that may be misspelled.
+            (word_at if i < len(words) else stem_at).setdefault(at, i)
+        fuzzy_ok = {i for i, w in enumerate(self.terms) if w not in plain and len(w) >= (FUZZY_LETTERS if i < len(words) else FUZZY_STEM)}
+        # Nodes that lead to a term that may be misspelled.
         leads = [False] * len(child)
         for node in range(len(child) - 1, -1, -1):
-            leads[node] = word_at.get(node) in fuzzy_ok or any(leads[c] for c in child[node].values())
+            leads[node] = word_at.get(node) in fuzzy_ok or stem_at.get(node) in fuzzy_ok or any(leads[c] for c in child[node].values())
 
         def step(state: frozenset, b: int) -> frozenset:
             out = set()
             for node, edits, owed in state:
                 if owed is not None:
-                    # A swap is half done: the byte that was skipped must come now.
+                    # A swap is half done: the letter that was skipped must come now.
                     if b == owed:
                         out.add((node, 1, None))
                     continue
-                if node in stem_at and edits == 0:
-                    out.add((node, 0, None))
+                if node in stem_at and (edits == 0 or stem_at[node] in fuzzy_ok):
+                    out.add((node, edits, None))
                 nxt = child[node].get(b)
                 if nxt is not None:
                     out.add((nxt, edits, None))
@@ -118,16 +145,18 @@ class Automaton:
                                 out.add((after, 1, None))
                                 if c != b:
                                     out.add((after, 1, c))
-            # Whatever an exact path reaches needs no edited copy.
+            # Whatever an exact path reaches needs no edited copy, and after an exact stem nothing does.
             exact = {n for n, e, o in out if e == 0}
+            if exact & stem_at.keys():
+                return frozenset(x for x in out if x[1] == 0)
             return frozenset(x for x in out if not (x[1] == 1 and x[2] is None and x[0] in exact))
 
         start = frozenset({(0, 0, None)})
-        number, queue, table = {start: 1, frozenset(): 0}, [start], {0: [0] * (len(symbols) + 1)}
+        number, queue, table = {start: 1, frozenset(): 0}, [start], {0: [0] * (len(letters) + 1)}
         while queue:
             state = queue.pop()
             row = []
-            for b in (-1, *symbols):
+            for b in (-1, *letters):
                 new = step(state, b)
                 if new not in number:
                     number[new] = len(number)
@@ -135,36 +164,47 @@ class Automaton:
                 row.append(number[new])
             table[number[state]] = row
         self.table = np.array([table[i] for i in range(len(number))], dtype=np.int32)
-        self.exact, self.fuzzy = np.full(len(number), -1, np.int32), np.full(len(number), -1, np.int32)
+        self.exact, self.fuzzy, self.close = np.full(len(number), -1, np.int32), np.full(len(number), -1, np.int32), [()] * len(number)
         for state, i in number.items():
+            near = set()
             for node, edits, owed in state:
                 if owed is not None:
                     continue
                 if edits == 0 and node in stem_at:
-                    self.exact[i] = stem_at[node]
-                if edits == 0 and node in word_at:
-                    self.exact[i] = word_at[node]
-                if edits == 1 and word_at.get(node) in fuzzy_ok:
-                    self.fuzzy[i] = word_at[node]
-                # A last letter that is missing.
-                if edits == 0:
-                    for kid in child[node].values():
-                        if word_at.get(kid) in fuzzy_ok:
-                            self.fuzzy[i] = word_at[kid]
-
-    def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(exact term, term with an edit) of each word, -1 for none."""
-        exact, fuzzy = np.full(len(starts), -1, np.int32), np.full(len(starts), -1, np.int32)
-        alive, at, state = np.arange(len(starts)), starts.copy(), np.ones(len(starts), dtype=np.int32)
+                    self.exact[i] = max(self.exact[i], stem_at[node])
+                # A last letter may be missing.
+                for end in (node,) if edits == 1 else (*child[node].values(),):
+                    near |= {at[end] for at in (word_at, stem_at) if at.get(end) in fuzzy_ok}
+            for node in {n for n, e, o in state if e == 0 and o is None and n in word_at}:
+                self.exact[i] = word_at[node]
+            if near:
+                self.fuzzy[i], self.close[i] = min(near), tuple(sorted(near))
+
+    def states(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The state in which each word ends, 0 for none."""
+        points, before = code_points(data)
+        classes = self.ascii[np.minimum(points, 127)]
+        wide = np.flatnonzero(points > 127)
+        if len(wide) and len(self.letters):
+            at = np.minimum(np.searchsorted(self.letters, points[wide]), len(self.letters) - 1)
+            classes[wide] = np.where(self.letters[at] == points[wide], at + 1, 0)
+        at, ends = before[starts], before[ends]
+        final = np.zeros(len(starts), dtype=np.int32)
+        alive, state = np.arange(len(starts)), np.ones(len(starts), dtype=np.int32)
         while len(alive):
-            state = self.table[state, self.classes[data[at]]]
+            state = self.table[state, classes[at]]
             going = state > 0
             alive, at, state = alive[going], at[going] + 1, state[going]
             done = at == ends[alive]
-            exact[alive[done]], fuzzy[alive[done]] = self.exact[state[done]], self.fuzzy[state[done]]
+            final[alive[done]] = state[done]
             alive, at, state = alive[~done], at[~done], state[~done]
-        fuzzy[exact >= 0] = -1
-        return exact, fuzzy
+        return final
+
+    def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(exact term, term with an edit) of each word, -1 for none."""
+        final = self.states(data, starts, ends)
+        exact = self.exact[final]
+        return exact, np.where(exact >= 0, -1, self.fuzzy[final])
 
 
 def trimmed_words(chunk: lexer.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +229,8 @@ def _keys_of(words: list[str]) -> np.ndarray:
 @dataclass
 class Detector:
     automaton: Automaton
-    edited: np.ndarray
+    #: How far each term counts, up to 1.
+    power: np.ndarray
     weights: np.ndarray
 
     def features(self, chunk: lexer.Chunk) -> np.ndarray:
@@ -197,7 +238,6 @@ class Detector:
         starts, ends, doc = trimmed_words(chunk)
         n = len(chunk)
         exact, fuzzy = self.automaton.run(chunk.data, starts, ends)
-        fuzzy = np.where((fuzzy >= 0) & self.edited[fuzzy], fuzzy, -1)
         hit = np.flatnonzero((exact >= 0) | (fuzzy >= 0))
         out = np.zeros((n, 6))
         if not len(hit):
@@ -212,7 +252,7 @@ class Detector:
         quoted |= reported > 0
         total = np.append(0, np.cumsum(np.isin(np.arange(len(starts)), hit, assume_unique=True)))
         crowd = total[high] - total[low] - 1
-        plain = np.where(quoted, 0.25, 1.0)
+        plain = np.where(quoted, 0.25, 1.0) * self.power[np.where(exact[hit] >= 0, exact[hit], fuzzy[hit])]
         own = doc[hit]
         sums = lambda x: np.bincount(own, x, minlength=n)
         is_exact = exact[hit] >= 0
@@ -253,8 +293,8 @@ class Detector:
         return 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
 
 
-def learn_terms(toxic: list[str], clean: list[str]) -> tuple[list[str], list[str]]:
-    """Whole words and stems that mark toxic texts."""
+def learn_terms(toxic: list[str], clean: list[str]) -> tuple[dict[str, float], dict[str, float]]:
+    """Whole words and stems that mark toxic texts, and how far each counts: less, the more clean texts have it."""
     support: Counter = Counter()
     neighbours: dict[str, set] = defaultdict(set)
     ways: dict[str, set] = defaultdict(set)
@@ -278,13 +318,20 @@ def learn_terms(toxic: list[str], clean: list[str]) -> tuple[list[str], list[str
         found = set(words_of(text))
         seen.update({w[:n] for w in found if len(w) > 3 for n in range(4, min(len(w), 7) + 1)} | {f"{w}$" for w in found})
     even = len(toxic) / max(len(clean), 1)
-    marks = lambda term, ratio: support[term] >= LEAST_SUPPORT and (support[term] + 0.5) / (seen[term] * even + 0.5) >= ratio
-    good = {s for s in support if not s.endswith("$") and len(ways[s]) >= 4 and marks(s, 2 * LEAST_SUPPORT)}
+    # Chance alone gives a term this support with a probability of at most exp(-evidence); so many terms are tried.
+    tried = np.log(1 + sum(n >= LEAST_SUPPORT for n in support.values()))
+
+    def marks(term: str) -> bool:
+        n, expected = support[term] + 0.5, seen[term] * even + 0.5
+        return support[term] >= LEAST_SUPPORT and n >= RATIO * expected and n * np.log(n / expected) - (n - expected) >= tried
+
+    good = {s for s in support if not s.endswith("$") and len(ways[s]) >= 4 and marks(s)}
     # A stem that nearly all its words carry on with one letter is only a part of the longer stem.
     good = {s for s in good if not any(s + c in support and support[s + c] >= 0.9 * support[s] for c in ways[s] if c)}
     kept = sorted(s for s in good if not any(s[:n] in good for n in range(4, len(s))))
-    words = sorted(t[:-1] for t in support if t.endswith("$") and marks(t, 2 * LEAST_SUPPORT) and not any(t.startswith(s) for s in kept))
-    return words, kept
+    words = sorted(t[:-1] for t in support if t.endswith("$") and marks(t) and not any(t.startswith(s) for s in kept))
+    power = lambda term: min(1.0, float(np.log((support[term] + 0.5) / (seen[term] * even + 0.5)) / np.log(FULL)))
+    return {w: power(f"{w}$") for w in words}, {s: power(s) for s in kept}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0) -> np.ndarray:
@@ -311,16 +358,18 @@ def fit(sample: list[tuple[str, int]]) -> Detector:
     import pyarrow as pa
 
     toxic, clean = [t or "" for t, y in sample if y == 1], [t or "" for t, y in sample if y == 0]
-    words, stems = learn_terms(toxic, clean) if toxic and clean else ([], [])
-    automaton = Automaton(sorted(set(words) | set(INSULTS)), stems)
-    model = Detector(automaton, np.ones(len(automaton.terms), dtype=bool), PRIOR)
-    wrong = np.zeros(len(automaton.terms))
-    taken = np.zeros(len(automaton.terms))
+    words, stems = learn_terms(toxic, clean) if toxic and clean else ({}, {})
+    power = {**stems, **words, **dict.fromkeys(INSULTS, 1.0)}
+    words, stems = sorted(words.keys() | set(INSULTS)), sorted(stems)
+    automaton = Automaton(words, stems)
+    ends = np.zeros(len(automaton.close), dtype=np.int64)
     for chunk in lexer.chunks(pa.array(clean, pa.string())):
-        exact, fuzzy = automaton.run(chunk.data, *trimmed_words(chunk)[:2])
-        wrong += np.bincount(fuzzy[fuzzy >= 0], minlength=len(wrong))
-        taken += np.bincount(exact[exact >= 0], minlength=len(wrong))
-    model.edited = wrong * 2000 <= max(len(clean), 1)
+        ends += np.bincount(automaton.states(chunk.data, *trimmed_words(chunk)[:2]), minlength=len(ends))
+    wrong = Counter()
+    for state in np.flatnonzero((ends > 0) & (automaton.exact < 0)):
+        wrong.update(dict.fromkeys(automaton.close[state], int(ends[state])))
+    plain = frozenset(automaton.terms[i] for i, n in wrong.items() if n * CLEAN_TEXTS > len(clean))
+    model = Detector(Automaton(words, stems, plain), np.array([power[t] for t in (*words, *stems)]), PRIOR)
     if toxic and clean:
         x = np.concatenate([model.features(c) for part in (toxic, clean) for c in lexer.chunks(pa.array(part, pa.string()))])
         y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from frames import awkward, empty, fold, labels, spaced
 
 from threadloom.llm import hostrules, jaccard, lexer, mixing, packing, ppm, quality, toxicity
@@ -314,6 +315,27 @@ def test_mixture_defines_awkward_rows(docs, texts):
     assert mixing.sample(docs).count() == sum(r.kept for r in got)
 
 
+def test_many_languages_and_topics_are_raked_in_tables(docs, monkeypatch):
+    cells = lambda: Counter((r.source, r.lang, r.topic, round(r.probability, 9)) for r in mixing.mixed(docs, rounds=3).collect())
+    few = cells()
+    monkeypatch.setattr(mixing, "MAX_PAIRS", 1)
+    assert cells() == few and mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    names = "host_key host_rules probability pair __source __LANG __tokens __score __n_words __kept __other __host".split()
+    unique = docs.where("doc_id < 10 or doc_id >= 100").dropDuplicates(["doc_id"])
+    wide = unique.withColumns({n: F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")) for n in names})
+    marks = labels(spark, docs, lambda t: int(len(t) > 300))
+    stages = [hostrules.keep_good, lambda d: quality.keep_good(d, marks), jaccard.one_of_each, mixing.sample]
+    for stage in stages:
+        got = stage(wide)
+        assert got.columns == wide.columns
+        rows = got.collect()
+        assert {r.doc_id for r in rows} == {r.doc_id for r in stage(unique).select("doc_id").collect()}
+        assert all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names)
+
+
 def test_empty_tables(spark):
     none = empty(spark)
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -9,7 +9,8 @@ Texts are read once; what is shuffled is one row of counts per document and host
 pre-aggregation, so one host may hold any share of the rows, and only hosts under watch are joined back.
 
 Defined results: a null or empty text has no words and fails; a null host is a host of its own; repeated rows
-count as often as they stand there; without documents there is no host and no row.
+count as often as they stand there; without documents there is no host and no row; extra columns are kept by ``keep_good``,
+whatever their names, and ignored by ``document_verdicts``.
 """
 
 from __future__ import annotations
@@ -113,11 +114,13 @@ def watched_hosts(counted: DataFrame, host_col: str, host_rate: float = HOST_RAT
 
 def judge(counted: DataFrame, watched: DataFrame, host_col: str, prefix: str = "") -> DataFrame:
     """``counted`` with ``base_failed`` and ``kept`` after the verdicts of ``watched`` hosts (names with the prefix)."""
-    out = counted.withColumn("__host", _host(host_col)).join(rows.small_side(watched), F.col("__host") == F.col("host_key"), "left")
+    own = rows.free_prefix(counted)
+    verdicts = watched.select(F.col("host_key").alias(f"{own}host"), F.col("host_rules").alias(f"{own}rules"))
+    out = counted.withColumn(f"{own}key", _host(host_col)).join(rows.small_side(verdicts), F.col(f"{own}key") == F.col(f"{own}host"), "left")
     strict = F.lit(False)
     for name, (limit, watch) in rules(prefix).items():
-        strict = strict | limit | (watch & F.coalesce(F.array_contains("host_rules", name), F.lit(False)))
-    return out.withColumn(f"{prefix}base_failed", base_failed(prefix)).withColumn(f"{prefix}kept", ~base_failed(prefix) & ~strict).drop("__host", "host_key", "host_rules")
+        strict = strict | limit | (watch & F.coalesce(F.array_contains(f"{own}rules", name), F.lit(False)))
+    return out.withColumn(f"{prefix}base_failed", base_failed(prefix)).withColumn(f"{prefix}kept", ~base_failed(prefix) & ~strict).drop(f"{own}key", f"{own}host", f"{own}rules")
 
 
 def document_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -131,7 +134,9 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source")
 
     Texts are counted twice, once for the hosts and once beside the rows, rather than moved.
     """
-    watched = watched_hosts(rows.append(docs.select(host_col, text_col), text_col, counts, COUNTS).drop(text_col), host_col)
-    fields = {f"__{k}": v for k, v in COUNTS.items()}
-    beside = rows.append(docs, text_col, lambda chunk: {f"__{k}": v for k, v in counts(chunk).items()}, fields)
-    return rows.like(judge(beside, watched, host_col, "__").where("__kept"), docs)
+    light = docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    watched = watched_hosts(rows.append(light, "text", counts, COUNTS).drop("text"), "host")
+    own = rows.free_prefix(docs)
+    fields = {f"{own}{k}": v for k, v in COUNTS.items()}
+    beside = rows.append(docs, text_col, lambda chunk: {f"{own}{k}": v for k, v in counts(chunk).items()}, fields)
+    return rows.like(judge(beside, watched, host_col, own).where(f"{own}kept"), docs)

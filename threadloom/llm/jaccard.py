@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import lexer
-from .rows import release, small_batches, small_side
+from .rows import free_prefix, release, small_batches, small_side
 
 SKETCH_BITS = 20
 #: Shingles counted into the sketch at a time.
@@ -435,5 +435,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if _repeats(texts):
         return _one_of_each_text(docs, id_col, text_col)
     found = cut_lineage(similar_components(docs, id_col, text_col).select("doc_id", "component_id"))
-    others = small_side(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__other")).distinct())
-    return docs.join(others, F.col(id_col).cast("long") == F.col("__other"), "left_anti")
+    name = f"{free_prefix(docs)}other"
+    others = small_side(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(others, F.col(id_col).cast("long") == F.col(name), "left_anti")

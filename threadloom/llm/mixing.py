@@ -3,7 +3,8 @@
 Documents are counted by cell (source, language, topic). Raking finds a factor for each source, language and topic such that
 the cells' tokens, multiplied by their three factors, add up to the target shares on all three marginals. A round adjusts
 sources, then languages, then topics. Sources may be many: they stay distributed, one row each with its cells. Languages and
-topics are small vocabularies: a round brings one sum for each (language, topic) pair to the driver, at most ``MAX_PAIRS``.
+topics mostly are small vocabularies: a round brings one sum for each (language, topic) pair to the driver, at most ``MAX_PAIRS``;
+where there are more, all three stay distributed and a round is three grouped sums with joins, with equal results.
 
 A document stays with probability ``min(1, scale * factors)``, where the scale makes the expected tokens ``budget`` times all
 tokens before the minimum; whether it stays is decided by a hash of its id, so a run repeats and a document's fate does not
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .rows import like, small_side
+from .rows import free_prefix, like, small_side
 
 BUDGET = 0.6
 ROUNDS = 8
@@ -46,11 +47,11 @@ def topic_of(text: Column, tokens: Column) -> Column:
     return F.when(tokens == 0, "empty").when(8 * bars > tokens, "table").when(4 * marks > tokens, "marked").when(tokens < 100, "note").when(tokens < 1000, "article").otherwise("book")
 
 
-def counted(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
-    """``docs`` with its cell and tokens as ``__source``, ``__lang``, ``__topic``, ``__tokens``."""
+def counted(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, prefix: str = "__") -> DataFrame:
+    """``docs`` with its cell and tokens as ``__source``, ``__lang``, ``__topic``, ``__tokens``, or with another prefix."""
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(_NULL))
-    out = docs.withColumns({"__source": key(source_col), "__lang": key(lang_col), "__tokens": tokens_of(F.col(text_col))})
-    return out.withColumn("__topic", topic_of(F.col(text_col), F.col("__tokens")) if topic is None else topic)
+    out = docs.withColumns({f"{prefix}source": key(source_col), f"{prefix}lang": key(lang_col), f"{prefix}tokens": tokens_of(F.col(text_col))})
+    return out.withColumn(f"{prefix}topic", topic_of(F.col(text_col), F.col(f"{prefix}tokens")) if topic is None else topic)
 
 
 def _shares(of: dict[str, float], alpha: float) -> dict[str, float]:
@@ -65,7 +66,7 @@ def weights(cells: DataFrame, alpha: dict[str, float] = ALPHA, budget: float = B
     if not pairs:
         return cells.withColumn("probability", F.lit(1.0))
     if len(pairs) > MAX_PAIRS:
-        raise ValueError(f"more than {MAX_PAIRS} pairs of language and topic")
+        return _weights_of_many(cells, alpha, budget, rounds)
     langs, topics = ({k: sum(n for *key, n in pairs if key[i] == k) for k in sorted({p[i] for p in pairs})} for i in (0, 1))
     lang_share, topic_share = _shares(langs, alpha["lang"]), _shares(topics, alpha["topic"])
     at = F.create_map(*(x for i, (a, b, _) in enumerate(pairs) for x in (F.concat(F.lit(a), F.lit("\t"), F.lit(b)), F.lit(i))))
@@ -91,14 +92,33 @@ def weights(cells: DataFrame, alpha: dict[str, float] = ALPHA, budget: float = B
     return placed.join(chance, ["__source", "pair"]).drop("pair")
 
 
+def _weights_of_many(cells: DataFrame, alpha: dict[str, float], budget: float, rounds: int) -> DataFrame:
+    """``weights`` with all three vocabularies as tables: each step of a round is a grouped sum, joined back by its key."""
+    names = {f"__{d}": a for d, a in alpha.items()}
+    fitted = cells.withColumn("w", F.col("n").cast("double"))
+    shares = {}
+    for name, power in names.items():
+        raised = cells.groupBy(name).agg(F.pow(F.sum("n").cast("double"), F.lit(power)).alias("share"))
+        total = raised.agg(F.sum("share")).first()[0]
+        shares[name] = cut_lineage(raised.select(name, (F.col("share") / F.lit(total)).alias("share")))
+    for _ in range(rounds):
+        for name, share in shares.items():
+            factor = fitted.groupBy(name).agg(F.sum("w").alias("now")).join(share, name).select(name, (F.col("share") / F.col("now")).alias("factor"))
+            fitted = fitted.join(factor, name).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
+        fitted = cut_lineage(fitted)
+    n, w = fitted.agg(F.sum("n").cast("double"), F.sum("w")).first()
+    return fitted.withColumn("probability", F.least(F.lit(1.0), F.col("w") * (budget * n / w) / F.col("n"))).select(*cells.columns, "probability")
+
+
 def draw(id_col: str, salt: str = "mix") -> Column:
     """A number in [0, 1) from the id."""
     digest = F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(16**13)
 
 
-def _cells(with_cells: DataFrame) -> DataFrame:
-    return cut_lineage(with_cells.groupBy("__source", "__lang", "__topic").agg(F.sum(F.greatest("__tokens", F.lit(1))).alias("n")))
+def _cells(with_cells: DataFrame, prefix: str = "__") -> DataFrame:
+    names = [F.col(f"{prefix}{d}").alias(f"__{d}") for d in ALPHA]
+    return cut_lineage(with_cells.groupBy(*names).agg(F.sum(F.greatest(f"{prefix}tokens", F.lit(1))).alias("n")))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -111,9 +131,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 def sample(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stay; its columns stay as they are."""
-    with_cells = counted(docs)
-    chance = small_side(weights(_cells(with_cells), **options).drop("n"))
-    return like(with_cells.join(chance, ["__source", "__lang", "__topic"]).where(draw(id_col) < F.col("probability")), docs)
+    own = free_prefix(docs)
+    with_cells = counted(docs, prefix=own)
+    chance = small_side(weights(_cells(with_cells, own), **options).select(*(F.col(f"__{d}").alias(f"{own}{d}") for d in ALPHA), F.col("probability").alias(f"{own}chance")))
+    return like(with_cells.join(chance, [f"{own}{d}" for d in ALPHA]).where(draw(id_col) < F.col(f"{own}chance")), docs)
 
 
 def _oracle() -> str:

@@ -158,4 +158,5 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier accepts; its columns stay as they are."""
     model = train(docs, labels, text_col=text_col)
-    return rows.like(score(docs, model, text_col, "__score").where("__score >= 0.5"), docs)
+    name = f"{rows.free_prefix(docs)}score"
+    return rows.like(score(docs, model, text_col, name).where(F.col(name) >= 0.5), docs)

@@ -67,6 +67,14 @@ def base_rate(labels: DataFrame, label: str, folds: int, held: int) -> float:
     return ((row["a"] or 0) + 0.5) / (row["n"] + 1.0)
 
 
+def free_prefix(docs: DataFrame) -> str:
+    """A beginning of names that no column of ``docs`` has, in any case."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def like(frame: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` out of ``frame``, which has more."""
     return frame.select(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))

@@ -8,7 +8,7 @@ from ..functions import markup, offsets, ranges
 from ..functions import text as tx
 from ..operators import identity, images, order, search, snippets, sorting
 from ..operators.ordered import chunk_of, ordinals
-from ..sources import model, pages
+from ..sources import embedded, model, pages
 from .registry import query, with_ctes
 from .sqltext import flat, occurrences, quote, visible
 
@@ -240,6 +240,29 @@ def embedded_times(spark, sf_dir):
     return rows.select("user_id", page_ms(stamp, NOW).alias("ms")).groupBy("user_id").agg(F.max("ms").alias("ms"))
 
 
+# Six forms of script by page number; twelve pages in a row share an id, made of the number of their dozen.
+_UUID = "concat(substr({h}, 1, 8), '-', substr({h}, 9, 4), '-', substr({h}, 13, 4), '-', substr({h}, 17, 4), '-', substr({h}, 21, 12))"
+_SCRIPTS = [
+    """concat('{"id":"', u, '","update_time":', 1700000000000 + page_id * 1000, '}')""",
+    """concat('[{"list":[{"conversationId":"/c/', upper(u), '","updated_at":"2024-05-', 10 + page_id % 20, 'T10:00:00Z"}]}, {"id":"x","update_time":1}]')""",
+    """concat('{"id":"","uuid":"', u, '","update_time":null,"modifyTime":', 1600000000 + page_id, ',"created_at":1730000000}')""",
+    """concat('{"id":7,"conversation_id":"', u, '","create_time":1734000000}')""",
+    """concat('{"a":{"a":{"a":{"a":{"a":{"a":{"a":{"id":"', u, '","update_time":1734000000}}}}}}}}')""",
+    """concat('{"id":"', u, '","update_time":1734000000')""",
+]
+
+
+@query("a12_embedded_json", sql=f"""
+  WITH p AS (SELECT page_id, md5(CAST(page_id // 12 AS VARCHAR)) AS h FROM pages WHERE page_id IS NOT NULL)
+  SELECT {_UUID.format(h='h')} AS id, CAST(max(CASE page_id % 6 WHEN 0 THEN 1700000000000 + page_id * 1000 WHEN 1 THEN epoch_ms(make_timestamp(2024, 5, 10 + page_id % 20, 10, 0, 0.0)) ELSE (1600000000 + page_id) * 1000 END) AS BIGINT) AS ms
+  FROM p WHERE page_id % 6 < 3 GROUP BY 1""")
+def embedded_json(spark, sf_dir):
+    rows = model.load(spark, sf_dir, "pages").withColumn("u", F.expr(_UUID.format(h="md5(cast(page_id div 12 as string))")))
+    body = F.expr("case page_id % 6 " + " ".join(f"when {i} then {script}" for i, script in enumerate(_SCRIPTS)) + " end")
+    html = F.concat("html", F.lit('<script type="application/json">'), body, F.lit("</script>"))
+    return embedded.embedded_times(embedded.json_scripts(rows.select("page_id", html.alias("html"))), NOW)
+
+
 # --- images -------------------------------------------------------------------------
 
 _IMG = """SELECT CASE WHEN doc_id % 31 = 0 THEN 'zz' ELSE '' END || {conv} || ':' || {turn} AS message_id, doc_id % 27 - 1 AS idx, {conv} AS conversation_id,

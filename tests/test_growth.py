@@ -1,0 +1,19 @@
+"""Steps that once grew faster than their input, and inputs that only larger tables hold."""
+
+import duckdb
+
+from threadloom.streaming import rules
+
+
+def test_visit_pairs_meet_by_minute(spark):
+    """Pairs up to a minute apart across minute borders, and a join key that holds the minute."""
+    seconds = [0, 1, 59, 60, 61, 119, 120, 180, 181, 3600]
+    rows = spark.createDataFrame([(i, s, i % 2) for i, s in enumerate(s for s in seconds for _ in range(2))], "id INT, s INT, origin INT")
+    homes = rows.selectExpr("id as home_id", "timestamp_seconds(s) as home_at", "1 as tab", "origin")
+    visits = rows.selectExpr("id as visit_id", "timestamp_seconds(s) as visit_at", "1 as tab_v", "origin as origin_v")
+    pairs = rules.visit_pairs(homes, visits)
+    facts = [(r.id, r.s, r.origin) for r in rows.collect()]
+    want = sorted((h, v) for h, hs, ho in facts for v, vs, vo in facts if ho == vo and 0 <= hs - vs <= 60)
+    assert sorted((r.home_id, r.visit_id) for r in pairs.collect()) == want
+    join = next(n for n in pairs._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in n)
+    assert "minute" in join

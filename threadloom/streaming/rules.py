@@ -130,11 +130,15 @@ def visit_pairs(homes: DataFrame, visits: DataFrame) -> DataFrame:
     """Home observations with every visit of the same tab and origin in the minute before.
 
     ``homes``: home_id, home_at, tab, origin. ``visits``: visit_id, visit_at, tab_v, origin_v.
-    Both sides carry watermarks, so the join keeps one minute of visits.
+    Both sides carry watermarks, so the join keeps one minute of visits. The minute is part of its key, and a home
+    observation asks for its own and the one before, so that a tab is not compared with its whole history in a batch.
     """
-    same = (F.col("tab") == F.col("tab_v")) & (F.col("origin") == F.col("origin_v"))
+    minute = lambda at: F.floor(F.unix_millis(at) / VISIT_MS)
+    homes = homes.withColumn("minute", F.explode(F.array(minute("home_at"), minute("home_at") - 1)))
+    visits = visits.withColumn("minute_v", minute("visit_at"))
+    same = (F.col("tab") == F.col("tab_v")) & (F.col("origin") == F.col("origin_v")) & (F.col("minute") == F.col("minute_v"))
     near = (F.col("home_at") >= F.col("visit_at")) & (F.col("home_at") <= F.col("visit_at") + F.expr(f"INTERVAL {VISIT_MS // 1000} SECONDS"))
-    return homes.join(visits, same & near)
+    return homes.join(visits, same & near).drop("minute", "minute_v")
 
 
 def latest_visit(pairs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import duckdb
 
 from threadloom.plans import load_all
+from threadloom.sources import capture
 from threadloom.streaming import rules
 
 QUERIES, ORACLES = load_all()
@@ -39,3 +40,13 @@ def test_queue_holds_every_listed_link(spark, tmp_path):
     assert sorted((tuple(r[n] for n in named) for r in got), key=repr) == sorted((r[:7] for r in want), key=repr)
     settled = {(r[0], r[8]) for r in want if r[7] == 1}
     assert settled <= {(r.id, r.pos) for r in got}
+
+
+def test_equal_links_are_held_once(spark):
+    """A link with a number of copies counts as that many; unsafe links and counts below one do not."""
+    url = "https://claude.ai/chat/11111111-2222-3333-4444-555555555555"
+    links = [(url, "17", "x", "1000000"), (url, None, None, None), ("http://evil.example/x", "1", "1", "5"), (url, "1", "1", "0")]
+    rows = spark.createDataFrame([(1, None, url, "t", "2", links), (2, None, None, None, None, None)], capture.OBSERVATION_SCHEMA)
+    got = {r.tab_id: r for r in capture.clean_observations(rows, "claude").collect()}
+    assert (got[1].n_links, len(got[1].links)) == (1000001, 2)
+    assert (got[2].n_links, len(got[2].links)) == (0, 0)

@@ -218,12 +218,12 @@ def upsert_sink(spark, sf_dir):
 def observation_stream(spark, sf_dir):
     path = _folder(spark, "probes")
     url = F.expr("concat('https://claude.ai/chat/', left(md5(url), 8), '-', substr(md5(url), 9, 4), '-', substr(md5(url), 13, 4), '-', substr(md5(url), 17, 4), '-', substr(md5(url), 21, 12), '?x')")
-    link = F.struct(F.when(F.col("page_id") % 2 == 0, url).otherwise(F.col("url")).alias("url"), F.lit("17").alias("updated_ms"), F.lit("x").alias("message_count"))
+    link = F.struct(F.when(F.col("page_id") % 2 == 0, url).otherwise(F.col("url")).alias("url"), F.lit("17").alias("updated_ms"), F.lit("x").alias("message_count"), F.col("page_id").cast("string").alias("copies"))
     model.load(spark, sf_dir, "pages").select(
         F.col("page_id").alias("tab_id"), F.timestamp_millis(F.lit(START)).alias("at"), "url", F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "html").alias("title"),
-        F.expr("cast(page_id % 7 - 3 as string)").alias("message_count"), F.array_repeat(link, F.col("page_id").cast("int")).alias("links")).write.json(path)
+        F.expr("cast(page_id % 7 - 3 as string)").alias("message_count"), F.array(link).alias("links")).write.json(path)
     rows = capture.clean_observations(spark.readStream.schema(capture.OBSERVATION_SCHEMA).json(path), "claude")
-    return _drain(spark, rows).select("tab_id", "title", "message_count", F.size("links").alias("n_links"))
+    return _drain(spark, rows).select("tab_id", "title", "message_count", "n_links")
 
 
 @query("f04_health_rows", sql="""

@@ -19,7 +19,7 @@ CAPTURE_SCHEMA = (
 )
 OBSERVATION_SCHEMA = (
     "tab_id BIGINT, at TIMESTAMP, url STRING, title STRING, message_count STRING, "
-    "links ARRAY<STRUCT<url: STRING, updated_ms: STRING, message_count: STRING>>"
+    "links ARRAY<STRUCT<url: STRING, updated_ms: STRING, message_count: STRING, copies: STRING>>"
 )
 
 
@@ -83,14 +83,15 @@ def fit_health(rows: DataFrame) -> DataFrame:
 
 
 def clean_observations(rows: DataFrame, platform: str) -> DataFrame:
-    """Page probes with safe links only and counts from 0."""
+    """Page probes with safe links only and counts from 0; a link may stand for several equal ones, ``copies`` says how many (1 if missing)."""
     safe = F.filter(
         F.transform(F.coalesce("links", F.array()), lambda l: F.struct(
-            links.canonical_url(l["url"], F.lit(platform)).alias("url"), l["updated_ms"].try_cast("bigint").alias("updated_ms"), l["message_count"].try_cast("bigint").alias("message_count"))),
-        lambda l: l["url"] != "",
+            links.canonical_url(l["url"], F.lit(platform)).alias("url"), l["updated_ms"].try_cast("bigint").alias("updated_ms"), l["message_count"].try_cast("bigint").alias("message_count"),
+            F.coalesce(l["copies"].try_cast("bigint"), F.lit(1)).alias("copies"))),
+        lambda l: (l["url"] != "") & (l["copies"] > 0),
     )
     return rows.select(
         "tab_id", "at", F.coalesce("url", F.lit("")).alias("href"), F.coalesce("title", F.lit("")).alias("title"),
         F.greatest(F.floor(F.coalesce(F.col("message_count").try_cast("double"), F.lit(0.0))), F.lit(0)).alias("message_count"),
-        safe.alias("links"),
+        safe.alias("links"), F.aggregate(safe, F.lit(0).cast("bigint"), lambda n, l: n + l["copies"]).alias("n_links"),
     )

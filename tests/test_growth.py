@@ -50,3 +50,21 @@ def test_equal_links_are_held_once(spark):
     got = {r.tab_id: r for r in capture.clean_observations(rows, "claude").collect()}
     assert (got[1].n_links, len(got[1].links)) == (1000001, 2)
     assert (got[2].n_links, len(got[2].links)) == (0, 0)
+
+
+def test_baselines_share_slots_of_state(spark, tmp_path):
+    """Later micro-batches keep the first one's baseline, nulls too, and state has no more rows than slots."""
+    schema = "event_id BIGINT, at_ms BIGINT, conversation BIGINT, capture BIGINT, tail STRING, message_count BIGINT"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(2):
+        rows = [(part * 1000 + i, 5000 - part * 1000 - i, i % 3, i // 5, f"t{part}-{i}", None if i % 4 == 0 else i) for i in range(200)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        query = rules.capture_baselines(stream, 7).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.lastProgress.stateOperators[0].numRowsTotal <= 7
+    first = {}
+    for i in range(200):
+        first[i % 3, i // 5] = (f"t0-{i}", None if i % 4 == 0 else i)
+    want = sorted((part * 1000 + i, *first[i % 3, i // 5]) for part in range(2) for i in range(200))
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/rows").select("event_id", "baseline_tail", "baseline_count").collect()) == want

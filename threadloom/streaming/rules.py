@@ -22,6 +22,7 @@ HEARTBEAT_MS = 60000
 VISIT_MS = 60000
 EVIDENCE_GAP_MS, EVIDENCE_STEP_MS, EVIDENCE_COUNT = 6000, 1000, 3
 EMPTY_LIMIT = 3
+BASELINE_SLOTS = 1024
 # ----------------------------------------------------------------------------------
 
 
@@ -172,15 +173,30 @@ def stream_clocks(observations: DataFrame, now_ms: int) -> DataFrame:
     return clock.merged_clocks(observations, now_ms)
 
 
-def _baseline_step(held, row):
-    held = held or (row.tail, row.message_count)
-    return held, (row.event_id, held[0], held[1])
+def capture_baselines(chunks: DataFrame, slots: int = BASELINE_SLOTS) -> DataFrame:
+    """The first row of a capture fixes tail and count for its later chunks.
 
-
-def capture_baselines(chunks: DataFrame) -> DataFrame:
-    """The first row of a capture fixes tail and count for its later chunks."""
-    return keyed_rule(
-        chunks, ["conversation", "capture"], _baseline_step, "event_id BIGINT, baseline_tail STRING, baseline_count BIGINT", "tail STRING, message_count BIGINT"
+    Captures are many and short, so they share ``slots`` keys of state: a slot keeps the baselines of its captures in
+    arrays and a micro-batch settles all of them at once.
+    """
+    names, held = ["conversation", "capture"], ["conversation", "capture", "tail", "message_count"]
+    types = dict(chunks.dtypes)
+
+    def run(key: tuple, parts, store: GroupState):
+        batch = pd.concat(list(parts), ignore_index=True).sort_values(["at_ms", "event_id"], kind="stable").astype({"message_count": "Int64"})
+        first = batch.drop_duplicates(names)[held]
+        if store.exists:
+            known = pd.DataFrame(dict(zip(held, store.get))).astype(first.dtypes.to_dict())
+            first = pd.concat([known, first], ignore_index=True).drop_duplicates(names)
+        store.update(tuple([None if pd.isna(v) else v for v in first[c].tolist()] for c in held))
+        made = batch[["event_id", *names]].merge(first, on=names)
+        yield made[["event_id", "tail", "message_count"]].set_axis(["event_id", "baseline_tail", "baseline_count"], axis=1)
+
+    slot = F.pmod(F.xxhash64(*names), F.lit(slots)).alias("slot")
+    rows = chunks.select("event_id", "at_ms", *held, slot)
+    state = ", ".join(f"{c} ARRAY<{types[c]}>" for c in held)
+    return rows.groupBy("slot").applyInPandasWithState(
+        run, "event_id BIGINT, baseline_tail STRING, baseline_count BIGINT", state, "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -68,3 +68,18 @@ def test_baselines_share_slots_of_state(spark, tmp_path):
         first[i % 3, i // 5] = (f"t0-{i}", None if i % 4 == 0 else i)
     want = sorted((part * 1000 + i, *first[i % 3, i // 5]) for part in range(2) for i in range(200))
     assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/rows").select("event_id", "baseline_tail", "baseline_count").collect()) == want
+
+
+def test_postings_leave_in_parts():
+    """One Arrow batch of many texts comes out as several, each little more than the limit, with nothing lost."""
+    import pyarrow as pa
+
+    from threadloom.functions import text as tx
+
+    texts = [" ".join(f"w{i % 50}x{j}" for j in range(3000)) for i in range(100)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"id": [str(i) for i in range(102)], "text": texts})
+    out = list(tx.posting_rows(["id"])([batch]))
+    sizes = [len(b.column("positions").flatten()) for b in out]
+    assert max(sizes) <= tx.PLACES_AT_ONCE + 9000 and len(out) > 1
+    want = sorted((t, str(i), p) for i, text in enumerate(texts) for t, p in tx._grouped(tx.fold(text)))
+    assert sorted((r["token"], r["id"], r["positions"]) for b in out for r in b.to_pylist()) == want

@@ -52,6 +52,18 @@ SPAN = T.ArrayType(
     T.StructType([T.StructField("token", T.StringType()), T.StructField("start", T.IntegerType())])
 )
 
+# Texts that an Arrow function takes into Python at a time, and positions after which postings are handed on: an Arrow
+# batch may hold ten thousand whole texts, whose tokens as Python objects are many times as large.
+TEXTS_AT_ONCE = 64
+PLACES_AT_ONCE = 100_000
+
+
+def _in_parts(texts: pa.Array, build) -> pa.Array:
+    """``build`` (list of values -> array) over a few texts at a time."""
+    starts = range(0, max(1, len(texts)), TEXTS_AT_ONCE)
+    return pa.concat_arrays([build(texts.slice(i, TEXTS_AT_ONCE).to_pylist()) for i in starts])
+
+
 def fold(text: str) -> str:
     """Driver-side twin of :func:`normalise` for literals."""
     return unicodedata.normalize("NFKC", (text or "").lower())
@@ -61,21 +73,24 @@ def fold(text: str) -> str:
 def _nfkc(texts: pa.Array) -> pa.Array:
     if texts.null_count == len(texts):
         return texts
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+    return _in_parts(texts, lambda part: pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in part], pa.string()))
 
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("norm", T.IntegerType()), T.StructField("shown", T.IntegerType())])))
 def cluster_ends(clusters: pa.Array) -> pa.Array:
     """For each grapheme cluster where it ends in the normalised and in the shown text."""
-    out = []
-    for row in clusters.to_pylist():
-        norm = shown = 0
-        ends = None if row is None else []
-        for cluster in row or ():
-            norm, shown = norm + len(fold(cluster)), shown + len(cluster)
-            ends.append({"norm": norm, "shown": shown})
-        out.append(ends)
-    return pa.array(out, pa.list_(pa.struct([("norm", pa.int32()), ("shown", pa.int32())])))
+    def ends_of(rows: list) -> pa.Array:
+        out = []
+        for row in rows:
+            norm = shown = 0
+            ends = None if row is None else []
+            for cluster in row or ():
+                norm, shown = norm + len(fold(cluster)), shown + len(cluster)
+                ends.append({"norm": norm, "shown": shown})
+            out.append(ends)
+        return pa.array(out, pa.list_(pa.struct([("norm", pa.int32()), ("shown", pa.int32())])))
+
+    return _in_parts(clusters, ends_of)
 
 
 def nfkc(col: Column | str) -> Column:
@@ -132,30 +147,38 @@ def _grouped(text: str, wanted: frozenset[str] | None = None) -> list[tuple[str,
 @F.arrow_udf(SPAN)
 def token_spans(texts: pa.Array) -> pa.Array:
     """Every token of a text with its start in the normalised text."""
-    return _nested([list(_spans_of(fold(t))) for t in texts.to_pylist()], _span_array)
+    return _in_parts(texts, lambda part: _nested([list(_spans_of(fold(t))) for t in part], _span_array))
 
 
 def posting_rows(keys: list[str], tokens: list[str] | None = None):
     """For ``mapInArrow``: rows of (keys..., text) as rows of (token, keys..., positions).
 
     One posting per distinct token of a text with all its starts. The keys are
-    repeated with Arrow's own ``take``, so Python only ever touches the text.
+    repeated with Arrow's own ``take``, so Python only ever touches the text. Texts are taken one
+    by one and postings handed on in parts, so memory does not grow with the batch.
     """
     wanted = None if tokens is None else frozenset(tokens)
 
+    def made(batch, owners, names, places, offsets):
+        repeat = pa.array(owners, pa.int32())
+        columns = [pa.array(names, pa.string()), *[batch.column(k).take(repeat) for k in keys]]
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int32())))
+        return pa.RecordBatch.from_arrays(columns, ["token", *keys, "positions"])
+
     def run(batches):
         for batch in batches:
             owners, names, places, offsets = [], [], [], [0]
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                for token, starts in _grouped(fold(text), wanted):
+            for row, text in enumerate(batch.column("text")):
+                for token, starts in _grouped(fold(text.as_py()), wanted):
                     owners.append(row)
                     names.append(token)
                     places.extend(starts)
                     offsets.append(len(places))
-            repeat = pa.array(owners, pa.int32())
-            columns = [pa.array(names, pa.string()), *[batch.column(k).take(repeat) for k in keys]]
-            columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, ["token", *keys, "positions"])
+                if len(places) >= PLACES_AT_ONCE:
+                    yield made(batch, owners, names, places, offsets)
+                    owners, names, places, offsets = [], [], [], [0]
+            if owners:
+                yield made(batch, owners, names, places, offsets)
 
     return run
 

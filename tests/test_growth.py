@@ -83,3 +83,17 @@ def test_postings_leave_in_parts():
     assert max(sizes) <= tx.PLACES_AT_ONCE + 9000 and len(out) > 1
     want = sorted((t, str(i), p) for i, text in enumerate(texts) for t, p in tx._grouped(tx.fold(text)))
     assert sorted((r["token"], r["id"], r["positions"]) for b in out for r in b.to_pylist()) == want
+
+
+def test_aligned_phrases_are_found_without_a_row_for_every_place(spark):
+    """A token that stands twice in the query counts at both starts; far tokens do not; places stay in their arrays."""
+    from threadloom.operators import search
+
+    postings = spark.createDataFrame(
+        [("ab", "c", "s1", "user", [0, 10, 40]), ("cd", "c", "s1", "user", [13, 43]), ("ab", "c", "s2", "user", [0, 7]), ("cd", "c", "s2", "user", [4]),
+         ("ab", "c", "s3", "user", [0]), ("ab", "c", "title", "title", [0, 6]), ("cd", "c", "title", "title", [3])],
+        "token STRING, conversation_id STRING, source STRING, role STRING, positions ARRAY<INT>")
+    spans = spark.createDataFrame([(1, 0, "ab", 0, 2), (1, 0, "cd", 3, 2), (2, 0, "ab", 0, 2), (2, 0, "ab", 30, 2)], "query_id INT, clause_no INT, token STRING, start INT, n_spans INT")
+    found = search.aligned_phrases(postings, spans)
+    assert sorted((r.query_id, r.source) for r in found.collect()) == [(1, "s1"), (2, "s1")]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -262,22 +262,22 @@ def top_sources(hits: DataFrame, value: Column, keys: list[str], k: int = HIT_CA
 
 
 def aligned_phrases(postings: DataFrame, spans: DataFrame) -> DataFrame:
-    """Sources in which all query spans stand at the same distance from each other."""
+    """Sources in which all query spans stand at the same distance from each other.
+
+    The places of a turn stay in arrays; only turns that hold every span compare them.
+    """
+    keys = ["query_id", "clause_no", "conversation_id", "source"]
     placed = (
         postings.where(F.col("source") != "title")
         .join(spans, "token")
-        .select(
-            "query_id", "clause_no", "conversation_id", "source", "n_spans",
-            F.explode("positions").alias("pos"), "start",
-        )
+        .select(*keys, "n_spans", "start", "positions")
     )
-    return (
-        placed.groupBy("query_id", "clause_no", "conversation_id", "source", (F.col("pos") - F.col("start")).alias("delta"))
-        .agg(F.count("*").alias("n"), F.max("n_spans").alias("n_spans"))
-        .where(F.col("n") == F.col("n_spans"))
-        .select("query_id", "clause_no", "conversation_id", "source")
-        .distinct()
+    shifted = F.transform("positions", lambda p: p - F.col("start"))
+    turns = placed.groupBy(*keys).agg(F.max("n_spans").alias("n_spans"), F.collect_list(shifted).alias("placed"))
+    common = F.aggregate(
+        F.slice("placed", 2, F.greatest(F.size("placed"), F.lit(1))), F.col("placed")[0], lambda a, b: F.array_intersect(a, b)
     )
+    return turns.where((F.size("placed") == F.col("n_spans")) & (F.size(common) > 0)).select(*keys)
 
 
 def title_covers(norm: Column, raw: str) -> Column:

@@ -97,3 +97,26 @@ def test_aligned_phrases_are_found_without_a_row_for_every_place(spark):
     found = search.aligned_phrases(postings, spans)
     assert sorted((r.query_id, r.source) for r in found.collect()) == [(1, "s1"), (2, "s1")]
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_literals_are_searched_before_their_edges_are_tested(spark):
+    """Patterns begin with their literal; the matches are those of the tests of both edges in any order."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from threadloom.functions import ranges
+
+    texts = ["erth 12erth xerth erth9 erth", "12" * 30 + "erth " + "7" * 48 + "erth a" + "7" * 3 + "erth", "thble xthble th9ble thxble7 th ble", "12 112 12a", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    old = {
+        ranges.token_pattern("erth"): lambda t: [m.span() for m in re.finditer("erth(?![a-z0-9])", t) if re.search(r"(?<![a-z0-9])[0-9]{0,48}\Z", t[:m.start()])],
+        ranges.token_pattern("12"): lambda t: [m.span() for m in re.finditer("(?<![0-9])12(?![0-9])", t)],
+        ranges.word_pattern("erth"): lambda t: [m.span() for m in re.finditer("(?<![a-z0-9])erth(?![a-z0-9])", t)],
+        ranges.glob_pattern("th*ble"): lambda t: [m.span() for m in re.finditer("(?<![a-z0-9])th[a-z0-9]*ble(?![a-z0-9])", t)],
+        ranges.glob_pattern("*ble"): lambda t: [m.span() for m in re.finditer("(?<![a-z0-9])[a-z0-9]*ble(?![a-z0-9])", t)],
+    }
+    for pattern, want in old.items():
+        assert not pattern.startswith("(?<") or pattern.startswith("(?<![a-z0-9])[a-z0-9]*"), pattern
+        got = {r.t: [(x["start"], x["end"]) for x in r.r] for r in rows.select("t", ranges.find_ranges(F.col("t"), pattern).alias("r")).collect()}
+        assert got == {t: want(t) for t in texts}, pattern

@@ -5,6 +5,9 @@ Offsets are those of the normalised text; ``offsets`` leads back to the stored o
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +23,8 @@ def quoted(text: str) -> str:
 
 
 def word_pattern(term: str) -> str:
-    return f"(?<![a-z0-9]){quoted(term)}(?![a-z0-9])"
+    """The literal stands first, so that a text is searched for it and only its places are tested for their edges."""
+    return f"{quoted(term)}(?<![a-z0-9]{quoted(term)})(?![a-z0-9])"
 
 
 def term_pattern(term: str) -> str:
@@ -32,7 +36,8 @@ def glob_pattern(glob: str) -> str:
     """A whole word of literal pieces with any word characters in place of each star."""
     cjk = any(ord(c) > 0x2E7F for c in glob)
     kind = f"[{tx.CJK_RUN}]" if cjk else "[a-z0-9]"
-    return f"(?<!{kind})" + f"{kind}*".join(quoted(p) if p else "" for p in glob.split("*")) + f"(?!{kind})"
+    head, *rest = [quoted(p) if p else "" for p in glob.split("*")]
+    return f"{kind}*".join([f"{head}(?<!{kind}{head})", *rest]) + f"(?!{kind})"
 
 
 def find_ranges(norm: Column, pattern: str) -> Column:
@@ -90,11 +95,12 @@ CUT_RUN = "[a-z][a-z0-9]{48}|[0-9]{25}"
 
 
 def token_pattern(token: str) -> str:
-    """A token of the index inside runs that the index does not cut."""
+    """A token of the index inside runs that the index does not cut; the literal first, the dearest test of its edges last."""
+    own = quoted(token)
     if token[0].isascii() and token[0].isalpha():
-        return f"(?<=(?<![a-z0-9])[0-9]{{0,48}}){quoted(token)}(?![a-z0-9])"
+        return f"{own}(?<![a-z]{own})(?![a-z0-9])(?<=(?<![a-z0-9])[0-9]{{0,48}}{own})"
     if token.isascii():
-        return f"(?<![0-9]){quoted(token)}(?![0-9])"
+        return f"{own}(?<![0-9]{own})(?![0-9])"
     # Two equal characters overlap with themselves, so a run of them is one range.
     return f"{quoted(token)}{quoted(token[1])}*" if len(token) == 2 and token[0] == token[1] else quoted(token)
 
@@ -102,7 +108,7 @@ def token_pattern(token: str) -> str:
 def token_ranges(norm: Column, tokens: list[str]) -> Column:
     """Ranges of all places of ``tokens``; only text that holds one of them beside a cut run leaves the JVM."""
     plain = F.flatten(F.array(*[find_ranges(norm, token_pattern(t)) for t in tokens]))
-    held = norm.rlike("|".join(quoted(t) for t in tokens))
+    held = reduce(or_, [F.contains(norm, F.lit(t)) for t in tokens])
     wanted = F.array(*[F.lit(t) for t in tokens])
     spans = F.filter(tx.token_spans(F.when(held & norm.rlike(CUT_RUN), norm)), lambda s: F.array_contains(wanted, s["token"]))
     slow = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["token"])).alias("end")))

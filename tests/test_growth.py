@@ -120,3 +120,23 @@ def test_literals_are_searched_before_their_edges_are_tested(spark):
         assert not pattern.startswith("(?<") or pattern.startswith("(?<![a-z0-9])[a-z0-9]*"), pattern
         got = {r.t: [(x["start"], x["end"]) for x in r.r] for r in rows.select("t", ranges.find_ranges(F.col("t"), pattern).alias("r")).collect()}
         assert got == {t: want(t) for t in texts}, pattern
+
+
+def test_many_ranges_of_a_long_text_lead_back_at_once(spark):
+    """30,000 wide letters and 3,000 links in one text: clusters and runs are searched, not read once for every range."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from threadloom.functions import offsets, ranges
+
+    body = "ｔｈｉｎ *of* [that](http://a.b/thin) é xx " * 3000
+    rows = spark.createDataFrame([(body,), (None,), ("plain",)], "b STRING")
+    finds = {"wide": lambda n: ranges.find_ranges(n, "thin"), "linked": lambda n: ranges.find_ranges(n, "of that")}
+    began = time.time()
+    got = {r.b: r for r in offsets.with_stored_ranges(rows, F.col("b"), finds).collect()}
+    assert time.time() - began < 60
+    cut = lambda k: {body[x["start"]:x["end"]] for x in got[body][k]}
+    assert (cut("wide"), cut("linked")) == ({"ｔｈｉｎ"}, {"of* [that"})
+    assert (len(got[body].wide), len(got[body].linked)) == (3000, 3000)
+    assert got[None].wide == [] and got["plain"].linked == []

@@ -9,14 +9,22 @@ count code points; a range of normalised text grows to whole grapheme clusters.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import markup, ranges
 from . import text as tx
 from .let import let
+from .text import fold
 
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 RUN = "STRUCT<at: INT, src: INT, n: INT, stored: BOOLEAN>"
 RUNS = f"ARRAY<{RUN}>"
 CODES = "ARRAY<STRUCT<src: INT, text: STRING>>"
@@ -154,52 +162,101 @@ def stored_place(place: Column, maps: Column) -> Column:
     return F.aggregate(F.reverse(maps), F.struct(place.cast("int").alias("at"), F.lit(False).alias("done")), back)["at"]
 
 
-def _outward(found: Column, ends: Column) -> Column:
-    """Ranges of normalised text as ranges of the shown text."""
-
-    def one(r: Column) -> Column:
-        first = F.size(F.filter(ends, lambda e: e["norm"] <= r["start"]))
-        last = F.size(F.filter(ends, lambda e: e["norm"] < r["end"]))
-        start = F.when(first == 0, 0).otherwise(F.get(ends, first - 1)["shown"])
-        return F.struct(start.alias("start"), F.get(ends, F.least(last, F.size(ends) - 1))["shown"].alias("end"))
-
-    return F.when(ends.isNull(), found).otherwise(ranges.merge_ranges(F.transform(found, one)))
-
-
-def _stored(found: Column, maps: Column) -> Column:
+def _rows_of(ranges_: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of each row's ranges, and all starts and ends; a null row has none."""
+    sizes = pc.fill_null(pc.list_value_length(ranges_), 0).to_numpy(zero_copy_only=False)
+    flat = ranges_.flatten()
+    return np.concatenate([[0], np.cumsum(sizes)]), *(flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+
+
+def _ranges_array(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    bounds = np.concatenate([[0], np.cumsum([len(starts) for starts, _ in rows])])
+    both = [np.concatenate([r[i] for r in rows]) if rows else np.zeros(0) for i in (0, 1)]
+    values = pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in both], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+
+
+@F.arrow_udf(SPANS)
+def _outward(clusters: pa.Array, found: pa.Array) -> pa.Array:
+    """Sorted ranges of normalised text as ranges of the shown text, by its grapheme clusters; overlapping or touching ones become one."""
+    bounds, starts, ends = _rows_of(found)
+    out = []
+    for row, own in enumerate(clusters):
+        a, b = starts[bounds[row]:bounds[row + 1]], ends[bounds[row]:bounds[row + 1]]
+        if own.is_valid and len(a):
+            # Each distinct cluster is folded once.
+            coded = own.values.dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            at = coded.indices.to_numpy()
+            norm, shown = (np.cumsum(np.array([len(f(w)) for w in words], np.int64)[at]) for f in (fold, str))
+            first, last = np.searchsorted(norm, a, "right"), np.searchsorted(norm, b, "left")
+            a = np.where(first == 0, 0, shown[np.maximum(first - 1, 0)])
+            b = shown[np.minimum(last, len(shown) - 1)]
+            real = b > a
+            a, b = a[real], b[real]
+            opens = np.concatenate([[True], a[1:] > b[:-1]])[:len(a)]
+            a, b = a[opens], b[np.concatenate([opens[1:], [True]])[:len(a)]]
+        out.append((a, b))
+    return _ranges_array(out)
+
+
+def _back(places: np.ndarray, maps: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """Where the characters at ``places`` of the visible text stand in the stored one; -1 if they were put in."""
+    now, going = places.copy(), np.ones(len(places), bool)
+    for at, src, n, stored in reversed(maps):
+        run = np.maximum(np.searchsorted(at, now, "right") - 1, 0)
+        inside = (at[run] <= now) & (now < at[run] + n[run]) & (src[run] >= 0)
+        now = np.where(going, np.where(inside, src[run] + now - at[run], -1), now)
+        going &= inside & ~stored[run]
+    return now
+
+
+@F.arrow_udf(SPANS)
+def _stored(found: pa.Array, maps: pa.Array) -> pa.Array:
     """Ranges of the visible text as ranges of the stored one; characters put in do not count at either end."""
-
-    def one(r: Column) -> Column:
-        # Most ranges begin and end with characters of the text, so their ends are tried first.
-        def settle(b: Column) -> Column:
-            inside = F.filter(F.transform(F.sequence(r["start"], r["end"] - 1), lambda p: stored_place(p, maps)), lambda p: p >= 0)
-            tried = let(inside, lambda x: F.struct(F.array_min(x).alias("start"), (F.array_max(x) + 1).alias("end")))
-            return F.when((b["start"] >= 0) & (b["end"] > 0), b).otherwise(tried)
-
-        return let(F.struct(stored_place(r["start"], maps).alias("start"), (stored_place(r["end"] - 1, maps) + 1).alias("end")), settle)
-
-    return F.filter(F.transform(found, one), lambda r: r["start"].isNotNull() & (r["end"] > r["start"]))
-
-
-def with_stored_ranges(df: DataFrame, text: Column, find: Callable[[Column], Column], name: str = "ranges", marked: bool = True) -> DataFrame:
-    """``df`` with ``name``: the ranges that ``find`` gives for the normalised (with ``marked`` visible) text, as offsets of ``text``."""
-    names = {x: f"_{x}_of_{name}" for x in ("shown", "norm", "found", "ends", "outer", "trace")}
-    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    bounds, starts, ends = _rows_of(found)
+    out = []
+    for row, own in enumerate(maps):
+        a, b = starts[bounds[row]:bounds[row + 1]], ends[bounds[row]:bounds[row + 1]]
+        steps = [] if not own.is_valid or not len(a) else [m.values for m in own.values if len(m.values)]
+        if steps:
+            runs = [tuple(m.field(i).to_numpy(zero_copy_only=False) for i in range(4)) for m in steps]
+            left, right = _back(a, runs), _back(b - 1, runs) + 1
+            # Most ranges begin and end with characters of the text; the others end with their first and last that are.
+            for i in np.flatnonzero((left < 0) | (right <= 0)):
+                inside = _back(np.arange(a[i], b[i]), runs)
+                inside = inside[inside >= 0]
+                left[i], right[i] = (inside.min(), inside.max() + 1) if len(inside) else (0, 0)
+            real = right > left
+            a, b = left[real], right[real]
+        out.append((a, b))
+    return _ranges_array(out)
+
+
+def with_stored_ranges(df: DataFrame, text: Column, find: Callable[[Column], Column] | dict[str, Callable[[Column], Column]], name: str = "ranges", marked: bool = True) -> DataFrame:
+    """``df`` with ``name``: the ranges that ``find`` gives for the normalised (with ``marked`` visible) text, as offsets of ``text``.
+
+    Several kinds of ranges (``find``: name -> function) share one text, its clusters and its runs. Each step back takes the
+    sorted ranges of a text at once, so its cost grows with their number, not with its product by the text's length.
+    """
+    finds = find if isinstance(find, dict) else {name: find}
+    names = {x: f"_{x}_of_{name}" for x in ("shown", "norm", "clusters", "trace")}
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in finds]
     out = df.withColumn(names["shown"], markup.visible_text(text) if marked else F.coalesce(text, F.lit("")))
     out = tx.with_normalised(out, names["norm"], F.col(names["shown"]))
     # Exploding an array of one keeps the ranges from being copied into what reads them, the next Arrow function above all.
-    out = out.select("*", F.explode(F.array(find(F.col(names["norm"])))).alias(names["found"]))
-    shown, found = F.col(names["shown"]), F.col(names["found"])
-    hit = F.size(found) > 0
+    for key, one in finds.items():
+        out = out.select("*", F.explode(F.array(one(F.col(names["norm"])))).alias(f"_found_of_{key}"))
+    shown, found = F.col(names["shown"]), {key: F.col(f"_found_of_{key}") for key in finds}
+    hit = reduce(or_, [F.size(c) > 0 for c in found.values()])
     clusters = F.when(hit & shown.rlike(tx.NFKC_TEST), F.regexp_extract_all(shown, F.lit(r"(\X)"), F.lit(1)))
-    out = out.withColumn(names["ends"], tx.cluster_ends(clusters))
-    # Bound once, the Arrow function stays outside of every lambda.
-    outer = let(F.struct(F.col(names["ends"]).alias("ends"), found.alias("found")), lambda b: _outward(b["found"], b["ends"]))
-    out = out.withColumn(names["outer"], F.when(hit, outer).otherwise(found))
-    made = F.col(names["outer"])
+    out = out.withColumn(names["clusters"], clusters)
+    for key, made in found.items():
+        out = out.withColumn(f"_outer_of_{key}", _outward(F.col(names["clusters"]), made))
     if marked:
-        out = with_trace(out, text, names["trace"], hit)
-        maps = F.col(names["trace"])["maps"]
-        made = F.when(F.size(maps) > 0, _stored(made, maps)).otherwise(made)
+        out = with_trace(out.drop(names["clusters"]), text, names["trace"], hit)
+    back = lambda c: _stored(c, F.col(names["trace"])["maps"]) if marked else c
     # Tests on the result end here too: pushed below, each would take the whole chain along.
-    return out.select(*kept, F.explode(F.array(made.cast(ranges.RANGES))).alias(name))
+    for key in finds:
+        out = out.select("*", F.explode(F.array(back(F.col(f"_outer_of_{key}")).cast(ranges.RANGES))).alias(f"_made_of_{key}"))
+    return out.select(*kept, *[F.col(f"_made_of_{key}").alias(key) for key in finds])

@@ -76,23 +76,6 @@ def _nfkc(texts: pa.Array) -> pa.Array:
     return _in_parts(texts, lambda part: pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in part], pa.string()))
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("norm", T.IntegerType()), T.StructField("shown", T.IntegerType())])))
-def cluster_ends(clusters: pa.Array) -> pa.Array:
-    """For each grapheme cluster where it ends in the normalised and in the shown text."""
-    def ends_of(rows: list) -> pa.Array:
-        out = []
-        for row in rows:
-            norm = shown = 0
-            ends = None if row is None else []
-            for cluster in row or ():
-                norm, shown = norm + len(fold(cluster)), shown + len(cluster)
-                ends.append({"norm": norm, "shown": shown})
-            out.append(ends)
-        return pa.array(out, pa.list_(pa.struct([("norm", pa.int32()), ("shown", pa.int32())])))
-
-    return _in_parts(clusters, ends_of)
-
-
 def nfkc(col: Column | str) -> Column:
     """NFKC; only text holding a character that could change crosses into Python."""
     text = F.col(col) if isinstance(col, str) else col

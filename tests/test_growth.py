@@ -140,3 +140,16 @@ def test_many_ranges_of_a_long_text_lead_back_at_once(spark):
     assert (cut("wide"), cut("linked")) == ({"ｔｈｉｎ"}, {"of* [that"})
     assert (len(got[body].wide), len(got[body].linked)) == (3000, 3000)
     assert got[None].wide == [] and got["plain"].linked == []
+
+
+def test_clause_search_reads_texts_once(spark):
+    """Titles, postings and matching turns are written before they are read several times: no text is left in the plan."""
+    from threadloom.operators import index, search
+
+    clauses = search.clauses_of(13, "tion erth -title:the") + search.clauses_of(15, '"of that" th*ble -and')
+    turns = spark.createDataFrame([("c:0", "c", "user", "tion and erth of that thimble"), ("d:0", "d", "assistant", "erth tion of that thable")], "id STRING, conversation_id STRING, role STRING, body STRING")
+    heads = spark.createDataFrame([("c", "one"), ("d", "two")], "id STRING, title STRING")
+    found = search.search_clauses(heads, turns, index.build_postings(heads, turns, ["tion", "erth", "and"]), clauses)
+    assert sorted((r.query_id, r.conversation_id) for r in found.collect()) == [(13, "c"), (13, "d"), (15, "d")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan

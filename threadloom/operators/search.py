@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions import text as tx
+from ..session import cut_lineage
 from . import index
 
 # --- fixed values -----------------------------------------------------------------
@@ -387,8 +388,11 @@ def search_plain(headers: DataFrame, postings: DataFrame, clauses: list[Clause])
     return folded.where(matched | F.col("whole")).select(*keys, rounded(score).alias("relevance"))
 
 
-def clause_matches(headers: DataFrame, messages: DataFrame, postings: DataFrame, clauses: list[Clause], use_index: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(titled, bodied): titles each clause satisfies, and turns with their share of it."""
+def clause_matches(headers: DataFrame, messages: DataFrame, postings: DataFrame, clauses: list[Clause], use_index: bool = False, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(titled, bodied): titles each clause satisfies, and turns with their share of it.
+
+    ``found``: postings of the clauses' tokens, where they were looked up before.
+    """
     spark = headers.sparkSession
     titled = title_matches(headers, clauses).withColumn("titled", F.lit(True))
     wordy = [c for c in clauses if c.kind == "words" and c.tokens and not c.title_only]
@@ -396,7 +400,7 @@ def clause_matches(headers: DataFrame, messages: DataFrame, postings: DataFrame,
     empty = spark.createDataFrame([], "query_id INT, clause_no INT, conversation_id STRING, source STRING, weight INT, share DOUBLE")
     shares = exact = empty
     if wordy:
-        found = index.lookup(postings, sorted({t for c in wordy for t in c.tokens}))
+        found = index.lookup(postings, sorted({t for c in wordy for t in c.tokens})) if found is None else found
         shares = source_hits(found, token_frame(spark, wordy)).select(
             "query_id", "clause_no", "conversation_id", "source", "weight",
             (F.col("found") / F.col("n_tokens")).alias("share"),
@@ -411,8 +415,13 @@ def clause_matches(headers: DataFrame, messages: DataFrame, postings: DataFrame,
 
 
 def search_clauses(headers: DataFrame, messages: DataFrame, postings: DataFrame, clauses: list[Clause], use_index: bool = False) -> DataFrame:
-    """Clause queries: every positive clause must match somewhere, no excluded one may."""
+    """Clause queries: every positive clause must match somewhere, no excluded one may.
+
+    Titles, postings of the asked tokens and matching turns are read several times, so they are written first; all are
+    short rows, and the texts behind them are read once.
+    """
     spark = headers.sparkSession
+    headers = cut_lineage(headers.select("id", "title"))
     keys = ["query_id", "conversation_id"]
     wordy = [c for c in clauses if c.kind == "words" and c.tokens and not c.title_only]
     literal = {(c.query_id, c.clause_no) for c in clauses if not c.title_only} - {(c.query_id, c.clause_no) for c in wordy}
@@ -424,8 +433,9 @@ def search_clauses(headers: DataFrame, messages: DataFrame, postings: DataFrame,
         ],
         "query_id INT, clause_no INT, kind STRING, exclude BOOLEAN, literal BOOLEAN, positives INT",
     )
-    titled, bodied = clause_matches(headers, messages, postings, clauses, use_index)
-    bodied = bodied.join(facts, ["query_id", "clause_no"])
+    found = cut_lineage(index.lookup(postings, sorted({t for c in wordy for t in c.tokens}))) if wordy else None
+    titled, bodied = clause_matches(headers, messages, postings, clauses, use_index, found)
+    bodied = cut_lineage(bodied).join(facts, ["query_id", "clause_no"])
     names = ["query_id", "clause_no", "conversation_id"]
     none = F.lit(False)
     flagged = lambda rows, name: rows.select(*names, *((F.lit(True) if n == name else none).alias(n) for n in ("in_title", "matched", "worded")))
@@ -433,7 +443,6 @@ def search_clauses(headers: DataFrame, messages: DataFrame, postings: DataFrame,
     if literal:
         seen = seen.unionByName(flagged(bodied.where("literal"), "matched"))
     if wordy:
-        found = index.lookup(postings, sorted({t for c in wordy for t in c.tokens}))
         whole = whole_title_matches(headers, wordy).select(*names).unionByName(aligned_phrases(found, span_frame(spark, wordy)).select(*names))
         seen = seen.unionByName(flagged(and_matches(found, token_frame(spark, wordy)), "matched")).unionByName(flagged(whole, "worded"))
     seen = (

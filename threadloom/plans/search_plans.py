@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import markup
 from ..functions import text as tx
 from ..operators import index, search, sorting, stored
+from ..session import cut_lineage
 from ..sources import model
 from .registry import query, with_ctes
 from .sqltext import OCC, SRC, STOP, TOK, occurrences, values, visible, whole
@@ -365,8 +366,9 @@ def _accepted_sql(*ids):
 
 def _clause_search(spark, sf_dir, *ids):
     clauses = _claused(*ids)
-    heads, turns, postings = _index(spark, sf_dir, tokens=_wanted(clauses))
-    return search.search_clauses(heads, turns, postings, clauses)
+    heads, turns = _frames(spark, sf_dir)
+    heads = cut_lineage(heads.select("id", "title"))
+    return search.search_clauses(heads, turns, index.build_postings(heads, turns, _wanted(clauses)), clauses)
 
 
 @query("j06_exclude", sql=_accepted_sql(13, 16))

@@ -153,3 +153,15 @@ def test_clause_search_reads_texts_once(spark):
     assert sorted((r.query_id, r.conversation_id) for r in found.collect()) == [(13, "c"), (13, "d"), (15, "d")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_rekeyed_turns_make_their_stamps_once(spark):
+    """Stamps of whole bodies are written with thin rows; the plan that reads them many times has none left to make."""
+    from threadloom.operators import align
+
+    kind = "conversation_id STRING, idx BIGINT, id STRING, role STRING, body STRING, turn_id STRING"
+    stored = spark.createDataFrame([("c", 0, "s0", "user", "alpha", None), ("c", 1, "s1", "assistant", "beta " * 8, "t1"), ("c", 2, "s2", "user", "beta", None)], kind)
+    page = spark.createDataFrame([("c", 0, "p0", "user", "alpha", None), ("c", 1, "p1", "assistant", "beta " * 9, "t1"), ("c", 2, "p2", "user", "gamma", None)], kind)
+    found = align.rekeyed_turns(stored, page)
+    assert sorted(tuple(r) for r in found.collect()) == [("c", "p0", "s0"), ("c", "p1", "s1")]
+    assert "md5(" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -116,10 +116,11 @@ def rekeyed_turns(stored: DataFrame, page: DataFrame) -> DataFrame:
     Stamps that repeat often are counted by correlation of their positions, so their pairs
     are never written out.
     """
-    shape = lambda f, stamp=True: f.select(
+    shape = lambda f: f.select(
         "conversation_id", "idx", "id", "role", "body", F.coalesce("turn_id", F.lit("")).alias("turn_id"), F.col("id").rlike(identity.SYNTHETIC_ID).alias("synthetic"),
         F.md5(identity.turn_stamp(F.col("role"), F.col("body"))).alias("stamp"), (markup.turn_text("body") == "").alias("blank"))
-    s, p = shape(stored), shape(page)
+    # Read many times, so written once without their bodies, which only the last join needs.
+    s, p = (cut_lineage(shape(f).drop("body")) for f in (stored, page))
     known = s.select("conversation_id", "id").join(p.select("conversation_id", "id"), ["conversation_id", "id"], "left_semi")
     s_free, p_free = s.join(known, ["conversation_id", "id"], "left_anti"), p.join(known, ["conversation_id", "id"], "left_anti")
     lasts = s.groupBy("conversation_id").agg(F.max("idx").alias("last_idx"))
@@ -157,10 +158,11 @@ def rekeyed_turns(stored: DataFrame, page: DataFrame) -> DataFrame:
 
     done = aligned.select("conversation_id", F.col("page_id").alias("id"))
     used = aligned.select("conversation_id", F.col("stored_id").alias("id"))
-    rest_p = p_free.join(done, ["conversation_id", "id"], "left_anti")
-    rest_s = s_free.join(used, ["conversation_id", "id"], "left_anti").select(*[F.col(c).alias(f"s_{c}") for c in s_free.columns])
+    texts = lambda f, gone: f.where("turn_id <> ''").select("conversation_id", "idx", "id", "role", "body", "turn_id").join(known.unionByName(gone), ["conversation_id", "id"], "left_anti")
+    rest_p, rest_s = texts(page, done), texts(stored, used)
+    rest_s = rest_s.select(*[F.col(c).alias(f"s_{c}") for c in rest_s.columns])
     at = (F.col("conversation_id") == F.col("s_conversation_id")) & (F.col("idx") == F.col("s_idx")) & (identity.canonical_role(F.col("role")) == identity.canonical_role(F.col("s_role")))
-    same = (F.col("turn_id") != "") & (F.col("turn_id") == F.col("s_turn_id"))
+    same = F.col("turn_id") == F.col("s_turn_id")
     grown = identity.grows(F.col("s_body"), F.col("body")) | identity.shrinks(F.col("s_body"), F.col("body"))
     followed = rest_p.join(rest_s, at).where(same & grown).select("conversation_id", F.col("id").alias("page_id"), F.col("s_id").alias("stored_id"))
     return aligned.unionByName(followed)

@@ -165,3 +165,16 @@ def test_rekeyed_turns_make_their_stamps_once(spark):
     found = align.rekeyed_turns(stored, page)
     assert sorted(tuple(r) for r in found.collect()) == [("c", "p0", "s0"), ("c", "p1", "s1")]
     assert "md5(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_flat_steps_run_only_on_marks():
+    """A text without ``FLAT_MARKS`` has nothing that one of the steps could change."""
+    import itertools
+    import re
+
+    from threadloom.functions import markup
+
+    for parts in itertools.product(["", " ", "a"], ["`", "```", "|", "#", "##", "-", "--", "---", "|-|", ":---|", "**", "***", "__", "___", "a"], ["", " ", "|"]):
+        text = "".join(parts)
+        if not re.search(markup.FLAT_MARKS, text):
+            assert not any(re.search(pattern, text) for pattern, _ in markup.FLAT_STEPS), text

@@ -53,6 +53,7 @@ def visible_text(body: Column | str) -> Column:
     return F.when(raw.rlike(MARKS), shown).otherwise(raw)
 
 
+FLAT_MARKS = r"[`|#]|---|\*\*\*|___"
 FLAT_STEPS = [
     (r"`{3,}", " "),
     (r"(^|\s)\|?(?:\s*:?-{3,}:?\s*\|)+(?:\s*:?-{3,}:?\s*\|?)?", "$1"),
@@ -69,7 +70,8 @@ def idle_text(excerpt: Column | str) -> Column:
     stripped = flat
     for pattern, replacement in FLAT_STEPS:
         stripped = F.regexp_replace(stripped, pattern, replacement)
-    return F.when(F.contains(source, F.lit("\n")), flat).otherwise(tx.flatten_spaces(stripped))
+    # Most texts hold no mark that a step could take away.
+    return F.when(F.contains(source, F.lit("\n")) | ~flat.rlike(FLAT_MARKS), flat).otherwise(tx.flatten_spaces(stripped))
 
 
 def turn_text(body: Column | str) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +29,10 @@ def with_ranges(messages: DataFrame, query: str) -> DataFrame:
     A cheap test on the body drops the others before any range is computed.
     """
     terms = [tx.fold(t) for t in query.split()]
-    maybe = F.lower("body").rlike("|".join([*(ranges.quoted(t) for t in terms), tx.NFKC_TEST])) | F.col("body").rlike(markup.MARKS)
-    rows = messages.where(maybe).withColumn("flat", markup.idle_text("body"))
+    low = F.lower("body")
+    maybe = reduce(or_, [F.contains(low, F.lit(t)) for t in terms], low.rlike(tx.NFKC_TEST) | F.col("body").rlike(markup.MARKS))
+    # Exploding an array of one keeps the flat text from being copied into all that reads it.
+    rows = messages.where(maybe).select("*", F.explode(F.array(markup.idle_text("body"))).alias("flat"))
     rows = tx.with_normalised(rows, "norm", F.col("flat"))
     rows = rows.withColumn("ranges", ranges.term_ranges(F.col("norm"), query)).drop("norm")
     return rows.where(F.size("ranges") > 0)

@@ -43,3 +43,23 @@ def test_clauses_of_a_table_are_those_of_the_driver(spark):
         queries = search.Queries({i: raw})
         want = [(c.clause_no, c.kind, c.folded, c.title_only, c.exclude, sorted(c.tokens)) for c in queries.clauses or queries.plain if c.value]
         assert sorted(got.get(i, [])) == sorted(want), raw
+
+
+def test_texts_are_neither_moved_nor_read_for_every_clause(spark, monkeypatch):
+    """Clauses meet the grams of a text where it stands; parts of the clause table, and texts without an index, give the same rows."""
+    rng = random.Random(12)
+    headers, messages = library(spark, rng)
+    messages = messages.unionByName(spark.createDataFrame([("c1:9", "c1", "user", "a々b 々 c++\n\tx, naïve\u2028end It’s C™ 相a2機")], messages.schema))
+    forms = ['" {0}"', '"{0} "', '"{0}" -" {1} "', "{0}*{1}*{2}", "*{0}*{1}", "title:*{0}", '"{0} {1} {2}"', '"{0}"', "title:{0} -{1}*", "-*{0} {1}"]
+    saved = {i: rng.choice(forms).format(*(rng.choice(WORDS) for _ in range(3))) for i in range(80)}
+    saved |= {100: '"々"', 101: '"々b"', 102: '"+\n\tx"', 103: '"x, na"', 104: '"e e"', 105: "c+* blue", 106: "*m*", 107: '"a2機"', 108: '"相a"', 109: "々* a", 110: "t*", 111: "*ve", 112: '"e\u2028e"', 113: '"t’s c"'}
+    want = {(r.query_id, r.conversation_id) for r in search.search(headers, messages, index.build_postings(headers, messages), saved).select("query_id", "conversation_id").collect()}
+    table = spark.createDataFrame(list(saved.items()), "query_id long, raw string")
+    found = lambda: [tuple(r) for r in stored.matches(headers, messages, None, table).collect()]
+    got = found()
+    assert len(got) == len(set(got)) and {(q, saved[q], c) for q, c in set(got) ^ want} == set()
+    held = stored.held_in_texts(stored.texts_of(headers, messages).localCheckpoint(), stored.stored_clauses(table))
+    plan = held._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == plan.count("BroadcastHashJoin") == 1 and "SortMerge" not in plan
+    monkeypatch.setattr(stored, "CLAUSES_AT_ONCE", 40)
+    assert sorted(found()) == sorted(got)

@@ -43,6 +43,7 @@ NFKC_STABLE = (
 )
 # The intersection lets ASCII leave after one comparison.
 NFKC_TEST = rf"[\x{{80}}-\x{{10FFFF}}&&[^{NFKC_STABLE}]]"
+CJK_TEST = rf"[\x{{80}}-\x{{FFFF}}&&[{CJK_RUN}]]"
 
 _word = re.compile(f"{WORD}")
 _number = re.compile(f"{NUMBER}")
@@ -188,7 +189,7 @@ def distinct_tokens(normalised: Column | str) -> Column:
         F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1)),
     )
     return F.array_distinct(
-        F.when(text.rlike(f"[{CJK_RUN}]"), F.concat(latin, grams)).otherwise(latin)
+        F.when(text.rlike(CJK_TEST), F.concat(latin, grams)).otherwise(latin)
     )
 
 

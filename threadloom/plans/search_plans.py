@@ -495,7 +495,7 @@ _STORED = r"""
   SELECT query_id, conversation_id FROM bm GROUP BY query_id, conversation_id
   HAVING count(*) FILTER (NOT no) = (SELECT count(*) FROM bc c WHERE c.query_id = bm.query_id AND NOT c.no) AND count(*) FILTER (no) = 0"""))
 def stored_clause_table(spark, sf_dir):
-    headers, messages, postings = _index(spark, sf_dir)
+    headers, messages = _frames(spark, sf_dir)
     w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,12})"), F.lit(1))
     rows = model.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), w.alias("w"))
     first, second, third, fourth = (F.get("w", F.lit(i)) for i in range(4))
@@ -506,7 +506,7 @@ def stored_clause_table(spark, sf_dir):
         .when(F.col("query_id") % 5 == 3, F.concat(F.lit("*"), F.left(first, F.lit(3)), F.lit("* -title:"), F.left(second, F.lit(1)), F.lit("*"), F.right(second, F.lit(1))))
         .otherwise(F.concat(first, F.lit(' -title:"'), second, F.lit('"')))
     )
-    return stored.matches(headers, messages, postings, rows.select("query_id", raw.alias("raw")))
+    return stored.matches(headers, messages, None, rows.select("query_id", raw.alias("raw")))
 
 
 @query("o09_snippet_tokens", sql=with_ctes(_BQ, body="""

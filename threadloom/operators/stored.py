@@ -113,7 +113,7 @@ def _held_in(texts: DataFrame, clauses: DataFrame) -> DataFrame:
     rows = texts.withColumn("flat", F.concat(F.lit(" "), _apart(F.col("norm")), F.lit(" ")))
     grams = F.array_distinct(F.regexp_extract_all("flat", F.lit("(?=(.[^ ].))"), F.lit(1)))
     near = rows.select("*", F.explode(F.array_append(grams, F.lit(""))).alias("gram")).join(F.broadcast(clauses), ["gram", "titled"])
-    anchor = F.contains("flat", F.col("anchor"))
+    anchor = (F.length("anchor") == GRAM) | F.contains("flat", F.col("anchor"))  # an anchor of that length is its gram
     said = F.when(F.col("kind") == "phrase", F.contains("norm", F.col("value"))).otherwise(tx.contains_whole(F.col("norm"), F.col("value")))
     fits = F.when(~F.col("by_anchor"), said).when(F.col("pattern").isNull(), anchor).otherwise(anchor & F.regexp_like("flat", F.col("pattern")))
     return near.where(fits).select(*_KEYS, "conversation_id")

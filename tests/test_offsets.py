@@ -78,3 +78,33 @@ def test_token_ranges_equal_the_tokeniser(spark):
                 else:
                     want.append([s, s + len(t)])
             assert [[x.start, x.end] for x in r[f"r{i}"]] == want, (token, r.t)
+
+
+def test_folded_blanks_of_plain_text_lead_back(spark):
+    bodies = [*BODIES, "of  that", " \t of \t that  \n\n  of that ", "plain  text  é ﬁ  of   that", "of\tthat"]
+    frame = spark.createDataFrame([(b,) for b in bodies], "body string")
+    traced = offsets.with_trace(frame, F.col("body"), "t", folded=True)
+    for r in traced.select("body", "t.text", markup.visible_text("body", folded=True).alias("shown")).collect():
+        assert r.text == r.shown, r.body
+    finds = {"apart": lambda norm: ranges.find_ranges(norm, "of that")}
+    out = offsets.with_stored_ranges(frame, F.col("body"), finds, folded=True)
+    got = {r.body: [r.body[x.start : x.end] for x in r.apart] for r in out.collect()}
+    want = {"of  that": ["of  that"], " \t of \t that  \n\n  of that ": ["of \t that", "of that"], "plain  text  é ﬁ  of   that": ["of   that"]}
+    assert got == {b: want.get(b, []) for b in bodies}
+
+
+def test_stored_ranges_equal_their_sql_on_plain_and_touching_text(spark, tmp_path):
+    """Blanks left by dropped marks in a body without other marks; matches that touch, beside wide letters or not."""
+    import duckdb
+    from oracle import compare
+
+    from threadloom.plans import load_all
+
+    texts = ["Of | thattheaingor ens", "h | thinha of  that", "of # that erth", "of thatof that x", "of  thatof that x thin é", "erth of that of thatOF THAT", "a thin b 12thin xthin", "of\tthat", "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    queries, oracles = load_all()
+    n, problem = compare(spark, con, str(tmp_path), queries["p07_stored_ranges"], oracles["p07_stored_ranges"])
+    assert problem is None and n == 15

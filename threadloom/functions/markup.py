@@ -36,12 +36,14 @@ VISIBLE_STEPS = [
     (rf"(?<![{WORDY}])__(?=\S)([^\n]*?[^\s_])__(?![{WORDY}])", "$1"),
     (rf"(?<![{WORDY}])_(?=[^\s_])([^\n_]*(?:_+[{WORDY}][^\n_]*)*?)(?<=\S)_(?![{WORDY}])", "$1"),
 ]
-LAST_STEPS = [(URL, " "), (r"[ \t]{2,}", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")]
+BLANKS = (r"[ \t]{2,}", " ")
+LAST_STEPS = [(URL, " "), BLANKS, (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")]
 
 
-def visible_text(body: Column | str) -> Column:
-    """Text the index and every literal match should see; plain prose is left as it is."""
+def visible_text(body: Column | str, folded: bool = False) -> Column:
+    """Text the index and every literal match should see; plain prose is left as it is, or with ``folded`` loses only its runs of blanks."""
     raw = F.coalesce(F.col(body) if isinstance(body, str) else body, F.lit(""))
+    plain = F.regexp_replace(raw, *BLANKS) if folded else raw
     text = F.regexp_replace(F.translate(raw, PLACE, " "), CODE, PLACE)
     for pattern, replacement in VISIBLE_STEPS:
         text = F.regexp_replace(text, pattern, replacement)
@@ -49,8 +51,8 @@ def visible_text(body: Column | str) -> Column:
     text = F.array_join(F.zip_with(F.split(text, PLACE), codes, lambda part, code: F.concat(F.coalesce(part, F.lit("")), F.coalesce(code, F.lit("")))), "")
     for pattern, replacement in LAST_STEPS:
         text = F.regexp_replace(text, pattern, replacement)
-    shown = F.transform(F.array(F.regexp_replace(text, r"\A\s+|\s+\z", "")), lambda t: F.when(t == "", raw).otherwise(t))[0]
-    return F.when(raw.rlike(MARKS), shown).otherwise(raw)
+    shown = F.transform(F.array(F.regexp_replace(text, r"\A\s+|\s+\z", "")), lambda t: F.when(t == "", plain).otherwise(t))[0]
+    return F.when(raw.rlike(MARKS), shown).otherwise(plain)
 
 
 FLAT_MARKS = r"[`|#]|---|\*\*\*|___"

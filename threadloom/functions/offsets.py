@@ -133,15 +133,17 @@ def _stripped(state: Column) -> Column:
     return F.struct(text.alias("text"), F.array_append(state["maps"], runs).alias("maps"))
 
 
-def with_trace(df: DataFrame, text: Column, name: str, where: Column | None = None) -> DataFrame:
+def with_trace(df: DataFrame, text: Column, name: str, where: Column | None = None, folded: bool = False) -> DataFrame:
     """``df`` with ``name`` struct(text, maps): the visible text as ``markup.visible_text`` makes it and the runs of each step.
 
-    Where ``where`` does not hold, or the text has no marks, there are no runs. Each part is a projection of its own, so
-    that none of them is copied into another.
+    Where ``where`` does not hold, or the text has no marks, there are no runs but those that ``folded`` leaves. Each part is
+    a projection of its own, so that none of them is copied into another.
     """
-    raw = F.coalesce(text, F.lit(""))
-    wanted = raw.rlike(markup.MARKS) & (F.lit(True) if where is None else where)
+    raw, asked = F.coalesce(text, F.lit("")), F.lit(True) if where is None else where
+    wanted = raw.rlike(markup.MARKS) & asked
     plain = F.struct(raw.alias("text"), F.array().cast(f"ARRAY<{RUNS}>").alias("maps"))
+    if folded:
+        plain = F.when(asked, _chain(plain, [markup.BLANKS])).otherwise(plain)
     out = df.withColumn(f"{name}_1", F.when(wanted, _marked(F.translate(raw, markup.PLACE, " "))))
     out = out.withColumn(f"{name}_2", F.when(wanted, _chain(F.col(f"{name}_1"), markup.VISIBLE_STEPS)))
     out = out.withColumn(f"{name}_3", F.when(wanted, _put_back(F.col(f"{name}_2"), F.col(f"{name}_1")["codes"])))
@@ -178,7 +180,7 @@ def _ranges_array(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
 
 @F.arrow_udf(SPANS)
 def _outward(clusters: pa.Array, found: pa.Array) -> pa.Array:
-    """Sorted ranges of normalised text as ranges of the shown text, by its grapheme clusters; overlapping or touching ones become one."""
+    """Sorted ranges of normalised text as ranges of the shown text, by its grapheme clusters; those that overlap or come to touch become one."""
     bounds, starts, ends = _rows_of(found)
     out = []
     for row, own in enumerate(clusters):
@@ -189,12 +191,15 @@ def _outward(clusters: pa.Array, found: pa.Array) -> pa.Array:
             words = coded.dictionary.to_pylist()
             at = coded.indices.to_numpy()
             norm, shown = (np.cumsum(np.array([len(f(w)) for w in words], np.int64)[at]) for f in (fold, str))
+            a_norm, b_norm = a, b
             first, last = np.searchsorted(norm, a, "right"), np.searchsorted(norm, b, "left")
             a = np.where(first == 0, 0, shown[np.maximum(first - 1, 0)])
             b = shown[np.minimum(last, len(shown) - 1)]
+            # Ranges that touched when they were found were left apart on purpose.
+            touched = np.concatenate([[False], a_norm[1:] == b_norm[:-1]])
             real = b > a
-            a, b = a[real], b[real]
-            opens = np.concatenate([[True], a[1:] > b[:-1]])[:len(a)]
+            a, b, touched = a[real], b[real], touched[real]
+            opens = np.concatenate([[True], (a[1:] > b[:-1]) | (touched[1:] & (a[1:] == b[:-1]))])[:len(a)]
             a, b = a[opens], b[np.concatenate([opens[1:], [True]])[:len(a)]]
         out.append((a, b))
     return _ranges_array(out)
@@ -233,16 +238,18 @@ def _stored(found: pa.Array, maps: pa.Array) -> pa.Array:
     return _ranges_array(out)
 
 
-def with_stored_ranges(df: DataFrame, text: Column, find: Callable[[Column], Column] | dict[str, Callable[[Column], Column]], name: str = "ranges", marked: bool = True) -> DataFrame:
+def with_stored_ranges(df: DataFrame, text: Column, find: Callable[[Column], Column] | dict[str, Callable[[Column], Column]], name: str = "ranges", marked: bool = True, folded: bool = False) -> DataFrame:
     """``df`` with ``name``: the ranges that ``find`` gives for the normalised (with ``marked`` visible) text, as offsets of ``text``.
 
+    With ``folded`` a run of blanks counts as one space in texts without marks, too.
+
     Several kinds of ranges (``find``: name -> function) share one text, its clusters and its runs. Each step back takes the
     sorted ranges of a text at once, so its cost grows with their number, not with its product by the text's length.
     """
     finds = find if isinstance(find, dict) else {name: find}
     names = {x: f"_{x}_of_{name}" for x in ("shown", "norm", "clusters", "trace")}
     kept = [F.col(f"`{c}`") for c in df.columns if c not in finds]
-    out = df.withColumn(names["shown"], markup.visible_text(text) if marked else F.coalesce(text, F.lit("")))
+    out = df.withColumn(names["shown"], markup.visible_text(text, folded) if marked else F.coalesce(text, F.lit("")))
     out = tx.with_normalised(out, names["norm"], F.col(names["shown"]))
     # Exploding an array of one keeps the ranges from being copied into what reads them, the next Arrow function above all.
     for key, one in finds.items():
@@ -254,7 +261,7 @@ def with_stored_ranges(df: DataFrame, text: Column, find: Callable[[Column], Col
     for key, made in found.items():
         out = out.withColumn(f"_outer_of_{key}", _outward(F.col(names["clusters"]), made))
     if marked:
-        out = with_trace(out.drop(names["clusters"]), text, names["trace"], hit)
+        out = with_trace(out.drop(names["clusters"]), text, names["trace"], hit, folded)
     back = lambda c: _stored(c, F.col(names["trace"])["maps"]) if marked else c
     # Tests on the result end here too: pushed below, each would take the whole chain along.
     for key in finds:
